@@ -85,16 +85,11 @@ def fill_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def non_finite_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n_nan, n_inf), one row per column, from one pass."""
-    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    entries = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.count_if(F.isnan(v)).alias("n_nan"),
-            F.count_if(F.abs(v) == float("inf")).alias("n_inf"),
-        )
-        for c, v in value.items()
-    ]
-    return df.agg(F.array(*entries).alias("rows")).select(F.inline("rows"))
+    doubles = df.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in columns])
+    values = doubles.unpivot([], list(columns), "feature", "value")
+    return values.groupBy("feature").agg(
+        F.count_if(F.isnan("value")).alias("n_nan"), F.count_if(F.abs("value") == float("inf")).alias("n_inf")
+    )
 
 
 def assert_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler, UnivariateFeatureSelector, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _columns_aggregate(df: DataFrame, columns: Sequence[str], measures: dict, by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, feature) with the measures, from a single grouped pass over the wide table."""
-    entries = [
-        F.struct(
-            F.lit(c).alias("feature"), *[m(F.col(f"`{c}`").cast("double")).alias(name) for name, m in measures.items()]
-        )
-        for c in columns
-    ]
-    grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.agg(F.array(*entries).alias("_rows")).select(*by, F.inline("_rows"))
+def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, n, mean, var) with the population variance, from one grouped pass.
+
+    The columns are summed up as one vector per group, a fixed-size partial aggregate.
+    """
+    values = F.expr(f"array({', '.join(f'cast(`{c}` as double)' for c in columns)})")
+    summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(values))
+    rows = (df.groupBy(*by) if by else df.groupBy()).agg(summary.alias("_s"))
+    names = F.expr(f"array({', '.join(repr(c) for c in columns)})")
+    long = rows.select(
+        *by, F.col("_s.count").alias("n"),
+        F.inline(F.arrays_zip(names.alias("feature"), vector_to_array("_s.mean").alias("mean"),
+                              vector_to_array("_s.variance").alias("var"))),
+    )
+    # The summarizer's variance is the sample one.
+    return long.withColumn("var", F.col("var") * (F.col("n") - 1) / F.col("n"))
 
 
 @dataclass(frozen=True)
@@ -32,14 +41,14 @@ class StandardScale:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> StandardScale:
-        rows = _columns_aggregate(df, columns, {"mean": F.avg, "std": F.stddev_pop}).collect()
-        return cls({r["feature"]: r["mean"] for r in rows}, {r["feature"]: r["std"] or 1.0 for r in rows})
+        rows = moments(df, columns).collect()
+        return cls({r["feature"]: r["mean"] for r in rows}, {r["feature"]: math.sqrt(r["var"]) or 1.0 for r in rows})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        def scaled(c: str) -> Column:
-            return ((F.col(f"`{c}`").cast("double") - F.lit(self.mean[c])) / F.lit(self.std[c])).alias(c)
+        def scaled(c: str) -> str:
+            return f"(cast(`{c}` as double) - {self.mean[c]!r}D) / {self.std[c]!r}D as `{c}`"
 
-        return df.select(*[scaled(c) if c in self.mean else F.col(f"`{c}`") for c in df.columns])
+        return df.selectExpr(*[scaled(c) if c in self.mean else f"`{c}`" for c in df.columns])
 
 
 def anova_f_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
@@ -48,12 +57,10 @@ def anova_f_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFra
     One pass over the wide table leaves a row per class and feature (count, mean, sum of squared
     deviations); between and within sums follow from those. No value (null) for a constant column.
     """
-    moments = _columns_aggregate(
-        df, columns, {"n": F.count, "mean": F.avg, "var": F.var_pop}, by=[label]
-    ).filter(F.col("n") > 0)
+    per_class = moments(df, columns, by=[label])
     feature = Window.partitionBy("feature")
     grand = F.sum(F.col("n") * F.col("mean")).over(feature) / F.sum("n").over(feature)
-    centred = moments.withColumn("dev", F.col("mean") - grand)
+    centred = per_class.withColumn("dev", F.col("mean") - grand)
     sums = centred.groupBy("feature").agg(
         F.sum(F.col("n") * F.col("dev") * F.col("dev")).alias("between"),
         F.sum(F.col("n") * F.col("var")).alias("within"),

@@ -6,7 +6,7 @@ built once in inner projections and shared by the columns that need them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,68 +60,77 @@ def _mean(values: Column) -> Column:
     return tx.ratio(runs.total(values), F.size(values))
 
 
-def _expressions(stop_words: Sequence[str], function_words: Sequence[str]) -> dict[str, Column]:
+def _expressions(stop_words: Sequence[str], function_words: Sequence[str]) -> dict[str, Callable[[], Column]]:
+    """Column name to a function that builds its expression, so that only the wanted ones are built."""
     text, low, n_words, n_chars = F.col("_text"), F.col("_low"), F.col("_n_words"), F.col("_n_chars")
     marks = {c: F.col(f"_{c}") for c in ("period", "exclamation", "question")}
     punctuation = marks["period"] + marks["exclamation"] + marks["question"]
     upper = F.col("_upper")
     n_sentences = F.size("_lens")
-    spread = F.aggregate(
-        "_lens", F.lit(0.0), lambda acc, n: acc + (n - F.col("_mean_len")) * (n - F.col("_mean_len"))
-    )
+
+    def std() -> Column:
+        centred = F.aggregate(
+            "_lens", F.lit(0.0), lambda acc, n: acc + (n - F.col("_mean_len")) * (n - F.col("_mean_len"))
+        )
+        return F.when(n_sentences > 1, F.sqrt(centred / (n_sentences - 1))).otherwise(F.lit(0.0))
+
     squares = F.col("_squares")
     out = {
-        "sentence_length": n_words,
-        "word_count": n_words,
-        "char_count": n_chars,
-        "avg_word_length": tx.ratio(F.length(F.array_join("_words", "")), n_words),
-        "longest_word": F.coalesce(F.array_max(F.transform("_words", F.length)), F.lit(0)).cast("bigint"),
-        "period_count": marks["period"],
-        "exclamation_count": marks["exclamation"],
-        "question_count": marks["question"],
-        "punctuation_count": punctuation,
-        "comma_count": tx.count_char(text, ","),
-        "semicolon_count": tx.count_char(text, ";"),
-        "colon_count": tx.count_char(text, ":"),
-        "double_quote_count": tx.count_char(text, '"'),
-        "single_quote_count": tx.count_char(text, "'"),
-        "quote_count": tx.count_char(text, '"') + tx.count_char(text, "'"),
-        "punctuation_ratio": tx.ratio(punctuation, n_chars),
-        "digit_count": tx.digit_count(text),
-        "symbol_count": tx.symbol_count(text),
-        "uppercase_count": upper,
-        "uppercase_ratio": tx.ratio(upper, n_chars),
-        "char_entropy": runs.entropy_bits(runs.char_runs(tx.squeezed(text))),
-        "sentence_count": n_sentences.cast("bigint"),
-        "avg_sentence_length": F.col("_mean_len"),
-        "std_sentence_length": F.when(n_sentences > 1, F.sqrt(spread / (n_sentences - 1))).otherwise(F.lit(0.0)),
-        "unique_words": F.size("_w_counts").cast("bigint"),
-        "lexical_diversity": tx.ratio(F.size("_w_counts"), n_words),
-        "hapax_legomena_ratio": tx.ratio(F.size(F.filter("_w_counts", lambda n: n == 1)), n_words),
-        "yules_k": F.when(
+        "sentence_length": lambda: n_words,
+        "word_count": lambda: n_words,
+        "char_count": lambda: n_chars,
+        "avg_word_length": lambda: tx.ratio(F.length(F.array_join("_words", "")), n_words),
+        "longest_word": lambda: F.coalesce(F.array_max(F.transform("_words", F.length)), F.lit(0)).cast("bigint"),
+        "period_count": lambda: marks["period"],
+        "exclamation_count": lambda: marks["exclamation"],
+        "question_count": lambda: marks["question"],
+        "punctuation_count": lambda: punctuation,
+        "comma_count": lambda: tx.count_char(text, ","),
+        "semicolon_count": lambda: tx.count_char(text, ";"),
+        "colon_count": lambda: tx.count_char(text, ":"),
+        "double_quote_count": lambda: tx.count_char(text, '"'),
+        "single_quote_count": lambda: tx.count_char(text, "'"),
+        "quote_count": lambda: tx.count_char(text, '"') + tx.count_char(text, "'"),
+        "punctuation_ratio": lambda: tx.ratio(punctuation, n_chars),
+        "digit_count": lambda: tx.digit_count(text),
+        "symbol_count": lambda: tx.symbol_count(text),
+        "uppercase_count": lambda: upper,
+        "uppercase_ratio": lambda: tx.ratio(upper, n_chars),
+        "char_entropy": lambda: runs.entropy_bits(runs.char_runs(tx.squeezed(text))),
+        "sentence_count": lambda: n_sentences.cast("bigint"),
+        "avg_sentence_length": lambda: F.col("_mean_len"),
+        "std_sentence_length": std,
+        "unique_words": lambda: F.size("_w_counts").cast("bigint"),
+        "lexical_diversity": lambda: tx.ratio(F.size("_w_counts"), n_words),
+        "hapax_legomena_ratio": lambda: tx.ratio(F.size(F.filter("_w_counts", lambda n: n == 1)), n_words),
+        "yules_k": lambda: F.when(
             n_words > 0, F.lit(10000.0) * (squares - n_words).cast("double") / (n_words * n_words).cast("double")
         ).otherwise(F.lit(0.0)),
-        "stopword_ratio": tx.ratio(F.size(F.filter("_lwords", lambda w: w.isin(list(stop_words)))), n_words),
-        "flesch_reading_ease": F.when(
+        "stopword_ratio": lambda: tx.ratio(F.size(F.filter("_lwords", lambda w: w.isin(list(stop_words)))), n_words),
+        "flesch_reading_ease": lambda: F.when(
             n_words > 0,
             F.lit(206.835) - 1.015 * tx.ratio(n_words, n_sentences) - 84.6 * tx.ratio(F.col("_syllables"), n_words),
         ).otherwise(F.lit(0.0)),
-        "gunning_fog": 0.4
+        "gunning_fog": lambda: 0.4
         * (tx.ratio(n_words, n_sentences) + 100.0 * tx.ratio(tx.complex_word_count(low), n_words)),
-        "avg_syllables_per_word": tx.ratio(F.col("_syllables"), n_words),
+        "avg_syllables_per_word": lambda: tx.ratio(F.col("_syllables"), n_words),
     }
     for word in function_words:
-        out[f"fw_{word}"] = (F.size("_lwords") - F.size(F.array_remove("_lwords", word))).cast("bigint")
+        out[f"fw_{word}"] = lambda word=word: (F.size("_lwords") - F.size(F.array_remove("_lwords", word))).cast("bigint")
     return out
 
 
-def _pos_expressions(lexicon: dict[str, str] | None) -> dict[str, Column]:
+def _tagged(words: list[str]) -> Column:
+    found = F.size(F.filter("_tokens", lambda w: w.isin(words))) if words else F.lit(0)
+    return found.cast("bigint")
+
+
+def _pos_expressions(lexicon: dict[str, str] | None) -> dict[str, Callable[[], Column]]:
     """Tag counts from a word-to-tag lexicon; 0 without one."""
     out = {}
     for column, prefix in zip(POS, ("NN", "VB", "JJ", "RB")):
         tagged = sorted(w.lower() for w, tag in (lexicon or {}).items() if tag.startswith(prefix))
-        found = F.size(F.filter("_tokens", lambda w: w.isin(tagged))) if tagged else F.lit(0)
-        out[column] = found.cast("bigint")
+        out[column] = lambda tagged=tagged: _tagged(tagged)
     return out
 
 
@@ -151,7 +160,7 @@ def with_style(
         }
     )
     available = {**_expressions(stop_words, function_words), **_pos_expressions(lexicon)}
-    return shared.select(*keep, *[available[c].alias(c) for c in columns])
+    return shared.select(*keep, *[available[c]().alias(c) for c in columns])
 
 
 def style_features(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkprint.functions.text import ratio
 from inkprint.operators.sampling import sample_n
 
 
@@ -74,18 +75,21 @@ def pool_mean(
     The sums are ``size`` columns of one partial aggregation, so a document with very many tokens is
     reduced inside each task and its vectors never travel.
     """
-    weight = F.col(mask).cast("double")
-    sums = tokens.groupBy(doc).agg(
-        F.sum(weight).alias("_w"), *[F.sum(weight * F.get(vec, F.lit(i))).alias(f"_s{i}") for i in range(size)]
+    sums = ", ".join(f"sum(_m * get(`{vec}`, {i}))" for i in range(size))
+    pooled = (
+        tokens.withColumn("_m", F.col(mask).cast("double"))
+        .groupBy(doc)
+        .agg(F.sum("_m").alias("_w"), F.expr(f"array({sums})").alias("_sums"))
     )
-    mean = F.array(*[F.when(F.col("_w") > 0, F.col(f"_s{i}") / F.col("_w")).otherwise(F.lit(0.0)) for i in range(size)])
-    return sums.select(doc, mean.alias(vec))
+    return pooled.select(doc, F.transform("_sums", lambda s: ratio(s, F.col("_w"))).alias(vec))
 
 
 def vector_columns(df: DataFrame, vec: str, prefix: str, size: int) -> DataFrame:
     """``df`` with the vector spread over columns ``<prefix>0 .. <prefix>size-1``."""
     rest = [c for c in df.columns if c != vec]
-    return df.select(*rest, *[F.get(vec, F.lit(i)).cast("double").alias(f"{prefix}{i}") for i in range(size)])
+    return df.selectExpr(
+        *[f"`{c}`" for c in rest], *[f"cast(get(`{vec}`, {i}) as double) as `{prefix}{i}`" for i in range(size)]
+    )
 
 
 def vector_size(df: DataFrame, vec: str) -> int:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkprint.storage import spread
@@ -40,6 +39,6 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, so that two engines' sums compare equal."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(
-        *[F.round(F.col(f"`{c}`").cast("double"), digits).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
+    return df.selectExpr(
+        *[f"round(cast(`{c}` as double), {digits}) as `{c}`" if c in doubles else f"`{c}`" for c in df.columns]
     )
