@@ -22,15 +22,14 @@ def with_item_counts(df: DataFrame, items: str, prefix: str) -> DataFrame:
     at_start = F.filter(
         F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
     )
+    counts = F.transform(starts, lambda start, j: (F.coalesce(F.get(starts, j + 1), size) - start).cast("bigint"))
     return (
         df.withColumn(ordered, F.sort_array(items))
         .withColumn(starts, F.when(size > 0, at_start).otherwise(F.array().cast("array<int>")))
-        .withColumn(f"{prefix}_items", F.transform(starts, lambda i: F.get(ordered, i)))
-        .withColumn(
-            f"{prefix}_counts",
-            F.transform(starts, lambda start, j: (F.coalesce(F.get(starts, j + 1), size) - start).cast("bigint")),
+        .select(
+            *df.columns, F.transform(starts, lambda i: F.get(ordered, i)).alias(f"{prefix}_items"),
+            counts.alias(f"{prefix}_counts"),
         )
-        .drop(ordered, starts)
     )
 
 

@@ -21,15 +21,12 @@ OTHER_DIGITS = (
 VOWELS = "aeiouy"
 
 _WORD = rf"[^{SPACE}]+"
-_DIGIT = rf"[\p{{Nd}}{OTHER_DIGITS}]"
+# The look-ahead turns most characters away before the long class is searched.
+_DIGIT = rf"(?=\p{{N}})[\p{{Nd}}{OTHER_DIGITS}]"
 _SYMBOL = rf"[^\p{{L}}\p{{N}}{SPACE}]"
 _UPPER = r"\p{IsUppercase}"
 _SENTENCE_END = rf"[.!?][{SPACE}]+"
 _TOKEN = r"[\p{L}\p{N}_]{2,}"
-# A whole word without a vowel, and a whole word with three or more vowel groups. The possessive
-# quantifiers keep a group of vowels from being counted as several.
-_VOWELLESS_WORD = rf"(?<![^{SPACE}])[^{VOWELS}{SPACE}]+(?![^{SPACE}])"
-_LONG_WORD = rf"(?:[^{VOWELS}{SPACE}]*+[{VOWELS}]++){{3}}[^{SPACE}]*+"
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -65,6 +62,12 @@ def word_count(text: Column) -> Column:
     return count_of(text, _WORD)
 
 
+def count_among(array: str, words) -> Column:
+    """How many entries of an array column are in a word list: a hash lookup per entry."""
+    listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"cast(size(filter(`{array}`, w -> w in ({listed}))) as bigint)")
+
+
 def vocabulary_tokens(text: Column) -> Column:
     """Lower-cased runs of two or more letters, digits or underscores."""
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
@@ -94,17 +97,20 @@ def uppercase_count(text: Column) -> Column:
     return count_of(text, _UPPER)
 
 
-def syllable_count(lowered: Column) -> Column:
-    """Vowel groups, at least one per word; takes lower-cased text.
+def vowel_groups(lowered: Column) -> Column:
+    """Lower-cased text with every group of vowels written as a single ``a``: then each ``a`` is one group."""
+    return F.regexp_replace(lowered, f"[{VOWELS}]+", "a")
+
 
-    A vowel group never spans white space, so the whole text is scanned twice instead of word by word.
-    """
-    return count_of(lowered, f"[{VOWELS}]+") + count_of(lowered, _VOWELLESS_WORD)
+def syllable_count(groups: Column, n_words: Column) -> Column:
+    """Vowel groups, plus one for each word that has none; takes ``vowel_groups`` output."""
+    words_with_vowels = count_of(groups, rf"a[^{SPACE}]*+")
+    return count_char(groups, "a") + n_words - words_with_vowels
 
 
-def complex_word_count(lowered: Column) -> Column:
-    """Words of three or more syllables; takes lower-cased text."""
-    return count_of(lowered, _LONG_WORD)
+def complex_word_count(groups: Column) -> Column:
+    """Words of three or more syllables; takes ``vowel_groups`` output."""
+    return count_of(groups, rf"(?:a[^a{SPACE}]*+){{3}}[^{SPACE}]*+")
 
 
 def snippet(text: Column, length: int = 120) -> Column:
@@ -142,15 +148,35 @@ def word_ngrams(joined: Column, n: int) -> Column:
     return F.regexp_extract_all(joined, F.lit(rf" (?=([^ ]+(?: [^ ]+){{{n - 1}}}) )"), F.lit(1))
 
 
+def spaced_words(text: Column) -> Column:
+    """Lower-cased words, each with a space of its own on both sides, so neighbours share none."""
+    return F.concat(F.lit(" "), F.array_join(words(F.lower(text)), "  "), F.lit(" "))
+
+
 def _quoted(literal: str) -> str:
     return "".join("\\" + c if c.isascii() and not c.isalnum() else c for c in literal)
 
 
+def _overlaps_itself(parts) -> bool:
+    """Whether some end of the sequence is also its beginning, as in "aba"."""
+    return any(parts[:i] == parts[-i:] for i in range(1, len(parts)))
+
+
+def _occurrences(base: Column, literal: str, overlapping: bool) -> Column:
+    """Occurrences of ``literal``, overlaps included. Only a literal that can overlap itself needs the
+    look-ahead pattern; any other is counted by how much shorter the text gets without it."""
+    if overlapping:
+        return count_of(base, f"(?s)(?={_quoted(literal)}).")
+    removed = F.length(base) - F.length(F.replace(base, F.lit(literal), F.lit("")))
+    return F.floor(removed / len(literal)).cast("bigint")
+
+
 def count_char_ngram(squeezed_text: Column, gram: str) -> Column:
-    """Overlapping occurrences of one character n-gram."""
-    return count_of(squeezed_text, f"(?s)(?={_quoted(gram)}).")
+    """Occurrences of one character n-gram."""
+    return _occurrences(squeezed_text, gram, _overlaps_itself(gram))
 
 
-def count_word_ngram(joined: Column, gram: str) -> Column:
-    """Overlapping occurrences of one word n-gram in ``joined_words`` output."""
-    return count_of(joined, f" (?={_quoted(gram)} )")
+def count_word_ngram(spaced: Column, gram: str) -> Column:
+    """Occurrences of one word n-gram in ``spaced_words`` output."""
+    parts = gram.split(" ")
+    return _occurrences(spaced, " " + "  ".join(parts) + " ", _overlaps_itself(parts))

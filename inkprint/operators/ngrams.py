@@ -17,31 +17,42 @@ from inkprint.functions import text as tx
 
 _BASE = {"char": tx.squeezed, "word": tx.joined_words}
 _GRAMS = {"char": tx.char_ngrams, "word": tx.word_ngrams}
+_COUNT_BASE = {"char": tx.squeezed, "word": tx.spaced_words}
 _COUNT = {"char": tx.count_char_ngram, "word": tx.count_word_ngram}
 
 
-def ngram_totals(df: DataFrame, kind: str, sizes: Sequence[int] = (2, 3), text: str = "text") -> DataFrame:
-    """(n, gram, total) over the whole corpus.
+def ngram_totals(
+    df: DataFrame, kinds: Sequence[str] = ("char", "word"), sizes: Sequence[int] = (2, 3), text: str = "text"
+) -> DataFrame:
+    """(kind, n, gram, total) over the whole corpus, from one scan and one shuffle.
 
-    All sizes come out of one scan. A gram tells its own size, so the size is worked out after the
-    count instead of being carried through it.
+    A gram tells its own kind and size: character n-grams hold no space, word n-grams hold n - 1. Both are
+    worked out after the count instead of being carried through it.
     """
-    base = df.select(_BASE[kind](F.col(text)).alias("_base"))
-    per_size = [_GRAMS[kind](F.col("_base"), n) for n in sizes]
-    totals = base.select(F.explode(F.concat(*per_size)).alias("gram")).groupBy("gram").agg(F.count("*").alias("total"))
-    size = F.length("gram") if kind == "char" else tx.count_char(F.col("gram"), " ") + 1
-    return totals.select(size.cast("bigint").alias("n"), "gram", "total")
+    if set(kinds) == {"char", "word"} and min(sizes) < 2:
+        raise ValueError("single words cannot be told from character n-grams: count the kinds one at a time")
+    base = df.select(*[_BASE[kind](F.col(text)).alias(f"_{kind}") for kind in kinds])
+    grams = [_GRAMS[kind](F.col(f"_{kind}"), n) for kind in kinds for n in sizes]
+    totals = base.select(F.explode(F.concat(*grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("total"))
+    spaces = tx.count_char(F.col("gram"), " ")
+    is_word = (spaces > 0) if len(kinds) > 1 else F.lit(kinds[0] == "word")
+    return totals.select(
+        F.when(is_word, "word").otherwise("char").alias("kind"),
+        F.when(is_word, spaces + 1).otherwise(F.length("gram")).cast("bigint").alias("n"),
+        "gram", "total",
+    )
 
 
 def top_ngrams(
-    df: DataFrame, kind: str, sizes: Sequence[int] = (2, 3), k: int = 5, text: str = "text"
+    df: DataFrame, kinds: Sequence[str] = ("char", "word"), sizes: Sequence[int] = (2, 3), k: int = 5,
+    text: str = "text",
 ) -> DataFrame:
-    """The ``k`` most frequent n-grams per size; ties go to the gram that sorts first.
+    """The ``k`` most frequent n-grams per kind and size; ties go to the gram that sorts first.
 
-    The rank filter is a group limit in Spark, so each task passes on at most ``k`` rows per size.
+    The rank filter is a group limit in Spark, so each task passes on at most ``k`` rows per kind and size.
     """
-    order = Window.partitionBy("n").orderBy(F.desc("total"), F.asc("gram"))
-    ranked = ngram_totals(df, kind, sizes, text).withColumn("rank", F.row_number().over(order).cast("bigint"))
+    order = Window.partitionBy("kind", "n").orderBy(F.desc("total"), F.asc("gram"))
+    ranked = ngram_totals(df, kinds, sizes, text).withColumn("rank", F.row_number().over(order).cast("bigint"))
     return ranked.filter(F.col("rank") <= k)
 
 
@@ -56,11 +67,9 @@ class NgramVocabulary:
         cls, df: DataFrame, kinds: Sequence[str] = ("char", "word"), sizes: Sequence[int] = (2, 3), k: int = 5,
         text: str = "text",
     ) -> NgramVocabulary:
-        found = []
-        for kind in kinds:
-            rows = top_ngrams(df, kind, sizes, k, text).orderBy("n", "rank").collect()
-            found += [(kind, row["n"], row["gram"]) for row in rows]
-        return cls(tuple(found))
+        rows = top_ngrams(df, kinds, sizes, k, text).collect()
+        rows.sort(key=lambda r: (kinds.index(r["kind"]), r["n"], r["rank"]))
+        return cls(tuple((r["kind"], r["n"], r["gram"]) for r in rows))
 
     def column_names(self) -> list[str]:
         return [
@@ -69,7 +78,7 @@ class NgramVocabulary:
 
     def _counts(self, df: DataFrame, text: str) -> tuple[DataFrame, list[Column]]:
         kinds = sorted({kind for kind, _, _ in self.grams})
-        base = df.withColumns({f"_{kind}_base": _BASE[kind](F.coalesce(F.col(text), F.lit(""))) for kind in kinds})
+        base = df.withColumns({f"_{kind}_base": _COUNT_BASE[kind](F.coalesce(F.col(text), F.lit(""))) for kind in kinds})
         return base, [_COUNT[kind](F.col(f"_{kind}_base"), gram) for kind, _, gram in self.grams]
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:

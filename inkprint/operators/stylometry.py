@@ -47,12 +47,22 @@ def style_columns(function_words: Sequence[str] = FUNCTION_WORDS) -> list[str]:
 
 def _shared(df: DataFrame, text: str) -> DataFrame:
     """Columns several features read, each an attribute of an inner projection."""
-    return (
-        df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        .withColumn("_low", F.lower("_text"))
-        .withColumn("_words", tx.words(F.col("_text")))
-        .withColumn("_lwords", tx.words(F.col("_low")))
-        .withColumn("_lens", tx.sentence_lengths(F.col("_text")))
+    source = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    raw = F.col("_text")
+    first = source.withColumns(
+        {
+            "_low": F.lower("_text"), "_words": tx.words(raw), "_lens": tx.sentence_lengths(raw),
+            "_n_chars": F.length("_text").cast("bigint"), "_upper": tx.uppercase_count(raw),
+            "_period": tx.count_char(raw, "."), "_exclamation": tx.count_char(raw, "!"),
+            "_question": tx.count_char(raw, "?"),
+        }
+    )
+    return first.withColumns(
+        {
+            "_lwords": tx.words(F.col("_low")), "_groups": tx.vowel_groups(F.col("_low")),
+            "_tokens": F.regexp_extract_all("_low", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)),
+            "_n_words": F.size("_words").cast("bigint"), "_mean_len": _mean(F.col("_lens")),
+        }
     )
 
 
@@ -62,7 +72,7 @@ def _mean(values: Column) -> Column:
 
 def _expressions(stop_words: Sequence[str], function_words: Sequence[str]) -> dict[str, Callable[[], Column]]:
     """Column name to a function that builds its expression, so that only the wanted ones are built."""
-    text, low, n_words, n_chars = F.col("_text"), F.col("_low"), F.col("_n_words"), F.col("_n_chars")
+    text, n_words, n_chars = F.col("_text"), F.col("_n_words"), F.col("_n_chars")
     marks = {c: F.col(f"_{c}") for c in ("period", "exclamation", "question")}
     punctuation = marks["period"] + marks["exclamation"] + marks["question"]
     upper = F.col("_upper")
@@ -106,13 +116,13 @@ def _expressions(stop_words: Sequence[str], function_words: Sequence[str]) -> di
         "yules_k": lambda: F.when(
             n_words > 0, F.lit(10000.0) * (squares - n_words).cast("double") / (n_words * n_words).cast("double")
         ).otherwise(F.lit(0.0)),
-        "stopword_ratio": lambda: tx.ratio(F.size(F.filter("_lwords", lambda w: w.isin(list(stop_words)))), n_words),
+        "stopword_ratio": lambda: tx.ratio(tx.count_among("_lwords", stop_words), n_words),
         "flesch_reading_ease": lambda: F.when(
             n_words > 0,
             F.lit(206.835) - 1.015 * tx.ratio(n_words, n_sentences) - 84.6 * tx.ratio(F.col("_syllables"), n_words),
         ).otherwise(F.lit(0.0)),
         "gunning_fog": lambda: 0.4
-        * (tx.ratio(n_words, n_sentences) + 100.0 * tx.ratio(tx.complex_word_count(low), n_words)),
+        * (tx.ratio(n_words, n_sentences) + 100.0 * tx.ratio(tx.complex_word_count(F.col("_groups")), n_words)),
         "avg_syllables_per_word": lambda: tx.ratio(F.col("_syllables"), n_words),
     }
     for word in function_words:
@@ -121,8 +131,7 @@ def _expressions(stop_words: Sequence[str], function_words: Sequence[str]) -> di
 
 
 def _tagged(words: list[str]) -> Column:
-    found = F.size(F.filter("_tokens", lambda w: w.isin(words))) if words else F.lit(0)
-    return found.cast("bigint")
+    return tx.count_among("_tokens", words) if words else F.lit(0).cast("bigint")
 
 
 def _pos_expressions(lexicon: dict[str, str] | None) -> dict[str, Callable[[], Column]]:
@@ -147,16 +156,8 @@ def with_style(
     keep = df.columns
     shared = runs.with_item_counts(_shared(df, text), "_lwords", "_w").withColumns(
         {
-            "_n_words": F.size("_words").cast("bigint"),
-            "_n_chars": F.length("_text").cast("bigint"),
-            "_period": tx.count_char(F.col("_text"), "."),
-            "_exclamation": tx.count_char(F.col("_text"), "!"),
-            "_question": tx.count_char(F.col("_text"), "?"),
-            "_upper": tx.uppercase_count(F.col("_text")),
-            "_mean_len": _mean(F.col("_lens")),
             "_squares": runs.total_of_squares(F.col("_w_counts")),
-            "_syllables": tx.syllable_count(F.col("_low")),
-            "_tokens": F.regexp_extract_all("_low", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)),
+            "_syllables": tx.syllable_count(F.col("_groups"), F.col("_n_words")),
         }
     )
     available = {**_expressions(stop_words, function_words), **_pos_expressions(lexicon)}

@@ -10,6 +10,7 @@ from inkprint.plans import fixtures
 from inkprint.plans import sqltext as q
 from inkprint.plans.registry import documents, query, rounded, table
 from inkprint.sources import corpus, sinks
+from inkprint.storage import materialize
 
 STRIP = r"regexp_replace(regexp_replace(text, '^" + q.SPACE + r"+', ''), '" + q.SPACE + r"+$', '')"
 AUTHORS = ["de", "en", "fr"]
@@ -128,7 +129,9 @@ def class_constant_features(spark, sf_dir):
 
 @query("id_like_features", _profile_sql("SELECT feature FROM long GROUP BY feature HAVING count(DISTINCT v) = count(*)"))
 def id_like_features(spark, sf_dir):
-    return profile.id_like_features(*_profile_table(spark, sf_dir))
+    """Two passes over the features, so the table is written once."""
+    wide, columns = _profile_table(spark, sf_dir)
+    return profile.id_like_features(materialize(wide, "profile"), columns)
 
 
 # --- TF-IDF ---------------------------------------------------------------------------------------
@@ -162,8 +165,8 @@ def vocab_lookup(spark, sf_dir):
     """Word-in-set test against a fitted vocabulary: tokens of each document that are in it."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     vocabulary = [r["term"] for r in tfidf.top_terms(docs, 100).select("term").collect()]
-    hits = F.size(F.filter(tx.vocabulary_tokens(F.col("text")), lambda t: t.isin(vocabulary)))
-    return docs.select("doc_id", hits.cast("bigint").alias("in_vocabulary"))
+    tokens = docs.select("doc_id", tx.vocabulary_tokens(F.col("text")).alias("t"))
+    return tokens.select("doc_id", tx.count_among("t", vocabulary).alias("in_vocabulary"))
 
 
 @query("tfidf", f"WITH {_tfidf_ctes(ALL_DOCS, ALL_DOCS, 500)} SELECT * FROM weights")

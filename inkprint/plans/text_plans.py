@@ -138,7 +138,7 @@ def _ngram_queries(kind):
 
     @query(f"{kind}_ngram_topk", _topk_sql(kind))
     def topk(spark, sf_dir):
-        return top_ngrams(documents(spark, sf_dir, "text"), kind).select("n", "gram", "total", "rank")
+        return top_ngrams(documents(spark, sf_dir, "text"), (kind,)).select("n", "gram", "total", "rank")
 
     @query(f"{kind}_ngram_counts", _counts_sql(kind))
     def counts(spark, sf_dir):
@@ -183,8 +183,7 @@ def stylometric_features(spark, sf_dir):
 def stopword_lookup(spark, sf_dir):
     """Word-in-set test: stop words per document."""
     docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", tx.words(F.lower("text")).alias("w"))
-    hits = F.size(F.filter("w", lambda w: w.isin(list(q.STOP_WORDS))))
-    return docs.filter(F.size("w") > 0).select("doc_id", hits.cast("bigint").alias("stop_words"))
+    return docs.filter(F.size("w") > 0).select("doc_id", tx.count_among("w", q.STOP_WORDS).alias("stop_words"))
 
 
 @query("select_feature_set", q.style_select(
