@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprint.functions.names import named
+
 
 def with_item_counts(df: DataFrame, items: str, prefix: str) -> DataFrame:
     """Add ``<prefix>_items`` (sorted distinct items) and ``<prefix>_counts`` (how often each occurs).
@@ -27,7 +29,7 @@ def with_item_counts(df: DataFrame, items: str, prefix: str) -> DataFrame:
         df.withColumn(ordered, F.sort_array(items))
         .withColumn(starts, F.when(size > 0, at_start).otherwise(F.array().cast("array<int>")))
         .select(
-            *df.columns, F.transform(starts, lambda i: F.get(ordered, i)).alias(f"{prefix}_items"),
+            *named(df.columns), F.transform(starts, lambda i: F.get(ordered, i)).alias(f"{prefix}_items"),
             counts.alias(f"{prefix}_counts"),
         )
     )

@@ -8,6 +8,7 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.functions.names import quoted
 from inkprint.operators.frames import align_features, fill_missing
 from inkprint.operators.labels import LabelEncoder, decode_predictions
 from inkprint.operators.learners import Fitted, Learner, fit
@@ -23,7 +24,7 @@ def feature_frame(df: DataFrame, vocabulary: NgramVocabulary | None, key: str =
     counted = vocabulary.transform(df, text) if vocabulary else df
     names = [*style_columns(), *(vocabulary.column_names() if vocabulary else [])]
     wide = with_style(counted, style_columns(), text)
-    return fill_missing(wide.select(key, *[F.col(f"`{n}`") for n in names]))
+    return fill_missing(wide.select(key, *[F.col(quoted(n)) for n in names]))
 
 
 @dataclass

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkprint.functions.names import named, quoted
 from inkprint.functions import text as tx
 from inkprint.operators.stylometry import HELPERS
 
@@ -46,7 +47,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def select_numeric(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keys, *[c for c in numeric_columns(df) if c not in keys])
+    return df.select(*named(keys), *named(c for c in numeric_columns(df) if c not in keys))
 
 
 def feature_set(df: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -60,13 +61,13 @@ def feature_set(df: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFrame
         chosen = columns
     else:
         raise ValueError(f"unknown feature set {name!r}")
-    return df.select(*keys, *(chosen or columns))
+    return df.select(*named(keys), *named(chosen or columns))
 
 
 def align_features(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Exactly the columns ``names`` in that order: extra ones dropped, missing ones 0."""
     present = set(df.columns)
-    return df.select(*keys, *[F.col(f"`{n}`") if n in present else F.lit(0.0).alias(n) for n in names])
+    return df.select(*keys, *[F.col(quoted(n)) if n in present else F.lit(0.0).alias(n) for n in names])
 
 
 def fill_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -75,17 +76,17 @@ def fill_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     names = set(numeric_columns(df) if columns is None else columns)
 
     def filled(name: str):
-        value = F.col(f"`{name}`")
+        value = F.col(quoted(name))
         if name in floats:
             value = F.when(F.isnan(value), F.lit(None)).otherwise(value)
         return F.coalesce(value, F.lit(0)).cast(df.schema[name].dataType).alias(name)
 
-    return df.select(*[filled(c) if c in names else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[filled(c) if c in names else F.col(quoted(c)) for c in df.columns])
 
 
 def non_finite_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n_nan, n_inf), one row per column, from one pass."""
-    doubles = df.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in columns])
+    doubles = df.selectExpr(*[f"cast({quoted(c)} as double) as {quoted(c)}" for c in columns])
     values = doubles.unpivot([], list(columns), "feature", "value")
     return values.groupBy("feature").agg(
         F.count_if(F.isnan("value")).alias("n_nan"), F.count_if(F.abs("value") == float("inf")).alias("n_inf")

@@ -28,6 +28,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.functions.names import quoted
 from inkprint.operators.profile import summarize_folds
 from inkprint.operators.sampling import stratified_folds
 from inkprint.operators.scaling import reduction_stages
@@ -95,7 +96,7 @@ class Fitted:
     n_classes: int = 0
 
     def transform(self, df: DataFrame, prefix: str = "") -> DataFrame:
-        keep = [F.col(f"`{c}`") for c in df.columns]
+        keep = [F.col(quoted(c)) for c in df.columns]
         if self.kind == "pipeline":
             out = self.pipeline.transform(df)
             probability, prediction = F.col("probability"), F.col("prediction")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkprint.functions.names import named
 from inkprint.functions import text as tx
 
 _BASE = {"char": tx.squeezed, "word": tx.joined_words}
@@ -84,7 +85,7 @@ class NgramVocabulary:
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with one count column per n-gram."""
         base, counts = self._counts(df, text)
-        return base.select(*df.columns, *[c.alias(name) for c, name in zip(counts, self.column_names())])
+        return base.select(*named(df.columns), *[c.alias(name) for c, name in zip(counts, self.column_names())])
 
     def transform_long(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """(key, kind, n, gram, count), zero counts kept."""

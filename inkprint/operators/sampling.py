@@ -21,6 +21,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkprint.functions.names import named
 from inkprint.storage import local_side
 
 # Classes up to this size are ranked whole; larger ones are ranked inside brackets.
@@ -157,7 +158,7 @@ def _assign(df: DataFrame, group: str | None, key: str, seed: int | None, cuts:
     keyed = _order(df.withColumn("_g", _group(group)), key, seed)
     mine = F.struct(F.col("_k"), F.col("_tie"), F.col(key).alias("_id"))
     part = F.size(F.filter("_cuts", lambda cut: cut.isNull() | (mine > cut))).cast("bigint")
-    return keyed.join(cuts, "_g").select(*df.columns, part.alias(output))
+    return keyed.join(cuts, "_g").select(*named(df.columns), part.alias(output))
 
 
 def stratified_split(

@@ -13,13 +13,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkprint.functions.names import quoted
+
 
 def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, feature, n, mean, var) with the population variance, from one grouped pass.
 
     The columns are summed up as one vector per group, a fixed-size partial aggregate.
     """
-    values = F.expr(f"array({', '.join(f'cast(`{c}` as double)' for c in columns)})")
+    values = F.expr(f"array({', '.join(f'cast({quoted(c)} as double)' for c in columns)})")
     summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(values))
     rows = (df.groupBy(*by) if by else df.groupBy()).agg(summary.alias("_s"))
     names = F.expr(f"array({', '.join(repr(c) for c in columns)})")
@@ -46,9 +48,9 @@ class StandardScale:
 
     def transform(self, df: DataFrame) -> DataFrame:
         def scaled(c: str) -> str:
-            return f"(cast(`{c}` as double) - {self.mean[c]!r}D) / {self.std[c]!r}D as `{c}`"
+            return f"(cast({quoted(c)} as double) - {self.mean[c]!r}D) / {self.std[c]!r}D as {quoted(c)}"
 
-        return df.selectExpr(*[scaled(c) if c in self.mean else f"`{c}`" for c in df.columns])
+        return df.selectExpr(*[scaled(c) if c in self.mean else quoted(c) for c in df.columns])
 
 
 def anova_f_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
@@ -84,7 +86,7 @@ def select_k_best(
 ) -> DataFrame:
     """``df`` cut down to ``keys`` and its ``k`` best columns, which stay in table order."""
     best = {r["feature"] for r in best_features(df, columns, label, k).collect()}
-    return df.select(*keys, *[F.col(f"`{c}`") for c in columns if c in best])
+    return df.select(*keys, *[F.col(quoted(c)) for c in columns if c in best])
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:

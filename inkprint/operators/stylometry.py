@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions import runs, text as tx
+from inkprint.functions.names import named
 from inkprint.functions.lexicons import FUNCTION_WORDS, STOP_WORDS
 
 # Helper columns the feature block leaves out of its result.
@@ -153,7 +154,7 @@ def with_style(
 ) -> DataFrame:
     """``df`` with the named style columns appended. Only what the columns need is computed: Catalyst
     drops the inner projections nobody reads."""
-    keep = df.columns
+    keep = named(df.columns)
     shared = runs.with_item_counts(_shared(df, text), "_lwords", "_w").withColumns(
         {
             "_squares": runs.total_of_squares(F.col("_w_counts")),
@@ -174,4 +175,4 @@ def style_features(
 ) -> DataFrame:
     """The whole fixed feature block: ``keys`` plus the style columns, text and helpers left out."""
     wide = with_style(df, style_columns(function_words), text, stop_words, function_words, lexicon)
-    return wide.select(*keys, *style_columns(function_words))
+    return wide.select(*named(keys), *style_columns(function_words))

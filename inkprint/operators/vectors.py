@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkprint.functions.names import quoted
 from inkprint.functions.text import ratio
 from inkprint.operators.sampling import sample_n
 
@@ -75,7 +76,7 @@ def pool_mean(
     The sums are ``size`` columns of one partial aggregation, so a document with very many tokens is
     reduced inside each task and its vectors never travel.
     """
-    sums = ", ".join(f"sum(_m * get(`{vec}`, {i}))" for i in range(size))
+    sums = ", ".join(f"sum(_m * get({quoted(vec)}, {i}))" for i in range(size))
     pooled = (
         tokens.withColumn("_m", F.col(mask).cast("double"))
         .groupBy(doc)
@@ -88,7 +89,7 @@ def vector_columns(df: DataFrame, vec: str, prefix: str, size: int) -> DataFrame
     """``df`` with the vector spread over columns ``<prefix>0 .. <prefix>size-1``."""
     rest = [c for c in df.columns if c != vec]
     return df.selectExpr(
-        *[f"`{c}`" for c in rest], *[f"cast(get(`{vec}`, {i}) as double) as `{prefix}{i}`" for i in range(size)]
+        *[quoted(c) for c in rest], *[f"cast(get({quoted(vec)}, {i}) as double) as {quoted(prefix + str(i))}" for i in range(size)]
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from inkprint.functions.names import quoted
 from inkprint.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,5 +41,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, so that two engines' sums compare equal."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.selectExpr(
-        *[f"round(cast(`{c}` as double), {digits}) as `{c}`" if c in doubles else f"`{c}`" for c in df.columns]
+        *[f"round(cast({quoted(c)} as double), {digits}) as {quoted(c)}" if c in doubles else quoted(c) for c in df.columns]
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkprint.functions.names import quoted
 from inkprint.functions import text as tx
 from inkprint.functions.lexicons import TECHNICAL_TERMS
 from inkprint.operators import frames, stylometry
@@ -171,7 +172,7 @@ def stylometric_features(spark, sf_dir):
     slots, seen = [], {}
     for (kind, n, _), name in zip(vocabulary.grams, vocabulary.column_names()):
         seen[kind, n] = seen.get((kind, n), 0) + 1
-        slots.append(F.col(f"`{name}`").alias(f"{kind}_{n}_{seen[kind, n]}"))
+        slots.append(F.col(quoted(name)).alias(f"{kind}_{n}_{seen[kind, n]}"))
     return rounded(wide.select("doc_id", *stylometry.style_columns(), *slots))
 
 

@@ -17,15 +17,19 @@ def read_author_tree(
 ) -> DataFrame:
     """``root/<author>/<name>.txt``, one row per file: text, label (the directory), filename.
 
-    ``authors`` restricts the listing to those directories, so the others are not even read.
+    ``authors`` restricts the listing to those directories, so the others are not even read. Files are read
+    whole, as UTF-8, with line ends as ``\\n``. Spark lists no file of zero bytes, so such a file gives no row.
     """
     paths = [f"{root.rstrip('/')}/{a}" for a in authors] if authors is not None else [f"{root.rstrip('/')}/*"]
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
     if skip_unreadable:
         reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    files = reader.text(paths).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_path"))
-    # File paths arrive URL-encoded.
-    parts = F.split(F.try_url_decode(F.replace(F.col("_path"), F.lit("+"), F.lit("%2B"))), "/")
+    content = F.col("content").cast("string")
+    decoded = F.try_validate_utf8(content) if skip_unreadable else F.validate_utf8(content)
+    files = reader.load(paths).select(F.regexp_replace(decoded, "\r\n?", "\n").alias("text"), F.col("path").alias("_path"))
+    if skip_unreadable:
+        files = files.filter(F.col("text").isNotNull())
+    parts = F.split("_path", "/")
     corpus = files.select(
         (tx.strip(F.col("text")) if strip else F.col("text")).alias("text"),
         F.element_at(parts, -2).alias("label"),
@@ -52,12 +56,19 @@ def load_samples(spark: SparkSession, root: str, authors: Sequence[str]) -> Data
     return read_author_tree(spark, root, authors, strip=True, skip_unreadable=True).select("text", "label")
 
 
+def csv_reader(spark: SparkSession):
+    """Header, quotes doubled inside quotes, fields over several lines. An empty field is null, a quoted
+    empty field is an empty string; the null marker is a character no text file holds."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    return reader.option("nullValue", "\0")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: Sequence[str] = ("text", "label")) -> DataFrame:
     """A CSV with a header, quoted fields may span lines. Without a schema every column is read as string.
 
     Multi-line CSV files cannot be split, so a large corpus belongs in parquet; this is for exchange files.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = csv_reader(spark)
     return require_columns((reader.schema(schema) if schema else reader).csv(path), required)
 
 
