@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.functions.names import quoted
+from inkprint.functions.names import named
 from inkprint.operators.frames import align_features, fill_missing
 from inkprint.operators.labels import LabelEncoder, decode_predictions
 from inkprint.operators.learners import Fitted, Learner, fit
@@ -19,12 +20,17 @@ from inkprint.sources.sinks import load_feature_names, save_feature_names
 from inkprint.storage import materialize
 
 
-def feature_frame(df: DataFrame, vocabulary: NgramVocabulary | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` plus every style and n-gram column, missing values 0."""
+def feature_frame(
+    df: DataFrame, vocabulary: NgramVocabulary | None, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``key`` and the columns to ``keep``, plus every style and n-gram column, missing values 0.
+
+    Labels and the like are kept beside the features, so nothing has to be joined back by key.
+    """
     counted = vocabulary.transform(df, text) if vocabulary else df
     names = [*style_columns(), *(vocabulary.column_names() if vocabulary else [])]
     wide = with_style(counted, style_columns(), text)
-    return fill_missing(wide.select(key, *[F.col(quoted(n)) for n in names]))
+    return fill_missing(wide.select(key, *keep, *named(names)), names)
 
 
 @dataclass
@@ -42,18 +48,21 @@ class AttributionModel:
         labels = LabelEncoder.fit(df, label)
         vocabulary = NgramVocabulary.fit(df, text=text)
         names = [*style_columns(), *vocabulary.column_names()]
-        wide = feature_frame(df.select(key, text), vocabulary, key, text)
-        vectors = assemble(wide, names).select(key, "features")
-        classes = labels.encode(df.select(key, label), label, "label").select(key, F.col("label").cast("double"))
-        table = materialize(vectors.join(classes, key), "features")
+        classed = labels.encode(df.select(key, text, label), label, "_class")
+        wide = feature_frame(classed, vocabulary, key, text, keep=["_class"])
+        vectors = assemble(wide, names).select(key, "features", F.col("_class").cast("double").alias("label"))
+        table = materialize(vectors, "features")
         return cls(fit(learner, table), labels, vocabulary, names)
 
-    def score(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(key, predicted_label) for new texts: featurise, align to the training columns, predict. No shuffle."""
-        wide = align_features(feature_frame(df.select(key, text), self.vocabulary, key, text), self.names, [key])
-        predicted = self.fitted.transform(assemble(wide, self.names).select(key, "features"))
-        named = decode_predictions(predicted, "prediction", "predicted_label", self.labels)
-        return named.select(key, "predicted_label")
+    def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+        """(key, kept columns, predicted_label) for new texts: featurise, align to the training columns,
+        predict. No shuffle."""
+        columns = [key, *keep]
+        features = feature_frame(df.select(*columns, text), self.vocabulary, key, text, keep)
+        wide = align_features(features, self.names, columns)
+        predicted = self.fitted.transform(assemble(wide, self.names).select(*columns, "features"))
+        decoded = decode_predictions(predicted, "prediction", "predicted_label", self.labels)
+        return decoded.select(*columns, "predicted_label")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.fitted.save(spark, f"{path}/model")

@@ -42,15 +42,15 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = documents(spark, sf_dir, "doc_id", "lang", "text")
         vocabulary = NgramVocabulary.fit(docs)
         names = [*style_columns(), *vocabulary.column_names()]
-        style = assemble(feature_frame(docs.select("doc_id", "text"), vocabulary), names, "style").select("doc_id", "style")
         embedded = vectors.embed_documents(docs, vectors.hashed_trigram_encoder(64))
         labelled = LabelEncoder.fit(table(spark, sf_dir, "documents"), "lang").encode(embedded, "lang", "label")
         labelled = labelled.withColumn("label", F.col("label").cast("double"))
         split = sampling.stratified_split(labelled, "lang", 0.2)
         folded = sampling.stratified_folds(split, "lang", K)
-        wide = folded.join(style, "doc_id").withColumn("embedding", array_to_vector(F.col("embedding").cast("array<double>")))
-        both = assemble_vectors(wide)
-        _tables[key] = materialize(both, "model")
+        vectors_in = folded.withColumn("embedding", array_to_vector(F.col("embedding").cast("array<double>")))
+        keep = ["text", "lang", "label", "fold", "split", "embedding"]
+        wide = assemble(feature_frame(vectors_in, vocabulary, keep=keep), names, "style")
+        _tables[key] = materialize(assemble_vectors(wide), "model")
     return _tables[key]
 
 
@@ -151,8 +151,7 @@ def _train_and_predict(spark, sf_dir, learner):
     train, test = _baseline_data(spark, sf_dir)
     path = scratch_path(spark, "model")
     AttributionModel.train(train, learner, label="lang").save(spark, path)
-    scored = AttributionModel.load(spark, path).score(test.select("doc_id", "text"))
-    return scored.join(test.select("doc_id", F.col("lang").alias("true_label")), "doc_id")
+    return AttributionModel.load(spark, path).score(test.withColumnRenamed("lang", "true_label"), keep=["true_label"])
 
 
 @query("quick_baseline")
