@@ -106,12 +106,34 @@ def mix(
     Equal rows are separate documents; those with equal keys are interchangeable. The choice depends on the rows and the
     seed alone. Empty table: empty result. Reads doc_id, source and text only.
     """
-    unit = F.xxhash64(F.lit(seed), "doc_id", "size")
-    rows = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-        .withColumn("_hash", unit).withColumn("_bin", F.pmod("_hash", F.lit(bins)).cast("int")), "sizes",
+    rows = materialize(_sized(docs, seed, bins), "sizes")
+    return _copies(rows, rows, weights, most, reach)
+
+
+def mixed_rows(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 0, reach: int = 65_536, bins: int = 1024,
+) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, as often as ``mix`` takes it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = materialize(_sized(docs, seed, bins), "sizes")
+    copied = _copies(rows, _sized(docs, seed, bins, row.alias("_row")), weights, most, reach, "_row")
+    return copied.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("_row.*")
+
+
+def _sized(docs: DataFrame, seed: int, bins: int, *carried: Column) -> DataFrame:
+    rows = docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_hash"), *carried,
     )
-    by_bin = materialize(rows.groupBy("source", "size", "_bin").agg(F.count("*").alias("n")), "bins")
+    return rows.withColumn("_bin", F.pmod("_hash", F.lit(bins)).cast("int"))
+
+
+def _copies(narrow: DataFrame, rows: DataFrame, weights: tuple[float, ...], most: int, reach: int, *carried: str) -> DataFrame:
+    """Count ``narrow`` by source, size and bin of the hash, fit the plan, and rank ``rows`` in the bins.
+
+    A length may be that of a third of all documents, so its documents are ranked bin by bin; a bin starts where the counts of
+    those before it end.
+    """
+    by_bin = materialize(narrow.groupBy("source", "size", "_bin").agg(F.count("*").alias("n")), "bins")
     by_length = by_bin.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     wanted = _with_targets(sizes, weights, most)
@@ -119,15 +141,14 @@ def mix(
     before = Window.partitionBy("source", "size").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_bin.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     keys = ["source_key", "size"]
-    cells = _keyed(starts).join(_keyed(plan).drop("source"), keys)
+    cells = _keyed(starts).join(_keyed(plan).drop("source"), keys).drop("source")
     within = Window.partitionBy(*keys, "_bin").orderBy("_hash", "doc_id")
-    ranked = _keyed(rows).withColumn("_row", F.row_number().over(within).cast("bigint"))
-    joined = ranked.join(cells.drop("source"), [*keys, "_bin"])
-    copies = F.least(
-        F.col("passes") + F.when(F.col("_start") + F.col("_row") <= F.col("extra"), 1).otherwise(0), F.lit(most),
-    ).cast("bigint")
+    ranked = _keyed(rows).withColumn("_row_number", F.row_number().over(within).cast("bigint"))
+    joined = ranked.join(cells, [*keys, "_bin"])
+    further = F.when(F.col("_start") + F.col("_row_number") <= F.col("extra"), 1).otherwise(0)
+    copies = F.least(F.col("passes") + further, F.lit(most)).cast("bigint")
     return joined.withColumn("copies", copies).select(
-        "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried,
     )
 
 
