@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import language, mixing, pieces, quality, sharding, simhash
+from inkprint.llm import language, mixing, pieces, quality, sharding, simhash, token_counts
 from inkprint.llm.base import table
 
 
 #: Where the public tokenizer files are; a path that every executor can read.
-PIECES = "piece_bpe_32k.model"
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,6 +45,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(docs, language.fit_language_model(docs))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BYTES))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
