@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import language, mixing, pieces, quality, sharding, simhash, templates, token_counts
+from inkprint.llm import language, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk
 from inkprint.llm.base import table
 
 
@@ -67,6 +67,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op3_sentencepiece": op3_sentencepiece,
@@ -76,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_top_k": op10_top_k,
 }
 ORACLES: dict[str, str] = {}
