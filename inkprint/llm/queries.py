@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import language, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk
+from inkprint.llm import language, lm, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk
 from inkprint.llm.base import table
 
 
@@ -25,6 +25,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(PIECES)
     coded = pieces.decode_ids(pieces.encode_documents(table(spark, sf_dir, "documents"), path), path)
@@ -73,6 +77,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
