@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from inkprint.plans import QUERIES
@@ -19,11 +20,20 @@ HEADLINE = [
 ]
 
 
+def split_tables(spark, sf_dir: str, files: int) -> str:
+    """The tables in as many files as there are cores, as a large corpus would be; one small file is one task."""
+    copy = f"{tempfile.mkdtemp(prefix='bench-')}/{os.path.basename(sf_dir.rstrip('/'))}"
+    for name in ("documents", "embeddings", "labels", "conversations"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(files).write.parquet(f"{copy}/{name}.parquet")
+    return copy
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, "bench", "16g")
-    spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    sf_dir = split_tables(spark, sf_dir, int(cpus))
+    QUERIES["avg_words_by_label"](spark, sf_dir).collect()
     times = {}
     for name in HEADLINE:
         started = time.perf_counter()
@@ -31,7 +41,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - started, 3)
     print(json.dumps({
         "metric": "total query time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "sf": os.path.basename(sf_dir).removeprefix("sf"),
     }))
     spark.stop()
 

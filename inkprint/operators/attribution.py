@@ -52,7 +52,7 @@ class AttributionModel:
         wide = feature_frame(classed, vocabulary, key, text, keep=["_class"])
         vectors = assemble(wide, names).select(key, "features", F.col("_class").cast("double").alias("label"))
         table = materialize(vectors, "features")
-        return cls(fit(learner, table), labels, vocabulary, names)
+        return cls(fit(learner, table, key=key), labels, vocabulary, names)
 
     def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
         """(key, kept columns, predicted_label) for new texts: featurise, align to the training columns,

@@ -24,7 +24,7 @@ class LabelEncoder:
         return list(self.model.labels)
 
     def encode(self, df: DataFrame, label: str, output: str) -> DataFrame:
-        indexed = self.model.setInputCol(label).setOutputCol("_index").transform(df)
+        indexed = self.model.copy().setInputCol(label).setOutputCol("_index").transform(df)
         return indexed.withColumn(output, F.col("_index").cast("bigint")).drop("_index")
 
     def decode(self, df: DataFrame, index: str, output: str) -> DataFrame:

@@ -53,8 +53,9 @@ def logistic_regression(name: str = "LogisticRegression", **params) -> Learner:
     return Learner(name, "logistic", {"max_iter": 1000, "c": 1.0, **params})
 
 
+# The recipes' settings; 30 is the deepest tree Spark grows.
 def random_forest(name: str = "RandomForest", **params) -> Learner:
-    return Learner(name, "forest", {"trees": 100, "max_depth": 20, "seed": 42, "scale": False, **params})
+    return Learner(name, "forest", {"trees": 100, "max_depth": 30, "seed": 42, "scale": False, **params})
 
 
 def neural_network(name: str = "NeuralNetwork", **params) -> Learner:
@@ -156,7 +157,9 @@ def _prepared(learner: Learner, train: DataFrame) -> tuple[list, str, int]:
     width = len(train.select("features").first()["features"])
     stages, column = [], "features"
     if learner.params.get("scale", True):
-        stages.append(StandardScaler(inputCol=column, outputCol="_scaled", withMean=True, withStd=True))
+        # Sparse vectors stay sparse if they are not centred.
+        centre = learner.params.get("centre", True)
+        stages.append(StandardScaler(inputCol=column, outputCol="_scaled", withMean=centre, withStd=True))
         column = "_scaled"
     if learner.reduce:
         method, n = learner.reduce
@@ -166,14 +169,14 @@ def _prepared(learner: Learner, train: DataFrame) -> tuple[list, str, int]:
     return stages, column, width
 
 
-def fit(learner: Learner, train: DataFrame, n_classes: int | None = None) -> Fitted:
-    """Fit a learner on (features, label)."""
+def fit(learner: Learner, train: DataFrame, n_classes: int | None = None, key: str | None = None) -> Fitted:
+    """Fit a learner on (features, label). ``key`` names the column that tells rows apart, for learners with inner folds."""
     n_classes = class_count(train) if n_classes is None else n_classes
     p = learner.params
     if learner.recipe == "voting":
-        return Fitted("voting", None, [fit(m, train, n_classes) for m in p["members"]], n_classes)
+        return Fitted("voting", None, _side_by_side(p["members"], train, n_classes, key), n_classes)
     if learner.recipe == "stacking":
-        return _fit_stacking(learner, train, n_classes)
+        return _fit_stacking(learner, train, n_classes, key or p["key"])
     stages, column, width = _prepared(learner, train)
     if learner.recipe == "logistic":
         strength = 1.0 / (p["c"] * max(1, train.count()))
@@ -222,17 +225,23 @@ def _fit_boosted(learner: Learner, train: DataFrame, stages: list, column: str,
     return Fitted("boosted", PipelineModel(stages=fitted), [], n_classes)
 
 
-def _fit_stacking(learner: Learner, train: DataFrame, n_classes: int) -> Fitted:
+def _side_by_side(members: Sequence[Learner], train: DataFrame, n_classes: int, key: str | None) -> list[Fitted]:
+    """The members fitted from driver threads, so that small jobs of one fill the gaps of another."""
+    with ThreadPool(min(4, max(1, len(members)))) as pool:
+        return pool.map(inheritable_thread_target(train.sparkSession)(lambda m: fit(m, train, n_classes, key)), members)
+
+
+def _fit_stacking(learner: Learner, train: DataFrame, n_classes: int, key: str) -> Fitted:
     """Every row gets its members' probabilities from models that did not see it; the final model learns
     from those. Members are then refitted on all rows."""
     p = learner.params
     k = p["folds"]
     if "_stack_fold" not in train.columns:
-        train = stratified_folds(train, "label", k, p["key"], seed=None, output="_stack_fold")
+        train = stratified_folds(train, "label", k, key, seed=None, output="_stack_fold")
     unseen = None
     for fold in range(k):
         rest, held = train.filter(F.col("_stack_fold") != fold), train.filter(F.col("_stack_fold") == fold)
-        scored = Fitted("voting", None, [fit(m, rest, n_classes) for m in p["members"]], n_classes)._member_probabilities(held)
+        scored = Fitted("voting", None, _side_by_side(p["members"], rest, n_classes, key), n_classes)._member_probabilities(held)
         unseen = scored if unseen is None else unseen.unionByName(scored)
     names = [f"_m{i}_probability" for i in range(len(p["members"]))]
     meta_rows = materialize(_meta_features(unseen.select("label", *names), len(names)).select("label", "_meta"), "stack")
@@ -242,7 +251,7 @@ def _fit_stacking(learner: Learner, train: DataFrame, n_classes: int) -> Fitted:
         standardization=False, family="multinomial", rawPredictionCol="_meta_raw", probabilityCol="_meta_probability",
         predictionCol="_meta_prediction",
     ).fit(meta_rows)
-    members = [fit(m, train, n_classes) for m in p["members"]]
+    members = _side_by_side(p["members"], train, n_classes, key)
     return Fitted("stacking", PipelineModel(stages=[final]), members, n_classes)
 
 
@@ -255,6 +264,12 @@ def score(fitted: Fitted, df: DataFrame) -> float:
     return float(right) if right is not None else 0.0
 
 
+def failure(error: Exception) -> str:
+    """The status of a model that could not be fitted: kind of error and the first line of what it says."""
+    said = str(error).strip().splitlines()
+    return f"failed: {type(error).__name__}: {said[0][:300]}" if said else f"failed: {type(error).__name__}"
+
+
 Prepare = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
@@ -293,7 +308,7 @@ def compare_models(learners: Sequence[Learner], df: DataFrame, k: int, fold: str
             rows += [(learner.name, i, s) for i, s in enumerate(scores)]
             status.append((learner.name, "success"))
         except Exception as error:
-            status.append((learner.name, f"failed: {type(error).__name__}"))
+            status.append((learner.name, failure(error)))
     summary = summarize_folds(spark.createDataFrame(rows, SCORES))
     return spark.createDataFrame(status, "model string, status string").join(F.broadcast(summary), "model", "left").select(
         "model", "mean_accuracy", "std_accuracy", "fold_scores", "status"
@@ -403,7 +418,7 @@ def train_model_zoo(
                     wrong = fitted.transform(score_on).filter(F.col("prediction") != F.col("label"))
                     wrong.select("doc_id", "label", "prediction").write.mode("overwrite").parquet(f"{wrong_dir}/{tag}")
             except Exception as error:
-                rows.append((learner.name, set_name, None, f"failed: {type(error).__name__}"))
+                rows.append((learner.name, set_name, None, failure(error)))
     return spark.createDataFrame(rows, "model string, feature_set string, accuracy double, status string")
 
 

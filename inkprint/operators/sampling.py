@@ -47,9 +47,9 @@ def _group(column: str | None) -> Column:
 
 def _order(df: DataFrame, key: str, seed: int | None) -> DataFrame:
     """Add ``_k`` (a bigint that orders rows) and ``_tie`` (settles equal ``_k``)."""
-    if seed is None:
+    if seed is None and dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
         return df.withColumn("_k", F.col(key).cast("bigint")).withColumn("_tie", F.lit(""))
-    digest = seeded_hash(key, seed)
+    digest = seeded_hash(key, seed or 0)
     return df.withColumn("_tie", digest).withColumn("_k", _hash_number(F.col("_tie")))
 
 
@@ -199,7 +199,8 @@ def stratified_folds(
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Add ``output`` = 0..k-1, each class spread evenly. With ``seed=None`` the rows of a class keep
-    their key order and the folds are consecutive blocks of it."""
+    their key order and the folds are consecutive blocks of it; keys that are no integers are put in a seeded
+    hash order instead."""
 
     def plan(classes: list[tuple[str, int]]) -> dict[str, list[int]]:
         out = {}

@@ -6,8 +6,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -24,7 +24,7 @@ def moments(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     values = F.expr(f"array({', '.join(f'cast({quoted(c)} as double)' for c in columns)})")
     summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(values))
     rows = (df.groupBy(*by) if by else df.groupBy()).agg(summary.alias("_s"))
-    names = F.expr(f"array({', '.join(repr(c) for c in columns)})")
+    names = F.array(*[F.lit(c) for c in columns])
     long = rows.select(
         *by, F.col("_s.count").alias("n"),
         F.inline(F.arrays_zip(names.alias("feature"), vector_to_array("_s.mean").alias("mean"),
@@ -47,6 +47,10 @@ class StandardScale:
         return cls({r["feature"]: r["mean"] for r in rows}, {r["feature"]: math.sqrt(r["var"]) or 1.0 for r in rows})
 
     def transform(self, df: DataFrame) -> DataFrame:
+        missing = [c for c in self.mean if c not in df.columns]
+        if missing:
+            raise ValueError(f"columns with statistics are not in the table: {missing}")
+
         def scaled(c: str) -> str:
             return f"(cast({quoted(c)} as double) - {self.mean[c]!r}D) / {self.std[c]!r}D as {quoted(c)}"
 
@@ -57,9 +61,14 @@ def anova_f_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFra
     """(feature, f_score): one-way analysis of variance of each column over the classes.
 
     One pass over the wide table leaves a row per class and feature (count, mean, sum of squared
-    deviations); between and within sums follow from those. No value (null) for a constant column.
+    deviations); between and within sums follow from those. Infinite for a column that is constant in every
+    class but differs between classes; no value (null) for a constant column.
     """
-    per_class = moments(df, columns, by=[label])
+    return _f_scores(moments(df, columns, by=[label]))
+
+
+def _f_scores(per_class: DataFrame) -> DataFrame:
+    """(feature, f_score) from one row per class and feature: n, mean, var."""
     feature = Window.partitionBy("feature")
     grand = F.sum(F.col("n") * F.col("mean")).over(feature) / F.sum("n").over(feature)
     centred = per_class.withColumn("dev", F.col("mean") - grand)
@@ -69,10 +78,10 @@ def anova_f_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFra
         F.sum("n").alias("n"), F.count("*").alias("k"),
     )
     free_between, free_within = F.col("k") - 1, F.col("n") - F.col("k")
+    free = (free_between > 0) & (free_within > 0)
     f_score = F.when(
-        (F.col("within") > 0) & (free_between > 0) & (free_within > 0),
-        (F.col("between") / free_between) / (F.col("within") / free_within),
-    )
+        free & (F.col("within") > 0), (F.col("between") / free_between) / (F.col("within") / free_within)
+    ).when(free & (F.col("between") > 0), F.lit(float("inf")))
     return sums.select("feature", f_score.alias("f_score"))
 
 
@@ -109,6 +118,29 @@ def fit_pca(df: DataFrame, k: int, features: str = "features", output: str = "pc
     return Pipeline(stages=pca_stages(k, features, output)).fit(df)
 
 
+class BestByF(Estimator):
+    """A pipeline stage that keeps the ``k`` entries of a vector with the highest F, in their order.
+
+    F is worked out on the rows it is fitted on, by one grouped pass; it ranks by F itself, since p-values are all 0
+    once there are many rows. The fitted stage is a ``VectorSlicer``. Ties go to the earlier entry.
+    """
+
+    def __init__(self, k: int, features: str, output: str, label: str):
+        super().__init__()
+        self.k, self.features, self.output, self.label = k, features, output, label
+
+    def _fit(self, dataset: DataFrame) -> VectorSlicer:
+        summary = Summarizer.metrics("count", "mean", "variance").summary(F.col(self.features))
+        rows = dataset.groupBy(self.label).agg(summary.alias("_s"))
+        entries = F.arrays_zip(vector_to_array("_s.mean").alias("mean"), vector_to_array("_s.variance").alias("var"))
+        long = rows.select(F.col("_s.count").alias("n"), F.posexplode(entries).alias("feature", "e")).select(
+            "feature", "n", F.col("e.mean").alias("mean"), (F.col("e.var") * (F.col("n") - 1) / F.col("n")).alias("var")
+        )
+        best = _f_scores(long).orderBy(F.desc_nulls_last("f_score"), "feature").limit(self.k).collect()
+        indices = sorted(r["feature"] for r in best)
+        return VectorSlicer(inputCol=self.features, outputCol=self.output, indices=indices)
+
+
 def reduction_stages(
     method: str, n: int, n_features: int, features: str = "features", output: str = "reduced", label: str = "label"
 ) -> list:
@@ -117,10 +149,7 @@ def reduction_stages(
     if method == "pca":
         return pca_stages(n, features, output)
     if method == "selectkbest":
-        selector = UnivariateFeatureSelector(
-            featuresCol=features, labelCol=label, outputCol=output, selectionMode="numTopFeatures"
-        )
-        return [selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(n)]
+        return [BestByF(n, features, output, label)]
     return []
 
 

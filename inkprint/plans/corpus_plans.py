@@ -206,12 +206,16 @@ def label_decode(spark, sf_dir):
     return decoded.drop("predicted_index")
 
 
-@query("label_subset", f"""WITH {q.rule_cte()} SELECT predicted_label AS value FROM preds
-EXCEPT SELECT 'en' AS value""")
+@query("label_subset", f"""WITH {q.rule_cte()}, {q.split_cte(0.2)}, known AS (SELECT DISTINCT lang FROM split WHERE split = 'train'),
+found AS (SELECT DISTINCT predicted_label AS value FROM preds UNION SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)
+SELECT value FROM found WHERE value NOT IN (SELECT lang FROM known)""")
 def label_subset(spark, sf_dir):
-    """Predicted labels that a one-label model would not know."""
-    known = table(spark, sf_dir, "documents").filter("lang = 'en'").select("lang")
-    return labels.unknown_values(fixtures.predictions(spark, sf_dir), "predicted_label", known, "lang")
+    """Of the predicted labels and the names of the sources, those that are no label of the train split."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    known = sampling.stratified_split(docs, "lang", 0.2).filter("split = 'train'").select("lang")
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("predicted_label")).dropna()
+    found = fixtures.predictions(spark, sf_dir).select("predicted_label").union(sources)
+    return labels.unknown_values(found, "predicted_label", known, "lang")
 
 
 @query("features_with_labels", f"""WITH {q.style_cte()} SELECT quality, count(*) AS n, round(avg(word_count), 6) AS word_count,

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from inkprint.functions.names import quoted
-from inkprint.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The corpus for a text pass: only the needed columns, one partition per core or more."""
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    """The corpus for a text pass: only the needed columns, in the splits of its files."""
+    return table(spark, sf_dir, "documents").select(*columns)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -63,13 +63,14 @@ def pos_tag_counts(spark, sf_dir):
     "sentence_split",
     f"""WITH parts AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[.!?]{q.SPACE}+'),
     lambda s: len({q.words_of('s')}) > 0)) AS sentence FROM documents)
-    SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars, md5(min(sentence)) AS first_hash,
-      md5(max(sentence)) AS last_hash FROM parts GROUP BY doc_id""",
+    SELECT d.doc_id, count(sentence) AS n, CAST(coalesce(sum(length(sentence)), 0) AS BIGINT) AS chars,
+      md5(min(sentence)) AS first_hash, md5(max(sentence)) AS last_hash
+    FROM documents d LEFT JOIN parts p ON d.doc_id = p.doc_id GROUP BY d.doc_id""",
 )
 def sentence_split(spark, sf_dir):
     """Sentences of every document, summarised to a count, their length and the outer two in sort order."""
     docs = documents(spark, sf_dir, "doc_id", "text")
-    parts = docs.select("doc_id", tx.sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    parts = docs.select("doc_id", tx.sentences(F.col("text")).alias("s"))
     chars = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x))
     return parts.select(
         "doc_id", F.size("s").cast("bigint").alias("n"), chars.alias("chars"),
@@ -179,12 +180,13 @@ def stylometric_features(spark, sf_dir):
 @query(
     "stopword_lookup",
     f"""WITH w AS (SELECT doc_id, unnest({q.words_of('lower(text)')}) AS w FROM documents)
-    SELECT doc_id, CAST(count_if(w IN ({q.quoted(q.STOP_WORDS)})) AS BIGINT) AS stop_words FROM w GROUP BY doc_id""",
+    SELECT d.doc_id, CAST(count_if(w IN ({q.quoted(q.STOP_WORDS)})) AS BIGINT) AS stop_words
+    FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id GROUP BY d.doc_id""",
 )
 def stopword_lookup(spark, sf_dir):
     """Word-in-set test: stop words per document."""
     docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", tx.words(F.lower("text")).alias("w"))
-    return docs.filter(F.size("w") > 0).select("doc_id", tx.count_among("w", q.STOP_WORDS).alias("stop_words"))
+    return docs.select("doc_id", tx.count_among("w", q.STOP_WORDS).alias("stop_words"))
 
 
 @query("select_feature_set", q.style_select(

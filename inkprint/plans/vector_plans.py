@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from inkprint.operators import scaling, vectors
+from inkprint.plans import sqltext as q
 from inkprint.plans.registry import documents, query, rounded, table
 
 DIM = 64
@@ -24,19 +26,34 @@ def _wide_sql(source: str, vec: str, digits: int = 6, prefix: str = "e_") -> str
     return ", ".join(f"round(CAST({source}{vec}[{i + 1}] AS DOUBLE), {digits}) AS {prefix}{i}" for i in range(DIM))
 
 
-@query("embed_documents")
+def _trigram_sql(source: str) -> str:
+    """The encoder's bucket counts: hashes of three neighbouring code points, counted per bucket."""
+    code = "((c[i] * 2654435761 + c[i + 1] * 40503 + c[i + 2] * 97) % 4294967291) % {}".format(DIM)
+    return f"""codes AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c FROM {source}),
+buckets AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(c) - 2), lambda i: {code})) AS dim FROM codes)
+SELECT doc_id, CAST(dim AS BIGINT) AS dim, count(*) AS n FROM buckets GROUP BY ALL"""
+
+
+def _trigram_counts(embedded):
+    """Unit vectors back to bucket counts: entries are in proportion to counts, which add up to the number of trigrams."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    scale = (F.char_length("text") - 2) / total
+    entries = embedded.select("doc_id", scale.alias("s"), F.posexplode("embedding").alias("dim", "e")).filter("e > 0")
+    return entries.select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("e") * F.col("s")).cast("bigint").alias("n"))
+
+
+@query("embed_documents", f"WITH {_trigram_sql('documents')}")
 def embed_documents(spark, sf_dir):
+    """Every component of every vector, as the count it stands for; zero components are left out."""
     docs = documents(spark, sf_dir, "doc_id", "text")
-    return vectors.embed_documents(docs, vectors.hashed_trigram_encoder(DIM)).select("doc_id", "embedding")
+    return _trigram_counts(vectors.embed_documents(docs, vectors.hashed_trigram_encoder(DIM)))
 
 
-@query("embed_sample", "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id LIMIT 100")
+@query("embed_sample", f"""WITH chosen AS (SELECT doc_id, text FROM documents
+ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id LIMIT 100), {_trigram_sql('chosen')}""")
 def embed_sample(spark, sf_dir):
-    """The sampling can be checked in SQL, so only the keys of the embedded documents are returned; a
-    document whose vector came back with a wrong size would be missing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    embedded = vectors.embed_sample(docs, vectors.hashed_trigram_encoder(DIM), 100)
-    return embedded.filter(F.size("embedding") == DIM).select("doc_id")
+    return _trigram_counts(vectors.embed_sample(docs, vectors.hashed_trigram_encoder(DIM), 100))
 
 
 @query("pool_first", f"WITH {TOKENS} SELECT doc, {_wide_sql('', 'v')} FROM (SELECT doc, arg_min(vec, pos) AS v FROM tok GROUP BY doc)")
@@ -72,44 +89,59 @@ def standard_scale(spark, sf_dir):
     return rounded(scaling.StandardScale.fit(wide, NAMES).transform(wide))
 
 
-_F_CTES = f"""long AS (SELECT label, 'e_' || (i - 1) AS feature, CAST(embedding[i] AS DOUBLE) AS x
-  FROM embeddings, (SELECT unnest(generate_series(1, {DIM})) AS i)),
+def _with_separator(spark, sf_dir):
+    """The embedding columns and one that is constant in every class: its F is infinite and it is chosen first."""
+    return _wide(spark, sf_dir).withColumn("e_sep", F.col("label").cast("double"))
+
+
+_F_CTES = f"""long AS (SELECT label, vec_id, 'e_' || (i - 1) AS feature, CAST(embedding[i] AS DOUBLE) AS x
+  FROM embeddings, (SELECT unnest(generate_series(1, {DIM})) AS i)
+  UNION ALL SELECT label, vec_id, 'e_sep', CAST(label AS DOUBLE) FROM embeddings),
 pc AS (SELECT feature, label, count(*) AS n, avg(x) AS mean FROM long GROUP BY feature, label),
 gm AS (SELECT feature, avg(x) AS grand, count(*) AS n FROM long GROUP BY feature),
 bw AS (SELECT pc.feature, sum(pc.n * (mean - grand) * (mean - grand)) AS b, count(*) AS k, any_value(gm.n) AS n
   FROM pc JOIN gm ON pc.feature = gm.feature GROUP BY pc.feature),
 wi AS (SELECT l.feature, sum((x - mean) * (x - mean)) AS w FROM long l JOIN pc ON l.feature = pc.feature AND l.label = pc.label GROUP BY l.feature),
-fs AS (SELECT bw.feature, (b / (k - 1)) / (w / (n - k)) AS f_score FROM bw JOIN wi ON bw.feature = wi.feature)"""
+fs AS (SELECT bw.feature, CASE WHEN w = 0 THEN 'inf'::DOUBLE ELSE (b / (k - 1)) / (w / (n - k)) END AS f_score FROM bw JOIN wi ON bw.feature = wi.feature)"""
 
 
 @query("anova_f_scores", f"WITH {_F_CTES} SELECT feature, round(f_score, 6) AS f_score FROM fs")
 def anova_f_scores(spark, sf_dir):
-    return rounded(scaling.anova_f_scores(_wide(spark, sf_dir), NAMES, "label"))
+    return rounded(scaling.anova_f_scores(_with_separator(spark, sf_dir), [*NAMES, "e_sep"], "label"))
 
 
 @query("select_k_best", f"""WITH {_F_CTES}, best AS (SELECT feature FROM fs ORDER BY f_score DESC, feature LIMIT 20)
-SELECT l.vec_id, l.feature, round(l.x, 6) AS value FROM (SELECT vec_id, 'e_' || (i - 1) AS feature, CAST(embedding[i] AS DOUBLE) AS x
-  FROM embeddings, (SELECT unnest(generate_series(1, {DIM})) AS i)) l JOIN best ON best.feature = l.feature""")
+SELECT l.vec_id, l.feature, round(l.x, 6) AS value FROM long l JOIN best ON best.feature = l.feature""")
 def select_k_best(spark, sf_dir):
     """The 20 best columns, returned long because which columns they are depends on the data."""
-    kept = scaling.select_k_best(_wide(spark, sf_dir), NAMES, "label", 20, keys=["vec_id"])
+    kept = scaling.select_k_best(_with_separator(spark, sf_dir), [*NAMES, "e_sep"], "label", 20, keys=["vec_id"])
     return rounded(kept.unpivot("vec_id", [c for c in kept.columns if c != "vec_id"], "feature", "value"))
 
 
-@query("pca")
+@query("pca", f"""SELECT {DIM}::BIGINT AS components, round({' + '.join(f'var_samp(CAST(embedding[{i + 1}] AS DOUBLE))' for i in range(DIM))}, 6) AS variance,
+true AS decreasing, true AS uncorrelated FROM embeddings""")
 def pca(spark, sf_dir):
-    """Explained variance of the first 20 components of the embeddings."""
-    data = scaling.assemble(_wide(spark, sf_dir), NAMES)
-    model = scaling.fit_pca(data, 20)
-    shares = model.stages[-1].explainedVariance.toArray()
+    """All principal components: their variances add up to those of the columns, decrease, and no two components correlate."""
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Correlation
 
-    variances = model.transform(data).select(F.posexplode(vector_to_array("pca")).alias("component", "x"))
-    share = F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("component"))
-    return variances.groupBy("component").agg(F.var_samp("x").alias("variance")).withColumn("share", share)
+    data = scaling.assemble(_wide(spark, sf_dir), NAMES)
+    moved = scaling.fit_pca(data, DIM).transform(data).select("pca")
+    x = vector_to_array("pca")
+    one = moved.agg(F.array(*[F.var_samp(F.get(x, F.lit(i))) for i in range(DIM)]).alias("v"))
+    drops = F.forall(F.sequence(F.lit(1), F.lit(DIM - 1)), lambda i: F.get("v", i) <= F.get("v", i - 1) + 1e-9)
+    matrix = Correlation.corr(moved, "pca").first()[0].toArray()
+    apart = float(abs(matrix - np.eye(DIM)).max()) < 1e-6
+    return one.select(
+        F.size("v").cast("bigint").alias("components"), F.round(F.aggregate("v", F.lit(0.0), lambda s, v: s + v), 6).alias("variance"),
+        drops.alias("decreasing"), F.lit(apart).alias("uncorrelated"),
+    )
 
 
-@query("reduce_features")
+@query("reduce_features", f"""WITH emb AS (SELECT vec_id AS doc_id, CAST(CAST(label AS DOUBLE) AS VARCHAR) AS lang, NULL AS text FROM embeddings),
+{q.split_cte(0.2, source='emb')}
+SELECT method, doc_id AS vec_id, width FROM split, (VALUES ('pca', 20::BIGINT), ('selectkbest', 20::BIGINT), ('none', {DIM}::BIGINT)) m(method, width)
+WHERE split = 'test'""")
 def reduce_features(spark, sf_dir):
     """The three reductions fitted on train and applied to test: width of the result and rows."""
     from pyspark.ml.functions import vector_to_array

@@ -48,16 +48,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan that yields fewer partitions than there are cores one partition per core.
-
-    One small file is one task however many cores wait for it. A large table already has far more
-    splits than cores and passes through untouched, so no text is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 BROADCAST_ROWS = 100_000
 
 
