@@ -29,12 +29,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.functions.names import quoted
+from inkprint.operators.evaluation import PREDICTED, TRUE, per_class
+from inkprint.operators.labels import LabelEncoder, decode_predictions
 from inkprint.operators.profile import summarize_folds
 from inkprint.operators.sampling import stratified_folds
 from inkprint.operators.scaling import reduction_stages
+from inkprint.sources.sinks import write_csv
 from inkprint.storage import materialize
 
 SCORES = "model string, fold bigint, score double"
+REPORT_COLUMNS = ("label", "precision", "recall", "f1", "support", "tp")
+ZOO = (
+    "model string, feature_set string, accuracy double, status string, "
+    "report array<struct<label: string, precision: double, recall: double, f1: double, support: bigint>>"
+)
 
 
 @dataclass(frozen=True)
@@ -395,12 +403,13 @@ def feature_set_variants(n: int = 50) -> dict[str, tuple[str, tuple[str, int] |
 def train_model_zoo(
     learners: Sequence[Learner], train: DataFrame, test: DataFrame,
     variants: dict[str, tuple[str, tuple[str, int] | None]] | None = None, model_dir: str | None = None,
-    wrong_dir: str | None = None,
+    wrong_dir: str | None = None, labels: LabelEncoder | None = None, text: str = "text",
 ) -> DataFrame:
-    """Every learner on every feature set: (model, feature_set, accuracy, status).
+    """Every learner on every feature set: (model, feature_set, accuracy, status, report).
 
-    With ``model_dir`` the models are saved; with ``wrong_dir`` so are the wrong test rows. A failing
-    combination becomes a row with its status.
+    ``report`` holds precision, recall, F1 and support of every class. With ``model_dir`` the models are saved; with
+    ``wrong_dir`` the wrong test rows are written as ``<model>_<set>_misclassified.csv`` with text, true_label and
+    predicted_label, named by ``labels``, as the error summary reads them. A failing combination becomes a row with its status.
     """
     spark = train.sparkSession
     n_classes = class_count(train)
@@ -411,15 +420,20 @@ def train_model_zoo(
             tag = f"{learner.name}_{set_name}"
             try:
                 fitted = fit(replace(learner, reduce=reduce), fit_on, n_classes)
-                rows.append((learner.name, set_name, score(fitted, score_on), "success"))
+                scored = fitted.transform(score_on)
+                for index, name in (("label", TRUE), ("prediction", PREDICTED)):
+                    scored = decode_predictions(scored, index, name, labels)
+                report = [tuple(r) for r in per_class(scored).select(*REPORT_COLUMNS).orderBy("label").collect()]
+                right, total = sum(r[-1] for r in report), sum(r[4] for r in report)
+                rows.append((learner.name, set_name, right / total if total else None, "success", [r[:5] for r in report]))
                 if model_dir:
                     fitted.save(spark, f"{model_dir}/{tag}")
                 if wrong_dir:
-                    wrong = fitted.transform(score_on).filter(F.col("prediction") != F.col("label"))
-                    wrong.select("doc_id", "label", "prediction").write.mode("overwrite").parquet(f"{wrong_dir}/{tag}")
+                    shown = [c for c in (text, TRUE, PREDICTED) if c in scored.columns]
+                    write_csv(scored.filter(F.col(TRUE) != F.col(PREDICTED)).select(*shown), f"{wrong_dir}/{tag}_misclassified.csv")
             except Exception as error:
-                rows.append((learner.name, set_name, None, failure(error)))
-    return spark.createDataFrame(rows, "model string, feature_set string, accuracy double, status string")
+                rows.append((learner.name, set_name, None, failure(error), None))
+    return spark.createDataFrame(rows, ZOO)
 
 
 def ablation(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from inkprint.operators.attribution import feature_frame
-from inkprint.operators.evaluation import classification_report, prediction_table
+from inkprint.operators.evaluation import classification_report
 from inkprint.operators.ngrams import NgramVocabulary
 from inkprint.operators.scaling import assemble
 from inkprint.operators.stylometry import style_features
@@ -48,13 +49,19 @@ def vector_sink(spark, sf_dir):
     return rounded(vector_columns(sinks.read_vectors(spark, path), "embedding", "e_", DIM))
 
 
-@query("model_store")
+@query("model_store", "SELECT vec_id, CAST(label AS DOUBLE) AS true_label, true AS same_prediction, true AS same_probability FROM embeddings")
 def model_store(spark, sf_dir):
-    """A pipeline fitted on the embeddings, saved, loaded and applied."""
+    """A pipeline fitted on the embeddings, saved and loaded: both give every row the same prediction and probabilities."""
     data = assemble(_wide(spark, sf_dir).withColumn("label", F.col("label").cast("double")), NAMES)
     path = scratch_path(spark, "model")
-    sinks.save_model(Pipeline(stages=[LogisticRegression(maxIter=10)]).fit(data), path)
-    return prediction_table(sinks.load_model(path).transform(data), "label", "prediction", keys=("vec_id",))
+    fitted = Pipeline(stages=[LogisticRegression(maxIter=10)]).fit(data)
+    sinks.save_model(fitted, path)
+    once = fitted.transform(data).withColumnsRenamed({"prediction": "_p", "probability": "_q", "rawPrediction": "_r"})
+    both = sinks.load_model(path).transform(once)
+    return both.select(
+        "vec_id", F.col("label").alias("true_label"), (F.col("prediction") == F.col("_p")).alias("same_prediction"),
+        (vector_to_array("probability") == vector_to_array("_q")).alias("same_probability"),
+    )
 
 
 @query("feature_names_store", f"""WITH {_gram_ctes()},

@@ -15,7 +15,8 @@ def read_author_tree(
     spark: SparkSession, root: str, authors: Sequence[str] | None = None, strip: bool = False,
     drop_empty: bool = False, skip_unreadable: bool = False,
 ) -> DataFrame:
-    """``root/<author>/<name>.txt``, one row per file: text, label (the directory), filename.
+    """``root/<author>/<name>.txt``, one row per file: doc_id, text, label (the directory), filename.
+    ``doc_id`` is ``<author>/<name>.txt``: the same for every read, whatever the root is.
 
     ``authors`` restricts the listing to those directories, so the others are not even read. Files are read
     whole, as UTF-8, with line ends as ``\\n``. Spark lists no file of zero bytes, so such a file gives no row.
@@ -31,6 +32,7 @@ def read_author_tree(
         files = files.filter(F.col("text").isNotNull())
     parts = F.split("_path", "/")
     corpus = files.select(
+        F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)).alias("doc_id"),
         (tx.strip(F.col("text")) if strip else F.col("text")).alias("text"),
         F.element_at(parts, -2).alias("label"),
         F.element_at(parts, -1).alias("filename"),
@@ -39,12 +41,12 @@ def read_author_tree(
 
 
 def load_corpus(spark: SparkSession, root: str, authors: Sequence[str]) -> DataFrame:
-    """(text, label) of the given authors, texts untouched."""
-    return read_author_tree(spark, root, authors).select("text", "label")
+    """(doc_id, text, label) of the given authors, texts untouched."""
+    return read_author_tree(spark, root, authors).select("doc_id", "text", "label")
 
 
 def build_dataset(spark: SparkSession, root: str) -> DataFrame:
-    """(text, label, filename) of every author: stripped, empty texts dropped. No author is an error."""
+    """(doc_id, text, label, filename) of every author: stripped, empty texts dropped. No author is an error."""
     dataset = read_author_tree(spark, root, strip=True, drop_empty=True)
     if not dataset.take(1):
         raise ValueError(f"no author texts found in {root}")
@@ -52,8 +54,8 @@ def build_dataset(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_samples(spark: SparkSession, root: str, authors: Sequence[str]) -> DataFrame:
-    """(text, label) of the given authors: stripped, empty texts kept, unreadable files passed over."""
-    return read_author_tree(spark, root, authors, strip=True, skip_unreadable=True).select("text", "label")
+    """(doc_id, text, label) of the given authors: stripped, empty texts kept, unreadable files passed over."""
+    return read_author_tree(spark, root, authors, strip=True, skip_unreadable=True).select("doc_id", "text", "label")
 
 
 def csv_reader(spark: SparkSession):

@@ -1,11 +1,17 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from inkprint.operators import learners as ml
-from inkprint.operators.attribution import AttributionModel
+from inkprint.operators.attribution import AttributionModel, Embedding
+from inkprint.operators.labels import LabelEncoder
 from inkprint.operators.sampling import stratified_folds
+from inkprint.operators.scaling import BestByF
+from inkprint.operators.vectors import hashed_trigram_encoder
+from inkprint.sources.corpus import build_dataset
+from inkprint.sources.sinks import misclassification_summary, union_misclassified
 
 LOGISTIC = ml.logistic_regression(max_iter=20)
 FOREST = ml.random_forest(trees=5, max_depth=5)
@@ -74,27 +80,50 @@ def test_searches_and_best_network(data):
 
 
 def test_zoo_saves_models_and_wrong_rows(spark, data, tmp_path):
-    wide = data.withColumn("style", F.col("features")).withColumn("embedding", F.col("features"))
+    wide = data.withColumn("style", F.col("features")).withColumn("embedding", F.col("features")).withColumn("text", F.lit("a, \"text\"\nof two lines"))
     table = ml.train_model_zoo(
         [FOREST, ml.Learner("Broken", "nothing")], wide, wide, ml.feature_set_variants(2), str(tmp_path / "m"), str(tmp_path / "w")
     )
     rows = {(r["model"], r["feature_set"]): r for r in table.collect()}
     assert len(rows) == 10 and rows["Broken", "pca"]["accuracy"] is None
     saved = ml.Fitted.load(spark, str(tmp_path / "m" / "RandomForest_kbest"))
-    wrong = spark.read.parquet(str(tmp_path / "w" / "RandomForest_kbest")).count()
+    wrong = union_misclassified(spark, str(tmp_path / "w" / "RandomForest_kbest_misclassified.csv")).count()
     assert ml.score(saved, wide) == pytest.approx(rows["RandomForest", "kbest"]["accuracy"])
     assert wrong == round(150 * (1 - rows["RandomForest", "kbest"]["accuracy"]))
 
 
+def test_wrong_rows_of_the_zoo_reach_the_summary(spark, data, tmp_path):
+    labels = LabelEncoder.fit(spark.createDataFrame([("ann",), ("bob",), ("cy",)], "name string"), "name")
+    blind = data.withColumn("style", array_to_vector(F.array(F.lit(0.0)))).withColumn("text", F.concat(F.lit("text, no. "), "doc_id"))
+    zoo = ml.train_model_zoo([FOREST], blind, blind, {"blind": ("style", None)}, wrong_dir=str(tmp_path), labels=labels).first()
+    summary = misclassification_summary(union_misclassified(spark, str(tmp_path / "*_misclassified.csv"))).collect()
+    assert len(summary) == round(150 * (1 - zoo["accuracy"])) > 0
+    assert {r["model"] for r in summary} == {"RandomForest_blind"} and summary[0]["text_snippet"].startswith("text, no. ")
+    assert {r["true_label"] for r in summary} | {r["predicted_label"] for r in summary} == {"ann", "bob", "cy"}
+    assert [r["label"] for r in zoo["report"]] == ["ann", "bob", "cy"] and sum(r["support"] for r in zoo["report"]) == 150
+
+
+def test_selection_ranks_by_f_where_p_values_are_all_zero(spark):
+    rows = [(float(i % 2), Vectors.dense([(i % 2) * 2.0 + (i * 7919 % 1000) / 1000, (i % 2) * 40.0 + (i * 104729 % 1000) / 1000, 1.0, float(i % 2)])) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, ["label", "features"])
+    for k, wanted in ((1, [3]), (2, [1, 3]), (3, [0, 1, 3])):
+        assert BestByF(k, "features", "out", "label").fit(frame).getIndices() == wanted
+
+
+def test_failures_keep_what_was_said(data):
+    status = ml.compare_models([ml.Learner("Broken", "nothing")], data, 3).first()["status"]
+    assert status == "failed: ValueError: unknown recipe 'nothing'"
+
+
 def test_stacking_members_do_not_see_their_rows(data, monkeypatch):
     """A member trained on a fold's rest never meets a row of that fold."""
     seen = []
     real = ml.fit
 
-    def spy(learner, train, n_classes=None):
+    def spy(learner, train, *rest):
         if learner.name == "LogisticRegression" and "_stack_fold" in train.columns:
             seen.append({r[0] for r in train.select("_stack_fold").distinct().collect()})
-        return real(learner, train, n_classes)
+        return real(learner, train, *rest)
 
     monkeypatch.setattr(ml, "fit", spy)
     real(ml.stacking([LOGISTIC], folds=3, max_iter=5), data)
@@ -112,3 +141,25 @@ def test_attribution_round_trip(spark, tmp_path):
     assert scored.filter("predicted_label = label").count() == 60
     plan = loaded.score(df.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_author_files_to_saved_stacked_model_with_embeddings(spark, tmp_path):
+    """Files of two authors, style, n-grams and components, stacking on string keys, saved, loaded, scored from both kinds of vectors."""
+    for author, word in (("ann", "alpha beta, gamma"), ("bob", "delta. epsilon! zeta")):
+        folder = tmp_path / "corpus" / author
+        folder.mkdir(parents=True)
+        for i in range(12):
+            (folder / f"{i}.txt").write_text(" ".join([word] * (3 + i % 4)) + f" {i}.")
+    docs = build_dataset(spark, str(tmp_path / "corpus"))
+    assert {r["doc_id"] for r in docs.collect()} == {f"{a}/{i}.txt" for a in ("ann", "bob") for i in range(12)}
+    embedding = Embedding(hashed_trigram_encoder(16), n=5)
+    model = AttributionModel.train(docs, ml.stacking([LOGISTIC, FOREST], folds=2, max_iter=10), embedding=embedding)
+    model.save(spark, str(tmp_path / "model"))
+    loaded = AttributionModel.load(spark, str(tmp_path / "model"))
+    scored = {r["doc_id"]: r for r in loaded.score(docs, keep=["label"], embedding=embedding).collect()}
+    assert len(scored) == 24 and all(r["label"] == r["predicted_label"] for r in scored.values())
+    vectors = embedding.add(docs, "doc_id", "text").select("doc_id", "embedding")
+    from_table = loaded.score(docs, embedding=Embedding(table=vectors)).collect()
+    assert {r["doc_id"]: r["predicted_label"] for r in from_table} == {k: r["predicted_label"] for k, r in scored.items()}
+    with pytest.raises(ValueError):
+        loaded.score(docs)
