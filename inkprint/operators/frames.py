@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,11 +86,24 @@ def fill_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def non_finite_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n_nan, n_inf), one row per column, from one pass."""
-    doubles = df.selectExpr(*[f"cast({quoted(c)} as double) as {quoted(c)}" for c in columns])
-    values = doubles.unpivot([], list(columns), "feature", "value")
-    return values.groupBy("feature").agg(
-        F.count_if(F.isnan("value")).alias("n_nan"), F.count_if(F.abs("value") == float("inf")).alias("n_inf")
-    )
+    return per_column(df, columns, {
+        "n_nan": lambda v: F.count_if(F.isnan(v)), "n_inf": lambda v: F.count_if(F.abs(v) == float("inf")),
+    })
+
+
+def per_column(
+    df: DataFrame, columns: Sequence[str], measures: dict[str, Callable[[Column], Column]], by: Sequence[str] = ()
+) -> DataFrame:
+    """(by, feature, measures): aggregates of every column, as double, from one pass that keeps a row a row.
+
+    All aggregates stand side by side in one partial aggregation; they are turned into rows afterwards.
+    """
+    entries = []
+    for c in columns:
+        value = F.col(quoted(c)).cast("double")
+        entries.append(F.struct(F.lit(c).alias("feature"), *[measure(value).alias(name) for name, measure in measures.items()]))
+    grouped = df.groupBy(*by) if by else df.groupBy()
+    return grouped.agg(F.array(*entries).alias("_entries")).select(*by, F.inline("_entries"))
 
 
 def assert_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
