@@ -36,6 +36,18 @@ def test_corpus_counts_combine_before_the_shuffle(spark, sf_dir):
     assert text.count("Exchange") == 1 and text.count("FileScan") == 1 and "partial_count" in text
 
 
+@pytest.mark.parametrize("name", [
+    "stylometry_core", "stylometric_features", "char_entropy", "yules_k", "technicality_score", "text_md5", "stopword_lookup", "sentence_split",
+])
+def test_registered_text_queries_shuffle_nothing(spark, sf_dir, name):
+    assert "Exchange" not in plan(entry_module.queries()[name](spark, sf_dir))
+
+
+def test_column_profiles_keep_rows_whole(spark, sf_dir):
+    text = plan(entry_module.queries()["finite_check"](spark, sf_dir))
+    assert "Expand" not in text and text.count("Exchange") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     text = plan(entry_module.queries()["load_corpus"](spark, sf_dir))
     assert "PushedFilters: [In(lang" in text
