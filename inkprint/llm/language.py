@@ -152,32 +152,22 @@ def fit_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SA
     """Fit on at most ``rows`` training rows per language: those with the smallest seeded hashes of their texts.
 
     While fitting, a sampled text is cut to ``chars`` characters; predictions read whole texts. Rows that are held out or lack text,
-    label or letters are not used. The sample is found by partial aggregation on (hash, key) pairs, so that a
-    language with most of the rows never meets in one task. Equal texts count once.
+    label or letters are not used. Rows are counted per language, and those below the hash under which four times ``rows``
+    are expected come to the driver, so their number does not grow with the table. Equal texts count once.
     """
     train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = train.select("lang", F.xxhash64(F.lit(seed), "text").alias("_h"), F.substring("text", 1, chars).alias("text"))
-    # The cut hash per language: bins of equal width are counted, and the first bins that hold enough rows are read.
-    width = 1 << 12
-    bin_ = F.shiftrightunsigned("_h", 52).cast("int")
-    counts = hashed.groupBy("lang", bin_.alias("_bin")).agg(F.count("*").alias("n")).collect()
-    cut: dict[str, int] = {}
-    for name in sorted({r["lang"] for r in counts}):
-        seen = 0
-        for r in sorted((r for r in counts if r["lang"] == name), key=lambda r: r["_bin"]):
-            seen += r["n"]
-            cut[name] = r["_bin"]
-            if seen >= rows:
-                break
-    if not cut:
+    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return LanguageModel.fit([], [])
     wanted = F.lit(False)
-    for name, last in cut.items():
-        wanted = wanted | ((F.col("lang") == name) & (bin_ <= last))
-    picked = hashed.where(wanted & (bin_ < width)).dropDuplicates(["lang", "_h"]).collect()
+    for name, n in counts.items():
+        last = int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, 4 * rows / n))
+        wanted = wanted | ((F.col("lang") == name) & (F.col("_h") <= F.lit(min(last, (1 << 63) - 1))))
+    picked = hashed.where(wanted).dropDuplicates(["lang", "_h"]).collect()
     texts, labels = [], []
-    for name in sorted(cut):
-        for r in sorted((r for r in picked if r["lang"] == name), key=lambda r: r["_h"] % (1 << 64))[:rows]:
+    for name in sorted(counts):
+        for r in sorted((r for r in picked if r["lang"] == name), key=lambda r: r["_h"])[:rows]:
             texts.append(r["text"].encode())
             labels.append(name)
     return LanguageModel.fit(texts, labels)

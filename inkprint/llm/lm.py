@@ -29,7 +29,7 @@ from inkprint.storage import materialize
 WORDS, CLASSES, WIDTH = 960, 63, 16
 #: Words whose counts are broadcast (some MB); the counts of the others are joined.
 LOOKED_UP = 262_144
-#: Texts of the sample that the common start is trained on, and the characters taken from each.
+#: Texts, about, of the sample that the common start is trained on, and the characters taken from each.
 START_TEXTS, START_CHARS, START_ROUNDS = 2000, 2000, 4
 #: Contexts trained on at a time, noise symbols drawn for them, step of the adaptive gradient.
 BATCH, NOISE, STEP = 4096, 48, 0.1
@@ -228,10 +228,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit_vocabulary(counts: DataFrame, texts: int, looked_up: int = LOOKED_UP) -> Vocabulary:
-    """Totals over all counted words, and the ``looked_up`` most frequent ones, ties by their bytes."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(looked_up).toArrow()
-    words = [bytes(w) for w in top.column("word").to_pylist()]
+    """Totals over all counted words, and the frequent ones: those above the least power of two that leaves at most ``looked_up``.
+
+    One pass counts the words above every power, so no more than ``looked_up`` rows ever come to the driver.
+    """
+    cuts = [0, *(1 << j for j in range(50))]
+    above = [F.count_if(F.col("n") > cut) for cut in cuts]
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.array(*above)).first()
+    cut = next(c for c, n in zip(cuts, total[2]) if n <= looked_up)
+    frequent = counts.where(F.col("n") > cut).toArrow()
+    top = sorted(zip(frequent.column("n").to_pylist(), map(bytes, frequent.column("word").to_pylist())), key=lambda x: (-x[0], x[1]))
+    words = [w for _, w in top]
     symbols = set(words[:WORDS])
 
     def by_class(batches):
@@ -249,7 +256,7 @@ def fit_vocabulary(counts: DataFrame, texts: int, looked_up: int = LOOKED_UP) ->
     for row in sums.collect():
         tokens[row["class"]], types[row["class"]] = row["tokens"], row["types"]
     return Vocabulary(
-        b" ".join(words), np.array(top.column("n").to_pylist(), np.int64), tokens, types, texts,
+        b" ".join(words), np.array([n for n, _ in top], np.int64), tokens, types, texts,
         int(total[0]) + texts, int(total[1]) + (1 if texts else 0), uuid.uuid4().hex,
     )
 
@@ -302,13 +309,13 @@ def _average(batches):
 
 
 def _common_start(train: DataFrame, vocabulary: Vocabulary, seed: int) -> Model:
-    """A model trained on the rows with the smallest hashes of their keys, START_TEXTS at most, so that all tasks share a basis."""
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    last = train.select(order.alias("h")).orderBy("h").limit(START_TEXTS).agg(F.max("h")).first()[0]
+    """A model trained on about START_TEXTS rows, those whose hashes are smallest, so that all tasks share a basis."""
     model = Model.start(vocabulary.symbol_counts, seed)
-    if last is None:
+    if not vocabulary.texts:
         return model
-    sample = train.where(order <= last).select("doc_id", F.substring("text", 1, START_CHARS).alias("text")).limit(START_TEXTS).collect()
+    last = int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, START_TEXTS / vocabulary.texts))
+    chosen = train.where(F.xxhash64(F.lit(seed), "doc_id", "text") <= F.lit(min(last, (1 << 63) - 1)))
+    sample = chosen.select("doc_id", F.substring("text", 1, START_CHARS).alias("text")).limit(2 * START_TEXTS).collect()
     lookup, rng, noise = Lookup(vocabulary), np.random.default_rng(seed), _noise(vocabulary)
     texts = [lookup.symbols(tokens_of((r["text"] or "").encode()))[1] for r in sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or ""))]
     w1, w2, w = lookup.contexts(texts)
