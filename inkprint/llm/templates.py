@@ -1,6 +1,6 @@
 """Main text of web pages by deducing the template of each host.
 
-A page is a sequence of tokens: tags, and words in their place in the tree. For every token of a host the occurrence vector says
+A page is a sequence of tokens: tags, and the runs of text between them, in their place in the tree. For every token of a host the occurrence vector says
 how often it comes on each page. Tokens with equal vectors form an equivalence class; a class that is large and
 found on nearly all pages of the host was put there by the template, not by the author. The valid classes are nested, those
 that come once per page around those that repeat; what lies between their tokens are the slots, and the slots of the
@@ -113,24 +113,35 @@ def _close_before(tag: str, stack: list[Node]) -> None:
                 break
 
 
-def token_hash(path: str, word: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{path}\0{word}") >> 1
+_tag_hashes: dict[str, int] = {}
+
+
+def token_hash(path: str, run: str = "") -> int:
+    """The token of a tag, or of a run of text, in its place. Tags repeat, so theirs are remembered."""
+    if run:
+        return xxhash.xxh64_intdigest(f"{path}\0{run}") >> 1
+    token = _tag_hashes.get(path)
+    if token is None:
+        if len(_tag_hashes) >= HELD:
+            _tag_hashes.clear()
+        token = _tag_hashes[path] = xxhash.xxh64_intdigest(path) >> 1
+    return token
+
+
+def _token(kind: str, value: str, node: Node) -> int | None:
+    """The token of an event; none for the edge of a block and for white space."""
+    if kind == "t":
+        return token_hash(value)
+    run = " ".join(value.split()) if kind == "x" else ""
+    return token_hash(node.path, run) if run else None
 
 
 def page_tokens(page: str) -> tuple[Counter, dict[int, int]]:
     """Counts of the tokens of a page, and the place where each first comes."""
-    counts, first, place = Counter(), {}, 0
-    hashes: dict[tuple[str, str], int] = {}
-    for kind, value, node in events(page):
-        if kind == "b":
-            continue
-        for key in [(value, "")] if kind == "t" else [(node.path, w) for w in value.split()]:
-            token = hashes.get(key)
-            if token is None:
-                token = hashes[key] = token_hash(*key)
-                first[token] = place
-            counts[token] += 1
-            place += 1
+    tokens = [t for t in (_token(*event) for event in events(page)) if t is not None]
+    counts, first = Counter(tokens), {}
+    for place, token in enumerate(tokens):
+        first.setdefault(token, place)
     return counts, first
 
 
@@ -192,7 +203,7 @@ def extract(page: str | None, classes: list[list[int]] | None = None) -> str:
     """The main text of one page: its blocks in page order, one line each; white space inside a block is one blank.
 
     Kept are the slots of the article, or of the body where a page has no article, that lie outside menus, headers, footers,
-    sidebars, forms, notices, adverts and comments. A block made up of template words alone belongs to no slot.
+    sidebars, forms, notices, adverts and comments. A block made up of template text alone belongs to no slot.
     """
     if not page:
         return ""
@@ -219,7 +230,7 @@ def extract(page: str | None, classes: list[list[int]] | None = None) -> str:
                 words.append(" ")
         elif not node.outside and node.article >= in_article:
             words.append(value)
-            own = own or not template or any(token_hash(node.path, w) not in template for w in value.split())
+            own = own or not template or _token(kind, value, node) not in template
     close()
     return "\n".join(blocks)
 
@@ -230,11 +241,10 @@ def _valid_tokens(parsed: list, classes: list[list[int]]) -> set[int]:
         return set()
     wanted = {t for c in classes for t in c}
     first: dict[int, int] = {}
-    for kind, value, node in parsed:
-        for key in [(value, "")] if kind == "t" else [(node.path, w) for w in value.split()] if kind == "x" else ():
-            token = token_hash(*key)
-            if token in wanted:
-                first.setdefault(token, len(first))
+    for event in parsed:
+        token = _token(*event)
+        if token in wanted:
+            first.setdefault(token, len(first))
     valid: set[int] = set()
     for members in classes:
         places = [first[t] for t in members if t in first]

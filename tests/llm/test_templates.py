@@ -40,7 +40,7 @@ def host_pages(n, seed=1):
     return pages, texts
 
 
-def test_words_of_the_template_belong_to_no_slot(spark):
+def test_text_of_the_template_belongs_to_no_slot(spark):
     pages, texts = host_pages(40)
     rows = [(i, "https://Host.example/%d" % i, p) for i, p in enumerate(pages)]
     rows += [(100, "https://other.example/", pages[0]), (101, None, None), (102, "no url", ""), (0, rows[0][1], pages[0])]
@@ -58,11 +58,11 @@ def test_words_of_the_template_belong_to_no_slot(spark):
 
 
 def test_signatures_tell_vectors_apart(spark):
-    pages = spark.createDataFrame([(i, "h", f"<p>same same</p><i>{'x ' * (1 + i % 2)}</i>") for i in range(8)], "page_id bigint, host string, html string")
+    pages = spark.createDataFrame([(i, "h", f"<p>same</p><i>same</i><i>same</i>{'<u>x</u>' * (1 + i % 2)}") for i in range(8)], "page_id bigint, host string, html string")
     classes = templates.deduce_templates(pages).collect()[0]["classes"]
     together = [set(c) for c in classes]
-    once, twice = templates.token_hash("/p"), templates.token_hash("/p", "same")
-    assert any(once in c and twice not in c for c in together)
+    once, twice, mixed = templates.token_hash("/p", "same"), templates.token_hash("/i", "same"), templates.token_hash("/u", "x")
+    assert len(together) == 3 and not any({once, twice} <= c or {once, mixed} <= c or {twice, mixed} <= c for c in together)
 
 
 def test_given_pages_have_articles_only(spark, sf_dir):
