@@ -24,6 +24,8 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Largest Arrow batch. Each running task holds copies of one on both sides of its socket, and texts may be long.
+BATCH_BYTES = "8m"
 #: Rows handled together by a row function; texts may be long, so an Arrow batch is taken in slices.
 SLICE_ROWS = 512
 
@@ -31,7 +33,11 @@ SLICE_ROWS = 512
 def map_rows(
     df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str, rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Apply ``function`` to slices of at most ``rows`` rows; it returns one sequence per output column."""
+    """Apply ``function`` to slices of at most ``rows`` rows; it returns one sequence per output column.
+
+    Sets the session's Arrow batch size, in bytes, for what is run from now on.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     target = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units of up to so many characters are merged without a queue; the cost of a merge that no piece allows.
 SHORT, NEVER = 48, float("inf")
 #: Units that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,6 +86,24 @@ class CharacterMap:
         return (unit >> 10) << ((unit & 1 << 9) >> 6)
 
 
+class Recent(dict):
+    """A bounded cache of two generations: when the younger is full it becomes the older, whose entries return when used."""
+
+    def __init__(self, compute, limit: int = REMEMBERED):
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class PieceModel:
     """A byte-pair model read from a ``.model`` file."""
 
@@ -118,6 +136,7 @@ class PieceModel:
         # A line feed that no longer piece holds never merges, so it is a unit of its own.
         alone = "\n" if not any("\n" in p and len(p) > 1 for p in self.ids) else ""
         self.unit = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+|\n")
+        self.packed = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
         self.cost = {p: -self.scores[i] for p, i in self.ids.items()}
         self.neighbours = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.sizes = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types)], np.int64)
@@ -127,7 +146,7 @@ class PieceModel:
             for i, (p, t) in enumerate(zip(self.pieces, self.types))
         ]
         self.control = {i for i, t in enumerate(self.types) if t == CONTROL}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Recent(self._encode_unit)
 
     # -- normalisation ------------------------------------------------------------------------------------------
 
@@ -184,12 +203,15 @@ class PieceModel:
         """Without a map each character is its own chunk: the same record, made by array operations."""
         string = self.normalised_plain(text)
         data = np.frombuffer(text, np.uint8)
-        starts = np.flatnonzero(data & 0xC0 != 0x80)
-        sizes = np.diff(starts, append=len(data))
+        if text.isascii():
+            starts, sizes = np.arange(len(data), dtype=np.int32), 1
+        else:
+            starts = np.flatnonzero(data & 0xC0 != 0x80).astype(np.int32)
+            sizes = np.diff(starts, append=np.int32(len(data)))
         made = np.where(data[starts] == 32, 3, sizes)
         begin, end = np.repeat(starts, made), np.repeat(starts + sizes, made)
         if self.prefix:
-            begin, end = (np.concatenate([np.zeros(3, np.int64), x]) for x in (begin, end))
+            begin, end = (np.concatenate([np.zeros(3, np.int32), x]) for x in (begin, end))
         return string, begin, end
 
     def normalised_plain(self, text: bytes) -> str:
@@ -243,21 +265,15 @@ class PieceModel:
                 offer(left[i], i)
         return [p for p in parts if p]
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
-        """The ids of one unit. Two neighbouring characters that no piece holds side by side are never joined, so a unit
-        that is met for the first time is cut there, and its parts are often known already."""
-        known = self.known.get(unit)
-        if known is None:
-            cuts = [i for i in range(1, len(unit)) if unit[i - 1:i + 1] not in self.neighbours]
-            if cuts:
-                parts = [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])]
-                known = tuple(chain.from_iterable([self.encode_unit(p) for p in parts]))
-            else:
-                known = tuple(chain.from_iterable(self.piece_ids(p) for p in self.unit_pieces(unit)))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[unit] = known
-        return known
+    def _encode_unit(self, unit: str) -> bytes:
+        """The ids of one unit, packed. Two neighbouring characters that no piece holds side by side are never joined, so a
+        unit that is met for the first time is cut there, and its parts are often known already."""
+        neighbours = self.neighbours
+        cuts = [i for i, pair in enumerate(map("".join, zip(unit, unit[1:])), 1) if pair not in neighbours]
+        if cuts:
+            return b"".join([self.known[unit[a:b]] for a, b in zip([0, *cuts], [*cuts, len(unit)])])
+        pieces, ids = self.unit_pieces(unit), self.packed
+        return b"".join([ids[p] if p in ids else np.array(self.piece_ids(p), np.int32).tobytes() for p in pieces])
 
     def piece_ids(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
@@ -265,25 +281,28 @@ class PieceModel:
             return [self.byte_ids[b] for b in piece.encode()]
         return [self.unknown if found is None else found]
 
-    def piece_sizes(self, string: str, ids: list[int]) -> np.ndarray:
+    def piece_sizes(self, string: str, ids: np.ndarray) -> np.ndarray:
         """Normalised bytes of each piece: one for a byte piece, otherwise those of its name or, if unknown, of its part."""
         if self.byte_fallback or self.unknown not in ids:
             return self.sizes[ids]
         pieces = [p for u in self.unit.findall(string) for p in self.unit_pieces(u)]
         return np.array([len(p.encode()) for p in pieces], np.int64)
 
-    def encode(self, text: bytes | None) -> list[int]:
-        string = self.normalised_plain(text or b"") if self.plain else self.normalise(text or b"")[0]
-        return list(chain.from_iterable(map(self.encode_unit, self.unit.findall(string))))
+    def _ids(self, string: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.unit.findall(string))), np.int32)
 
-    def encode_spans(self, text: bytes | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def encode(self, text: bytes | None) -> np.ndarray:
+        return self._ids(self.normalised_plain(text or b"") if self.plain else self.normalise(text or b"")[0])
+
+    def encode_spans(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first and last + 1 byte of the original text that each piece stands for."""
         string, begin, end = self.normalise(text or b"")
-        ids = list(chain.from_iterable(map(self.encode_unit, self.unit.findall(string))))
-        if not ids:
-            return ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        stops = np.cumsum(self.piece_sizes(string, ids))
-        return ids, begin[np.concatenate([[0], stops[:-1]])], end[stops - 1]
+        ids = self._ids(string)
+        if not len(ids):
+            return ids, begin, end
+        sizes = self.piece_sizes(string, ids)
+        stops = np.cumsum(sizes)
+        return ids, begin[stops - sizes], end[stops - 1]
 
     # -- decoding -----------------------------------------------------------------------------------------------
 
@@ -346,31 +365,38 @@ def load_model(path: str) -> PieceModel:
         return PieceModel(file.read())
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.concatenate([np.asarray(r, kind.to_pandas_dtype()) for r in rows]) if rows else []
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+    flat = np.concatenate([np.zeros(0, np.int32), *rows])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
+
+
+def _rows_of(lists: pa.ListArray) -> list[list[int]]:
+    """A list column as Python lists, by way of one flat array; a null row is an empty list."""
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(_lengths(lists), dtype=np.int64)
+    return [flat[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def encode_documents(docs: DataFrame, path: str, spans: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, spans: bool = True, decoded: bool = False) -> DataFrame:
     """doc_id, ids and, with ``spans``, begins and ends: byte offsets of each piece in the UTF-8 text of its row.
 
-    Whole texts, no begin or end ids. Null and empty texts give empty lists; every row of ``docs`` gives one row.
+    Whole texts, no begin or end ids. Null and empty texts give empty lists; every row of ``docs`` gives one row. With
+    ``decoded`` the ids are decoded again in the same pass, as by ``decode_ids``.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         model, texts = load_model(path), text_bytes(batch, "text")
-        if not spans:
-            return {"doc_id": batch.column(0), "ids": _lists([model.encode(t) for t in texts], pa.int32())}
-        found = [model.encode_spans(t) for t in texts]
-        return {
-            "doc_id": batch.column(0), "ids": _lists([f[0] for f in found], pa.int32()),
-            "begins": _lists([f[1] for f in found], pa.int32()), "ends": _lists([f[2] for f in found], pa.int32()),
-        }
+        found = [model.encode_spans(t) if spans else (model.encode(t),) for t in texts]
+        columns = {"doc_id": batch.column(0)} | {n: _lists(list(c)) for n, c in zip(("ids", "begins", "ends"), zip(*found))}
+        return columns | ({"decoded": [model.decode(f[0].tolist()) for f in found]} if decoded else {})
 
-    schema = "doc_id bigint, ids array<int>" + (", begins array<int>, ends array<int>" if spans else "")
-    return map_rows(docs.select("doc_id", "text"), run, schema)
+    schema = "doc_id bigint, ids array<int>" + (", begins array<int>, ends array<int>" if spans else "") + (", decoded string" if decoded else "")
+    return map_rows(docs.select("doc_id", "text"), run, schema, rows=128)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -379,7 +405,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         model = load_model(path)
         columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        return columns | {"decoded": [model.decode(x or []) for x in columns["ids"].to_pylist()]}
+        return columns | {"decoded": [model.decode(x) for x in _rows_of(columns["ids"])]}
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "decoded"]
     return map_rows(encoded.drop("decoded"), run, ", ".join([*fields, "decoded string"]))

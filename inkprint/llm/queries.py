@@ -31,7 +31,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(PIECES)
-    coded = pieces.decode_ids(pieces.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), path, decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
