@@ -93,3 +93,51 @@ def test_deduplicate_keeps_one_row_of_each_group(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted([(False, 4), (False, 6), (False, 1), (False, 3), (True, None)])
     assert simhash.deduplicate(docs.where("false")).count() == 0
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def star(copies, seed=4):
+    """An original of 60 words and copies with one word changed each: 51/61 to the original, 46/66 at most places to one another."""
+    rng = random.Random(seed)
+    words = ["o%d" % rng.randrange(10**6) for _ in range(60)]
+    changed = [" ".join("edit%d" % i if j == 5 + 7 * i % 50 else w for j, w in enumerate(words)) for i in range(copies)]
+    return " ".join(words), changed
+
+
+@pytest.mark.parametrize("crowd", [3, 48, 10_000])
+def test_star_leaves_one_row(spark, crowd):
+    original, changed = star(300)
+    rows = [(i, t) for i, t in enumerate([*changed[:150], original, *changed[150:]])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert [r["doc_id"] for r in simhash.deduplicate(docs, crowd=crowd).collect()] == [0]
+
+
+@pytest.mark.parametrize("crowd", [3, 48])
+def test_near_copies_among_documents_that_share_a_passage(spark, crowd):
+    rng = random.Random(5)
+    passage = ["p%d" % i for i in range(200)]
+
+    def own(n):
+        return ["u%d" % rng.randrange(10**9) for _ in range(n)]
+
+    texts = []
+    for _ in range(80):
+        words = passage + own(70)
+        texts.append(words)
+    for words in [texts[i] for i in range(0, 80, 2)]:
+        texts.append([*words[:-1], "end%d" % len(texts)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.deduplicate(docs, crowd=crowd).collect()} == set(range(80))
+
+
+def test_tile_links_connect_what_brute_force_connects():
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(14), rng.randint(0, 12))) for _ in range(60)]
+    keys = [b"%02d" % i for i in range(60)]
+    edges = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(set(a) & set(sets[j]))
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                edges.append((keys[i], keys[j]))
+    assert edges and roots(keys, simhash.tile_links(keys, keys, sets, 0.8)) == roots(keys, edges)
+    assert simhash.tile_links(keys, [b"r"] * 60, sets, 0.8) == []
