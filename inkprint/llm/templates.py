@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.base import map_rows
-from inkprint.storage import materialize
+from inkprint.storage import match_rows, materialize
 
 #: A class is valid with so many tokens, on so large a share of the pages of a host that has so many pages at least.
 CLASS_TOKENS, SUPPORT, HOST_PAGES = 3, 0.9, 4
@@ -182,10 +182,24 @@ def _signatures(batches):
     yield out()
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """page_id, host, html of every different page of a host, once each; page_id is the hash of its content.
+
+    Copies show nothing about a template: what they share may be the article. Hashes are counted, and only pages that
+    have copies are shuffled, after each task has left out its own.
+    """
+    keyed = pages.select(F.md5(F.concat_ws("\0", "host", F.coalesce("html", F.lit(""))).cast("binary")).alias("content"), "page_id", "host", "html")
+    copied = materialize(keyed.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content"), "copied")
+    single = match_rows(keyed, copied, "content", "left_anti", "page_id").select("content", "host", "html")
+    repeated = match_rows(keyed, copied, "content", "left_semi", "page_id").groupBy("content", "host").agg(F.first("html").alias("html"))
+    return single.union(repeated).withColumnRenamed("content", "page_id")
+
+
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """host, classes: the valid equivalence classes of each host, outermost first, each in the order of its tokens on the page.
 
-    ``pages`` has page_id, host and html. Hosts with fewer than HOST_PAGES pages have no template.
+    ``pages`` has page_id, host and html; every row counts as a page with an id of its own, so copies are to be left out before
+    (``distinct_pages``). Hosts with fewer than HOST_PAGES pages have no template.
     """
     partial = pages.select("page_id", "host", "html").mapInArrow(_signatures, SIGNATURE)
     sums = partial.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "s1", "s2", "place")])
@@ -256,11 +270,12 @@ def _valid_tokens(parsed: list, classes: list[list[int]]) -> set[int]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
-    Null and empty pages give empty texts. Pages without url are those of one nameless host. Repeated rows stay rows; other
+    Templates are deduced from the different pages of a host: copies, also under other addresses, count once, and a host with fewer
+    than HOST_PAGES different pages has no template. Null and empty pages give empty texts. Pages without url are those of one nameless host. Repeated rows stay rows; other
     columns are ignored.
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    templates = materialize(deduce_templates(rows), "templates")
+    templates = materialize(deduce_templates(distinct_pages(rows)), "templates")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         texts = [extract(h, c) for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]

@@ -76,3 +76,21 @@ def test_given_pages_have_articles_only(spark, sf_dir):
         import re
         words = references.unescape(re.sub(r"<[a-z/][^>]*>", " ", inside)).split()
         assert r["text"].split() == words
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    pages, texts = host_pages(12, seed=2)
+    whole = "Call us now today\n%s\nAll rights reserved here"
+    rows = [(i, "https://copies.example/%d" % i, pages[0]) for i in range(20)]
+    rows += [(20, "https://copies.example/20", pages[1]), (3, rows[3][1], pages[0])]
+    rows += [(100 + i, None, pages[2]) for i in range(8)]
+    rows += [(200 + i, "https://mixed.example/%d" % i, pages[min(i, 11)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    found = {r["page_id"]: r["text"] for r in templates.extract_pages(frame).collect()}
+    for i in range(20):
+        assert found[i] == whole % texts[0]
+    assert found[20] == whole % texts[1]
+    for i in range(8):
+        assert found[100 + i] == whole % texts[2]
+    for i in range(300):
+        assert found[200 + i] == texts[min(i, 11)]
