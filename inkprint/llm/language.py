@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.base import map_rows, text_bytes
+from inkprint.storage import materialize
 
 #: Families of languages by ISO 639-1 code. A label that is not listed is a family of its own.
 FAMILIES = {
@@ -28,8 +29,8 @@ FAMILIES = {
 }
 UNDETERMINED = "und"
 BITS = 14
-#: Labelled rows per language that the machines are fitted on, and bytes of each that they see while fitting.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 4000
+#: Different labelled texts per language that the machines are fitted on.
+SAMPLE_ROWS = 400
 #: Bytes of text whose n-grams are counted at a time.
 BLOCK = 1 << 20
 
@@ -100,8 +101,11 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, texts: list[bytes], labels: list[str]) -> LanguageModel:
+        return cls.fit_features(np.array([features(t) for t in texts], np.float32).reshape(len(texts), 1 << BITS), labels)
+
+    @classmethod
+    def fit_features(cls, x: np.ndarray, labels: list[str]) -> LanguageModel:
         langs = sorted(set(labels))
-        x = np.array([features(t) for t in texts], np.float32).reshape(len(texts), 1 << BITS)
         lang = np.array(labels, object)
         family = np.array([family_of(v) for v in labels], object)
         family_pairs = list(itertools.combinations(sorted(set(family)), 2))
@@ -148,29 +152,54 @@ def held_out(fold: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
-def fit_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, seed: int = 0) -> LanguageModel:
-    """Fit on at most ``rows`` training rows per language: those with the smallest seeded hashes of their texts.
+def fit_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 0) -> LanguageModel:
+    """Fit on ``rows`` different training texts per language, or all if there are fewer: those with the smallest seeded hashes.
 
-    While fitting, a sampled text is cut to ``chars`` characters; predictions read whole texts. Rows that are held out or lack text,
-    label or letters are not used. Rows are counted per language, and those below the hash under which four times ``rows``
-    are expected come to the driver, so their number does not grow with the table. Equal texts count once.
+    Texts are read whole. Rows that are held out or lack text, label or letters are not used. Equal texts count once, also when
+    the hash under which four times ``rows`` are expected is set; it is raised until every language has its texts. Features are
+    made in the tasks, so that the driver holds one vector per sampled text.
     """
     train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    hashed = train.select("lang", F.xxhash64(F.lit(seed), "text").alias("_h"), F.substring("text", 1, chars).alias("text"))
-    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = train.select("lang", F.xxhash64(F.lit(seed), "text").alias("_h"), "text")
+    distinct = materialize(hashed.select("lang", "_h").distinct(), "hashes")
+    counts = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel.fit([], [])
+    last, missing, share = {}, dict(counts), 4.0
+    while missing:
+        picked = distinct.where(_below({k: _cut(share * rows / n) for k, n in missing.items()})).collect()
+        for name, n in list(missing.items()):
+            found = sorted(r["_h"] for r in picked if r["lang"] == name)
+            if len(found) >= min(rows, n):
+                last[name] = found[min(rows, n) - 1]
+                del missing[name]
+        share *= 4
+    sample = hashed.where(_below(last)).groupBy("lang", "_h").agg(F.first("text").alias("text"))
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        vectors = [features(t) for t in text_bytes(batch, "text")]
+        at = [np.flatnonzero(v) for v in vectors]
+        packed = [i.astype(np.uint16).tobytes() for i in at], [v[i].tobytes() for v, i in zip(vectors, at)]
+        return {"lang": batch.column(0), "_h": batch.column(1), "at": packed[0], "value": packed[1]}
+
+    found = map_rows(sample, run, "lang string, _h bigint, at binary, value binary").collect()
+    found.sort(key=lambda r: (r["lang"], r["_h"]))
+    x = np.zeros((len(found), 1 << BITS), np.float32)
+    for row, r in zip(x, found):
+        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
+    return LanguageModel.fit_features(x, [r["lang"] for r in found])
+
+
+def _cut(share: float) -> int:
+    """The signed hash that so large a share of all hashes does not exceed."""
+    return min(int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, share)), (1 << 63) - 1)
+
+
+def _below(last: dict[str, int]) -> Column:
     wanted = F.lit(False)
-    for name, n in counts.items():
-        last = int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, 4 * rows / n))
-        wanted = wanted | ((F.col("lang") == name) & (F.col("_h") <= F.lit(min(last, (1 << 63) - 1))))
-    picked = hashed.where(wanted).dropDuplicates(["lang", "_h"]).collect()
-    texts, labels = [], []
-    for name in sorted(counts):
-        for r in sorted((r for r in picked if r["lang"] == name), key=lambda r: r["_h"])[:rows]:
-            texts.append(r["text"].encode())
-            labels.append(name)
-    return LanguageModel.fit(texts, labels)
+    for name, cut in last.items():
+        wanted = wanted | ((F.col("lang") == name) & (F.col("_h") <= F.lit(cut)))
+    return wanted
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

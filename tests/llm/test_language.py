@@ -36,3 +36,18 @@ def test_levels_of_the_hierarchy():
     assert model.predict("der und die".encode())[0] == "de" and model.predict(b"12 !")[0] == "und"
     one = language.LanguageModel.fit([b"abc"], ["xx"])
     assert one.predict(b"word") == ("xx", 1.0)
+
+
+def test_copies_do_not_empty_the_sample(spark):
+    rows = [(i, "der und die das nicht", "de") for i in range(4000)] + [(5000 + i, "les des une pas %s" % ("x" * i), "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language.fit_language_model(docs, rows=8)
+    assert model.langs == ["de", "fr"] and model.predict(b"der und die")[0] == "de"
+
+
+def test_whole_texts_are_learned(spark):
+    header = "0 " * 3000
+    rows = [(i, header + t + " %d" % i, lang) for i in range(40) for t, lang in [("der und die das nicht", "de"), ("les des une pas que", "fr")]]
+    docs = spark.createDataFrame([(i, header + "a " * 5 + r[1][len(header):], r[2]) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = language.fit_language_model(docs)
+    assert model.predict(b"der und die das")[0] == "de" and model.predict(b"les des une pas")[0] == "fr"
