@@ -220,9 +220,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def filter_language(docs: DataFrame, least: float = 0.0, allowed: tuple[str, ...] | None = None) -> DataFrame:
     """Rows whose language is known: not ``und``, score of ``least`` or more, and among ``allowed`` if given.
 
-    All columns stay as they are. Only ``allowed`` and the learned labels decide, never a row's own label.
+    All columns stay as they are. Only ``allowed`` and the learned labels decide, never a row's own label. Where no label
+    was learned and all languages are allowed, every text with a letter stays.
     """
     model = fit_language_model(docs)
+    if not model.langs and allowed is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
     schema = f"_row {packed.schema['_row'].dataType.simpleString()}, lang_pred string, score double"

@@ -59,3 +59,10 @@ def test_stages_take_rows_of_all_kinds(spark, odd_docs, sf_dir):
         assert found.columns == odd_docs.columns or name == "sentencepiece"
         found.collect()
         assert stage(spark, odd_docs.where("false"), sf_dir).count() == 0, name
+
+
+def test_only_texts_without_a_letter_go_for_their_language(spark, sf_dir, documents):
+    lettered = {r["doc_id"] for r in documents.collect() if any(map(str.isalpha, r["text"] or ""))}
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, documents, sf_dir).collect()} == lettered
+    unlabelled = documents.withColumn("lang", documents["lang"].substr(1, 0)).replace("", None, ["lang"])
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, unlabelled, sf_dir).collect()} == lettered
