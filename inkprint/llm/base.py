@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkprint.storage import materialize
 
@@ -31,7 +32,7 @@ SLICE_ROWS = 512
 
 
 def map_rows(
-    df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str, rows: int = SLICE_ROWS,
+    df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str | StructType, rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Apply ``function`` to slices of at most ``rows`` rows; it returns one sequence per output column.
 
@@ -56,12 +57,10 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    parsed = StructType.fromDDL(schema)
-    return to_arrow_schema(parsed)
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:

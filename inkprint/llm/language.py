@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from inkprint.llm.base import map_rows, text_bytes
 from inkprint.storage import materialize
@@ -71,19 +72,31 @@ def features(text: bytes) -> np.ndarray:
     return (vector / norm if norm else vector).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, cost: float = 10.0, seed: int = 0) -> np.ndarray:
-    """A linear machine with bias for labels +1 and -1, by dual coordinate descent on the hinge loss."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight, alpha, square = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
+#: The non-zero features of a text: where they are, and their values.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(vector: np.ndarray) -> Sparse:
+    at = np.flatnonzero(vector).astype(np.uint16)
+    return at, vector[at]
+
+
+def fit_svm(rows: list[Sparse], y: np.ndarray, epochs: int = 30, cost: float = 10.0, seed: int = 0) -> np.ndarray:
+    """A linear machine with bias for labels +1 and -1, by dual coordinate descent on the hinge loss over the non-zero features."""
+    weight, alpha = np.zeros((1 << BITS) + 1, np.float32), np.zeros(len(rows))
+    square = [float(v @ v) + 1 for _, v in rows]
     share = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            step = np.clip(alpha[i] - (y[i] * (x[i] @ weight) - 1) / square[i], 0, cost * share[int(y[i])]) - alpha[i]
+        for i in rng.permutation(len(rows)):
+            at, value = rows[i]
+            margin = float(value @ weight[at]) + float(weight[-1])
+            step = np.clip(alpha[i] - (y[i] * margin - 1) / square[i], 0, cost * share[int(y[i])]) - alpha[i]
             if step:
                 alpha[i] += step
-                weight += np.float32(step * y[i]) * x[i]
+                weight[at] += np.float32(step * y[i]) * value
+                weight[-1] += np.float32(step * y[i])
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
@@ -101,10 +114,11 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, texts: list[bytes], labels: list[str]) -> LanguageModel:
-        return cls.fit_features(np.array([features(t) for t in texts], np.float32).reshape(len(texts), 1 << BITS), labels)
+        return cls.fit_features([sparse(features(t)) for t in texts], labels)
 
     @classmethod
-    def fit_features(cls, x: np.ndarray, labels: list[str]) -> LanguageModel:
+    def fit_features(cls, x: list[Sparse], labels: list[str]) -> LanguageModel:
+        """Machines from one sparse row per text; no row is copied, whatever the number of pairs."""
         langs = sorted(set(labels))
         lang = np.array(labels, object)
         family = np.array([family_of(v) for v in labels], object)
@@ -130,9 +144,9 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text[:64].decode(errors="ignore"))) or any(map(str.isalpha, text.decode()))
 
 
-def _machine(x: np.ndarray, labels: np.ndarray, pair: tuple[str, str]) -> np.ndarray:
-    rows = np.isin(labels, pair)
-    return fit_svm(x[rows], np.where(labels[rows] == pair[0], 1.0, -1.0))
+def _machine(x: list[Sparse], labels: np.ndarray, pair: tuple[str, str]) -> np.ndarray:
+    rows = np.flatnonzero(np.isin(labels, pair))
+    return fit_svm([x[i] for i in rows], np.where(labels[rows] == pair[0], 1.0, -1.0))
 
 
 def _vote(names: list[str], pairs: list[tuple[str, str]], margins: np.ndarray) -> tuple[str, float]:
@@ -157,7 +171,7 @@ def fit_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 0)
 
     Texts are read whole. Rows that are held out or lack text, label or letters are not used. Equal texts count once, also when
     the hash under which four times ``rows`` are expected is set; it is raised until every language has its texts. Features are
-    made in the tasks, so that the driver holds one vector per sampled text.
+    made in the tasks, and the driver holds the non-zero ones of each sampled text.
     """
     train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = train.select("lang", F.xxhash64(F.lit(seed), "text").alias("_h"), "text")
@@ -177,16 +191,13 @@ def fit_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 0)
     sample = hashed.where(_below(last)).groupBy("lang", "_h").agg(F.first("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        vectors = [features(t) for t in text_bytes(batch, "text")]
-        at = [np.flatnonzero(v) for v in vectors]
-        packed = [i.astype(np.uint16).tobytes() for i in at], [v[i].tobytes() for v, i in zip(vectors, at)]
-        return {"lang": batch.column(0), "_h": batch.column(1), "at": packed[0], "value": packed[1]}
+        rows = [sparse(features(t)) for t in text_bytes(batch, "text")]
+        packed = {"at": [at.tobytes() for at, _ in rows], "value": [value.tobytes() for _, value in rows]}
+        return {"lang": batch.column(0), "_h": batch.column(1), **packed}
 
     found = map_rows(sample, run, "lang string, _h bigint, at binary, value binary").collect()
     found.sort(key=lambda r: (r["lang"], r["_h"]))
-    x = np.zeros((len(found), 1 << BITS), np.float32)
-    for row, r in zip(x, found):
-        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
+    x = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["value"], np.float32)) for r in found]
     return LanguageModel.fit_features(x, [r["lang"] for r in found])
 
 
@@ -228,7 +239,7 @@ def filter_language(docs: DataFrame, least: float = 0.0, allowed: tuple[str, ...
         return docs.where(F.col("text").rlike(r"\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, lang_pred string, score double"
+    schema = StructType([packed.schema["_row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         found = [shared.value.predict(t) for t in text_bytes(batch, "text")]

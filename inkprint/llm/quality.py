@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from inkprint.llm.base import SPACES, map_rows, text_bytes
 
@@ -144,8 +145,7 @@ def filter_quality(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
     """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    kind = packed.schema["_row"].dataType.simpleString()
-    schema = f"_row {kind}, " + ", ".join(f"{c} bigint" for c in COLUMNS)
+    schema = StructType([packed.schema["_row"], *[StructField(c, LongType()) for c in COLUMNS]])
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         measured = list(zip(*map(measure, text_bytes(batch, "text")))) or [()] * len(COLUMNS)

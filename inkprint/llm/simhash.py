@@ -12,7 +12,6 @@ go through a finer grid, the fingerprints at Hamming distance 1. Two fingerprint
 
 from __future__ import annotations
 
-import math
 from functools import partial
 
 import numpy as np
@@ -27,11 +26,8 @@ from inkprint.storage import materialize
 SEED, BITS = 42, 64
 #: Fingerprints in a cell that are paired with one another; fuller cells take the finer grid.
 CROWD = 48
-#: Samples per document, and shingles in each, from which near copies with more than two differing bits are proposed.
-VIEWS, VIEW_SHINGLES = 24, 3
-#: Hash buckets in which shared shingles are counted; nodes and shingles of a chunk, two of which meet in a tile.
-SCORE_BUCKETS, TILE_NODES, TILE_SHINGLES = 1 << 16, 256, 1 << 19
-_ODD = (np.random.default_rng(SEED).integers(1, 1 << 63, VIEWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: A value held by more than one row in so many is heavy; there are fewer than so many of them, so they may be broadcast.
+HEAVY = 1000
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -55,19 +51,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def sampled_fingerprints(hashes: np.ndarray) -> list[int]:
-    """Fingerprints of seeded samples of the distinct shingles: the same sample gives the same bits in two texts."""
-    distinct = np.unique(hashes)
-    if len(distinct) <= VIEW_SHINGLES:
-        return [fingerprint(distinct)] * VIEWS
-    views, some = [], max(1, (1 << 20) // len(distinct))
-    for start in range(0, VIEWS, some):
-        mixed = _ODD[start:start + some, None] * distinct
-        a, b, c = distinct[np.argpartition(mixed, VIEW_SHINGLES, axis=1)[:, :VIEW_SHINGLES]].T  # two of three set a bit
-        views += ((a & b) | (a & c) | (b & c)).view(np.int64).tolist()
-    return views
-
-
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fingerprint (bigint) of every row. Null and empty texts have fingerprint 0."""
 
@@ -126,240 +109,62 @@ def links(points: DataFrame, bits: int = 2, crowd: int = CROWD) -> DataFrame:
     return two.union(few).union(fine.select(F.inline(_pairs("m", bits))))
 
 
+def rooted(points: DataFrame, bits: int = 2) -> DataFrame:
+    """``points``, one row per ``fingerprint``, with root: the smallest fingerprint reachable over links."""
+    found = connected(links(points.select("fingerprint"), bits))
+    return points.join(found, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint")).drop("node")
+
+
 def components(marked: DataFrame, bits: int = 2) -> DataFrame:
     """``marked`` (doc_id, fingerprint) with component_id: the smallest doc_id reachable over links, its own included.
 
     Repeated rows stay separate rows. Rows without doc_id link like others but give no id; a component of such rows alone
-    has a null id.
+    has a null id. An empty table gives an empty table. Fingerprints of very many rows are looked up in a broadcast table, so
+    that their rows stay where they are.
     """
-    points = materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "points")
-    found = connected(links(points.select("fingerprint"), bits))
-    rooted = points.join(found, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"),
-    )
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select("fingerprint", "root").join(roots, "root").select("fingerprint", "component_id")
-    return marked.join(labels, "fingerprint")
+    points = materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "points")
+    linked = materialize(rooted(points, bits), "rooted")
+    roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = linked.select("fingerprint", "root", "n").join(roots, "root").select("fingerprint", "component_id", "n")
+    total = points.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(labels.where(F.col("n") * HEAVY > total).drop("n"))
+    light = marked.join(heavy, "fingerprint", "left_anti").join(labels.drop("n"), "fingerprint")
+    return marked.join(heavy, "fingerprint").union(light)
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2, words: int = 3) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row of ``docs``; fingerprints are read again from the shared folder."""
-    return components(materialize(fingerprints(docs, words), "fingerprints"), bits)
-
-
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2, crowd: int = CROWD) -> DataFrame:
-    """One row of every group of near copies, with all columns of ``docs``: the row with the smallest doc_id.
-
-    Equal texts are one node. Nodes are proposed as near copies if their fingerprints differ in at most ``bits`` bits (the grid
-    join), or if one of their sampled fingerprints is equal. A proposed pair counts if the Jaccard similarity of the sets of
-    ``words``-word shingles is ``similarity`` or more; groups are the components. Every proposed pair is checked unless its
-    nodes are in one group already: first each node with the most central node of its sets, which settles most groups of any size
-    with as many pairs as nodes, then what is left, pair by pair in sets of at most ``crowd`` nodes and in tiles in larger ones.
-    Null and empty texts are equal texts. Of rows with the same doc_id and text one stays.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity is above 0 and at most 1")
-    rows = docs.withColumn("_key", _text_key())
-    marked = materialize(_marks(rows, words), "marks")
-    nodes = materialize(
-        marked.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("views").alias("views")),
-        "nodes",
-    )
-    proposed = materialize(_proposed(nodes, bits), "proposed")
-    needed = proposed.select("_key").distinct().join(nodes.select("_key", "doc_id"), "_key")
-    sets = materialize(_sets(_meet(rows, needed), words), "shingles")
-    members = proposed.join(_centrality(sets), "_key")
-    best = F.max(F.struct("score", "_key"))["_key"]
-    leaders = materialize(members.groupBy("set", "mark").agg(F.count("*").alias("n"), best.alias("leader")), "leaders")
-    members = materialize(members.join(leaders, ["set", "mark"]).drop("score"), "members")
-
-    led = members.where("_key != leader").select(F.least("_key", "leader").alias("x"), F.greatest("_key", "leader").alias("y")).distinct()
-    found = materialize(connected(_alike(led, sets, similarity)), "found")
-    rest = materialize(_unsettled(members, found), "unsettled")
-    if not rest.isEmpty():
-        small = _alike(_small_pairs(rest.where(F.col("n") <= crowd), similarity), sets, similarity)
-        large = _tiled(rest.where(F.col("n") > crowd), sets, similarity)
-        found = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(small).union(large))
-    grouped = nodes.join(found, F.col("_key") == F.col("node"), "left").withColumn("_group", F.coalesce("root", "_key"))
-    kept = grouped.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("k"))
-    return _meet(rows, kept.select("k.doc_id", "k._key")).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _proposed(nodes: DataFrame, bits: int) -> DataFrame:
-    """(set, mark, _key): the sets of two or more nodes in which every two are proposed as near copies.
-
-    Set 0 and up are the sampled fingerprints, -1 is an equal fingerprint, -2 a link between two fingerprints.
-    """
-    views = nodes.select(F.posexplode("views").alias("set", "mark"), "_key")
-    equal = nodes.select(F.lit(-1).alias("set"), F.col("fingerprint").alias("mark"), "_key")
-    linked = links(nodes.select("fingerprint").distinct(), bits).distinct()
-    ends = linked.select(F.xxhash64("a", "b").alias("mark"), F.explode(F.array("a", "b")).alias("fingerprint"))
-    near = ends.join(nodes.select("fingerprint", "_key"), "fingerprint").select(F.lit(-2).alias("set"), "mark", "_key")
-    every = views.union(equal).union(near)
-    more = every.groupBy("set", "mark").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return every.join(more, ["set", "mark"])
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs (x, y) that are near copies."""
-    both = F.size(F.array_intersect("sx", "sy"))
-    return pairs.join(sets.select(F.col("_key").alias("x"), F.col("shingles").alias("sx")), "x").join(
-        sets.select(F.col("_key").alias("y"), F.col("shingles").alias("sy")), "y",
-    ).where(both >= similarity * (F.size("sx") + F.size("sy") - both)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
-def _centrality(sets: DataFrame) -> DataFrame:
-    """_key, size, score: how many nodes share a shingle of this one, on average, counted in hash buckets.
+    """doc_id, fingerprint, component_id of every row of ``docs``; fingerprints are read again from the shared folder.
 
-    An original has a higher score than copies that were changed in different places. The score only says which pairs
-    are checked first.
+    Null and empty texts have fingerprint 0 and link like any other; texts are read whole; repeated rows give repeated results.
     """
-    low = np.uint64(SCORE_BUCKETS - 1)
-
-    def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.diff(column.offsets.to_numpy())
-        values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        return (values & low).astype(np.int64), sizes
-
-    def count(batches):
-        total = np.zeros(SCORE_BUCKETS, np.int64)
-        for batch in batches:
-            total += np.bincount(buckets(batch.column(0))[0], minlength=SCORE_BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    counts = np.zeros(SCORE_BUCKETS, np.int64)
-    for r in sets.select("shingles").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"]] = r["n"]
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
-
-    def score(batch: pa.RecordBatch) -> dict[str, list]:
-        at, sizes = buckets(batch.column(1))
-        sums = np.concatenate([[0], np.cumsum(shared.value[at])])
-        ends = np.cumsum(sizes)
-        return {"_key": batch.column(0), "size": sizes, "score": (sums[ends] - sums[ends - sizes]) / np.maximum(1, sizes)}
-
-    return map_rows(sets.select("_key", "shingles"), score, "_key binary, size bigint, score double")
-
-
-def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` with their root, of the sets that hold nodes of two groups or more.
-
-    ``led`` members are in the leader's group, and all pairs with the leader have been checked.
-    """
-    root = found.select(F.col("node").alias("_key"), "root")
-    rooted = members.join(root, "_key", "left").withColumn("root", F.coalesce("root", "_key"))
-    rooted = materialize(rooted, "rooted")
-    of = F.max(F.when(F.col("_key") == F.col("leader"), F.col("root")))
-    least, most = F.min("root"), F.max("root")
-    sets = rooted.groupBy("set", "mark").agg(of.alias("leading"), least.alias("least"), most.alias("most")).where("least != most")
-    return rooted.join(sets.select("set", "mark", "leading"), ["set", "mark"]).withColumn("led", F.col("root") == F.col("leading")).drop("leading")
-
-
-def _small_pairs(rest: DataFrame, similarity: float) -> DataFrame:
-    """(x, y): the unchecked pairs of two groups in sets of bounded size, sizes permitting."""
-    met = rest.where("_key != leader").groupBy("set", "mark").agg(F.collect_list(F.struct("_key", "root", "size")).alias("m"))
-    fits = f"least(x.size, y.size) >= {similarity!r}D * greatest(x.size, y.size)"
-    pairs = F.expr(
-        f"flatten(transform(m, x -> transform(filter(m, y -> x._key < y._key and x.root != y.root and {fits}), y -> struct(x._key as x, y._key as y))))"
-    )
-    return met.select(F.inline(pairs)).distinct()
+    return components(materialize(fingerprints(docs, words), "fingerprints"), bits)
 
 
-def _tiled(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect all near copies of two groups in sets of any size.
+def deduplicate(docs: DataFrame, bits: int = 2, words: int = 3) -> DataFrame:
+    """One row of every group of near duplicates, with all columns of ``docs``: that of the smallest doc_id, rows without one last.
 
-    Near copies have sizes of one class or of neighbouring ones. The nodes of a class are dealt into chunks of bounded size by hash, and
-    every two chunks whose pairs are not settled meet in a tile; two chunks of the leader's group need not.
+    Groups are the components of ``near_duplicates``. Among rows of one doc_id the one with the smallest hash of all its columns
+    stays; of rows that are equal in every column, one. Null and empty texts are one group. An empty table gives an empty table.
     """
-    size = F.greatest("size", F.lit(1))
-    kind = size if similarity == 1 else F.floor(F.log(size) / -math.log(similarity) + 1e-9)
-    rest = rest.select("set", "mark", "_key", "root", kind.cast("bigint").alias("kind"), "led", "size")
-    chunk = ["set", "mark", "kind", "led"]
-    counts = rest.groupBy(chunk).agg(
-        F.ceil(F.greatest(F.count("*") / TILE_NODES, F.sum("size") / TILE_SHINGLES)).cast("bigint").alias("parts"),
-    )
-    counts = materialize(counts, "chunks")
-    salts = counts.select(*chunk, F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("parts", F.lit(1)) - 1)).alias("salt"))
-    one = salts.select("set", "mark", F.struct("kind", "led", "salt").alias("i"))
-    other = salts.select("set", "mark", F.struct("kind", "led", "salt").alias("j"))
-    tiles = one.join(other, ["set", "mark"]).where("i <= j and j.kind - i.kind <= 1 and not (i.led and j.led)")
-    tiles = tiles.select("set", "mark", F.xxhash64("set", "mark", "i", "j").alias("tile"), F.explode(F.array_distinct(F.array("i", "j"))).alias("c"))
-    tiles = tiles.select("set", "mark", "c.*", "tile")
-    placed = rest.join(counts, chunk).withColumn("salt", F.pmod(F.xxhash64("_key"), F.greatest("parts", F.lit(1))))
-    placed = placed.join(tiles, [*chunk, "salt"]).select("tile", "_key", "root")
-    filled = placed.join(sets, "_key").select("tile", "_key", "root", "shingles")
-
-    def run(table: pa.Table) -> pa.Table:
-        found = tile_links(table["_key"].to_pylist(), table["root"].to_pylist(), table["shingles"].to_pylist(), similarity)
-        columns = list(zip(*found)) or [(), ()]
-        return pa.table({n: pa.array(c, pa.binary()) for n, c in zip("ab", columns)})
-
-    return filled.groupBy("tile").applyInArrow(run, "a binary, b binary")
-
-
-def tile_links(keys: list[bytes], roots: list[bytes], shingles: list, similarity: float) -> list[tuple[bytes, bytes]]:
-    """Links that connect all near copies with different roots: each node with the first of its group in the tile."""
-    sizes = np.array([len(s) for s in shingles], np.int64)
-    values = np.concatenate([np.asarray(s, np.int64) for s in shingles])
-    owner = np.repeat(np.arange(len(keys)), sizes)
-    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
-    shared = times > 1
-    at, owner = (np.cumsum(shared) - 1)[at[shared[at]]], owner[shared[at]]
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
-    both = np.zeros((len(keys), len(keys)), np.float32)
-    for start in range(0, int(shared.sum()), 4096):
-        low, high = np.searchsorted(at, [start, start + 4096])
-        has = np.zeros((len(keys), 4096), np.float32)
-        has[owner[low:high], at[low:high] - start] = 1
-        both += has @ has.T
-    both = both.astype(np.float64)
-    alike = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
-    code = np.unique(np.array(roots, object), return_inverse=True)[1]
-    alike &= code[:, None] != code[None, :]
-    label = np.arange(len(keys))
-    while True:
-        least = np.minimum(label, np.where(alike, label[None, :], len(keys)).min(1, initial=len(keys)))
-        if (least == label).all():
-            break
-        label = least
-    return [(keys[i], keys[k]) for i, k in enumerate(label) if i != k]
-
-
-def _text_key() -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-
-
-def _meet(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One row of ``rows`` for each wanted (doc_id, _key)."""
-    wanted = wanted.select(F.col("_key").alias("_k"), F.col("doc_id").alias("_d"))
-    met = rows.join(wanted, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    first = F.row_number().over(_window("_key", "doc_id"))
-    return met.withColumn("_first", first).where("_first = 1").drop("_first", "_k", "_d")
-
-
-def _window(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(*keys)
-
-
-def _marks(rows: DataFrame, words: int) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> dict[str, list]:
-        hashed = [shingle_hashes(t, words) for t in text_bytes(batch, "text")]
-        return {
-            "doc_id": batch.column(0), "_key": batch.column(1), "fingerprint": [fingerprint(h) for h in hashed],
-            "views": [sampled_fingerprints(h) for h in hashed],
-        }
-
-    schema = "doc_id bigint, _key binary, fingerprint bigint, views array<bigint>"
-    return map_rows(rows.select("doc_id", "_key", "text"), run, schema)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [c for c, f in zip(columns, docs.schema.fields) if "map<" not in f.dataType.simpleString()]
+    tag = F.xxhash64(*hashed, *[c.isNull() for c in columns])
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), tag.alias("tag"))
 
-
-def _sets(rows: DataFrame, words: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in text_bytes(batch, "text")]
-        return {"_key": batch.column(0), "shingles": sets}
-
-    return map_rows(rows.select("_key", "text"), run, "_key binary, shingles array<bigint>")
+        marks = [fingerprint(shingle_hashes(t, words)) for t in text_bytes(batch, "text")]
+        return {"doc_id": batch.column(0), "tag": batch.column(2), "fingerprint": marks}
+
+    marked = map_rows(docs.select("doc_id", "text", tag.alias("tag")), run, "doc_id bigint, tag bigint, fingerprint bigint")
+    marked = materialize(marked, "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
+    points = materialize(marked.groupBy("fingerprint").agg(first), "points")
+    kept = rooted(points, bits).groupBy("root").agg(F.min("first").alias("first"))
+    key = ["id", "tag"]
+    kept = materialize(kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.tag").alias("tag")), "kept")
+    counts = marked.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), "tag").agg(F.count("*").alias("n"))
+    heavy = materialize(counts.where(F.col("n") * HEAVY > marked.count()).drop("n"), "heavy")
+    light = rows.join(F.broadcast(heavy), key, "left_anti").join(kept, key, "left_semi").dropDuplicates(key)
+    chosen = F.broadcast(heavy.join(kept, key, "left_semi"))
+    single = rows.join(chosen, key, "left_semi").groupBy(key).agg(F.first("row").alias("row"))
+    return light.select("row.*").union(single.select("row.*"))

@@ -10,9 +10,9 @@ ODD_TEXTS = [
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """doc_id, text, lang, source, n_chars plus columns whose names clash with what operators use inside."""
-    rows = [(i, t, "en" if i % 2 else None, "s%d" % (i % 3) if i % 4 else None, 5, "x", 1) for i, t in enumerate(ODD_TEXTS)]
-    rows += [rows[5], (None, "no id at all", "de", None, None, None, None), (None, None, None, None, None, None, None)]
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, fingerprint int"
+    rows = [(i, t, "en" if i % 2 else None, "s%d" % (i % 3) if i % 4 else None, 5, "x", 1, "y", 2) for i, t in enumerate(ODD_TEXTS)]
+    rows += [rows[5], (None, "no id at all", "de", *[None] * 6), (None,) * 9]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, fingerprint int, `my col` string, _key int"
     return spark.createDataFrame(rows, schema).repartition(3).cache()
 
 
