@@ -26,8 +26,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of near copies: five-word shingles, similarity 0.8 or more."""
-    return simhash.deduplicate(docs, words=5, similarity=0.8)
+    """One row of every group of fingerprints that link: three-word shingles, at most two differing bits."""
+    return simhash.deduplicate(docs, bits=2, words=3)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
