@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import language, lm, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk
+from inkprint.llm import language, lm, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk, tries
 from inkprint.llm.base import table
 
 
@@ -75,6 +75,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie_nodes(tries.with_shared_heads(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_lm_scoring": op2_lm_scoring,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
 _OP4_SQL = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
@@ -110,4 +115,25 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transfo
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 QUALIFY rank <= 5"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _OP4_SQL, "op10_top_k": _OP10_SQL}
+#: CRC-32 by its bits, for decimal ids: the register starts full, every byte goes through eight shifts, the end is inverted.
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, z: xor(x // 2, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), 4294967295)"""
+_OP13_SQL = f"""WITH own AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, conv_id - conv_id % 100 AS base, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM own),
+r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.turns, 1, h), []), list_slice(h.turns, h + 1, len(h.turns))) AS turns
+  FROM h LEFT JOIN own b ON b.conv_id = h.base),
+steps AS (SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS depth FROM r),
+nodes AS (SELECT depth, list_slice(turns, 1, depth) AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth), '') AS ends FROM steps GROUP BY ALL),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = list_slice(n.path, 1, n.depth - 1)),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT l.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].text) END AS saved
+  FROM linked l LEFT JOIN children c USING (conv_id, depth)),
+up AS (SELECT list_slice(path, 1, d) AS path, d AS depth, saved, n_children FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM full_nodes)),
+sums AS (SELECT depth, path, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY ALL)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN sums s ON f.depth = s.depth AND f.path = s.path"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": _OP4_SQL, "op10_top_k": _OP10_SQL, "op13_prefix_trie": _OP13_SQL}
