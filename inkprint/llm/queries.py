@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import language, lm, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk, tries
+from inkprint.llm import alignment, language, lm, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk, tries
 from inkprint.llm.base import table
 
 
@@ -75,6 +75,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), tokenizer_path(BYTES), tokenizer_path(PIECES))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie_nodes(tries.with_shared_heads(table(spark, sf_dir, "conversations")))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op13_prefix_trie": op13_prefix_trie,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
