@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import alignment, language, lm, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk, tries
+from inkprint.llm import alignment, language, lm, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk, toxicity, tries
 from inkprint.llm.base import table
 
 
@@ -79,6 +79,11 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.align_corpus(table(spark, sf_dir, "documents"), tokenizer_path(BYTES), tokenizer_path(PIECES))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie_nodes(tries.with_shared_heads(table(spark, sf_dir, "conversations")))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_top_k": op10_top_k,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_toxicity": op12_toxicity,
     "op13_prefix_trie": op13_prefix_trie,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
