@@ -1,8 +1,13 @@
 """Corpus n-grams: a vocabulary of the most frequent ones, fitted once, then counted per document.
 
 Fitting and counting are separate, so documents scored later get the columns of the training corpus.
-Fitting is one explode with a partial count before the shuffle; counting is a projection over at most
-``k`` literals per n-gram size and shuffles nothing.
+
+The most frequent n-grams are found without shuffling every n-gram. A share of the texts names candidates. One pass over all texts
+counts the candidates exactly and everything else in hash buckets, whose totals bound the count of any n-gram in them. Buckets that
+stay below the k-th candidate are settled; only the n-grams of the others are counted one by one. The buckets are as many
+as the share's counts ask for. What is guessed decides the cost, never the result.
+
+Counting is a projection over at most ``k`` literals per n-gram size and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 
 from inkprint.functions.names import named
 from inkprint.functions import text as tx
+from inkprint.storage import BROADCAST_ROWS, local_side, materialize
 
 _BASE = {"char": tx.squeezed, "word": tx.joined_words}
 _GRAMS = {"char": tx.char_ngrams, "word": tx.word_ngrams}
@@ -44,17 +50,91 @@ def ngram_totals(
     )
 
 
+#: Share of the texts that candidates come from, and how many candidates there are for each n-gram to be found.
+HINT_SHARE, HINTS = 0.02, 8
+#: Fewest and most hash buckets per kind and size; buckets whose n-grams are counted by a look-up in a broadcast table.
+BUCKETS = (1 << 12, 1 << 22)
+
+
+def _grouped_grams(df: DataFrame, groups: Sequence[tuple[str, int]], text: str) -> DataFrame:
+    """(g, gram) for every n-gram of the corpus; ``g`` is the place of its kind and size in ``groups``."""
+    kinds = sorted({kind for kind, _ in groups})
+    base = df.select(*[_BASE[kind](F.col(text)).alias(f"_{kind}") for kind in kinds])
+    arrays = F.array(*[_GRAMS[kind](F.col(f"_{kind}"), n) for kind, n in groups])
+    return base.select(F.posexplode(arrays).alias("g", "_grams")).select("g", F.explode("_grams").alias("gram"))
+
+
+def _hints(df: DataFrame, groups: Sequence[tuple[str, int]], k: int, text: str, share: float) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """Candidates per group from a share of the texts, and how many buckets separate the k-th of them from the rest."""
+    counted = _grouped_grams(df.sample(share, 42), groups, text).groupBy("g", "gram").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("g").orderBy(F.desc("n"), F.asc("gram"))
+    whole = Window.partitionBy("g")
+    ranked = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= HINTS * k)
+    totals = {r["g"]: r["n"] for r in counted.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    hints: dict[int, list[str]] = {g: [] for g in range(len(groups))}
+    buckets = dict.fromkeys(hints, BUCKETS[0])
+    for r in ranked.withColumn("last", F.max("rank").over(whole)).collect():
+        hints[r["g"]].append(r["gram"])
+        if r["rank"] == min(k, r["last"]):
+            wanted = 8 * totals[r["g"]] / r["n"]
+            buckets[r["g"]] = min(max(1 << int(wanted).bit_length(), BUCKETS[0]), BUCKETS[1])
+    return hints, buckets
+
+
+def bucketed_totals(grams: DataFrame, hints: dict[int, list[str]], buckets: dict[int, int]) -> DataFrame:
+    """(g, gram, bucket, total): exact totals of the hinted n-grams (bucket null), and of everything else by hash bucket (gram null).
+
+    The shuffle carries one row per bucket and task at most, however many different n-grams there are.
+    """
+    hinted = F.lit(False)
+    sizes = F.lit(BUCKETS[0])
+    for g, found in hints.items():
+        if found:
+            hinted = hinted | ((F.col("g") == g) & F.col("gram").isin(found))
+        sizes = F.when(F.col("g") == g, buckets[g]).otherwise(sizes)
+    marked = grams.select("g", F.when(hinted, F.col("gram")).alias("own"), _bucket(sizes).alias("at"))
+    keyed = marked.select("g", F.col("own").alias("gram"), F.when(F.col("own").isNull(), F.col("at")).alias("bucket"))
+    return keyed.groupBy("g", "gram", "bucket").agg(F.count("*").alias("total"))
+
+
+def _bucket(sizes: Column) -> Column:
+    return F.pmod(F.xxhash64("gram"), sizes).cast("int")
+
+
 def top_ngrams(
     df: DataFrame, kinds: Sequence[str] = ("char", "word"), sizes: Sequence[int] = (2, 3), k: int = 5,
-    text: str = "text",
+    text: str = "text", share: float = HINT_SHARE,
 ) -> DataFrame:
-    """The ``k`` most frequent n-grams per kind and size; ties go to the gram that sorts first.
+    """(kind, n, gram, total, rank): the ``k`` most frequent n-grams per kind and size; ties go to the gram that sorts first.
 
-    The rank filter is a group limit in Spark, so each task passes on at most ``k`` rows per kind and size.
+    Exact on any corpus. An n-gram that is no candidate has at most its bucket's total, so a bucket below the k-th candidate holds
+    none of the wanted; with fewer than ``k`` candidates every bucket stays open.
     """
-    order = Window.partitionBy("kind", "n").orderBy(F.desc("total"), F.asc("gram"))
-    ranked = ngram_totals(df, kinds, sizes, text).withColumn("rank", F.row_number().over(order).cast("bigint"))
-    return ranked.filter(F.col("rank") <= k)
+    spark = df.sparkSession
+    groups = [(kind, n) for kind in kinds for n in sizes]
+    hints, buckets = _hints(df, groups, k, text, share)
+    totals = materialize(bucketed_totals(_grouped_grams(df, groups, text), hints, buckets), "ngram-buckets")
+    found = totals.filter("gram is not null").select("g", "gram", "total")
+    order = Window.partitionBy("g").orderBy(F.desc("total"), F.asc("gram"))
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    kth = dict.fromkeys(range(len(groups)), 1) | {r["g"]: r["total"] for r in ranked.filter(F.col("rank") == k).collect()}
+    least = F.lit(1)
+    for g, total in kth.items():
+        least = F.when(F.col("g") == g, total).otherwise(least)
+    still_open = totals.filter("gram is null").filter(F.col("total") >= least).select("g", "bucket")
+    n_open = still_open.count()
+    if n_open:
+        sizes_of = F.lit(BUCKETS[0])
+        for g, n in buckets.items():
+            sizes_of = F.when(F.col("g") == g, n).otherwise(sizes_of)
+        rest = _grouped_grams(df, groups, text).withColumn("bucket", _bucket(sizes_of))
+        if n_open <= BROADCAST_ROWS:
+            rest = rest.join(F.broadcast(still_open), ["g", "bucket"], "left_semi")
+        counted = rest.groupBy("g", "gram").agg(F.count("*").alias("total"))
+        found = found.unionByName(counted.join(F.broadcast(found.select("g", "gram")), ["g", "gram"], "left_anti"))
+    names = local_side(spark, [(i, kind, n) for i, (kind, n) in enumerate(groups)], "g int, kind string, n bigint")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    return ranked.join(names, "g").select("kind", "n", "gram", "total", "rank")
 
 
 @dataclass(frozen=True)

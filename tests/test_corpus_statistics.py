@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from inkprint.functions.lexicons import STOP_WORDS
+from inkprint.operators import ngrams
 from inkprint.operators.ngrams import NgramVocabulary, top_ngrams
 from inkprint.operators.tfidf import TfidfModel, top_terms
 
@@ -37,9 +38,11 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
 
 
+@pytest.mark.parametrize("share", [0.0, 0.4, 1.0])
 @pytest.mark.parametrize("kinds", [("char",), ("word",), ("char", "word")])
-def test_top_ngrams(docs, kinds):
-    got = {(r["kind"], r["n"], r["rank"]): (r["gram"], r["total"]) for r in top_ngrams(docs, kinds, k=8).collect()}
+def test_top_ngrams(docs, kinds, share):
+    """Whatever share of the texts names the candidates: none of them, some, or all."""
+    got = {(r["kind"], r["n"], r["rank"]): (r["gram"], r["total"]) for r in top_ngrams(docs, kinds, k=8, share=share).collect()}
     want = {}
     for kind in kinds:
         for n in (2, 3):
@@ -49,6 +52,26 @@ def test_top_ngrams(docs, kinds):
     assert got == want
 
 
+def test_a_frequent_ngram_that_no_hint_names_is_found(spark, monkeypatch):
+    """Hints come from other n-grams and four buckets hold everything else, so buckets must be opened."""
+    rows = [(i, "zz top") for i in range(60)] + [(100 + i, "w%d x%d" % (i, i % 7)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    hints = {0: ["w1 x1", "w2 x2", "never seen"]}
+    monkeypatch.setattr(ngrams, "_hints", lambda *_: (hints, {0: 4}))
+    got = [(r["gram"], r["total"]) for r in top_ngrams(docs, ("word",), (2,), k=3).collect()]
+    assert sorted(got) == [("w0 x0", 1), ("w1 x1", 1), ("zz top", 60)]
+
+
+def test_few_buckets_cross_the_shuffle(spark):
+    """Of 3,000 n-grams, only hinted ones and one row per bucket and task are shuffled; settled buckets are never opened."""
+    rows = [(i, "a b " * 50 + "u%d v%d" % (i, i)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    grams = ngrams._grouped_grams(docs, [("word", 2)], "text")
+    totals = ngrams.bucketed_totals(grams, {0: ["a b", "b a"]}, {0: 64}).collect()
+    assert len(totals) == 66 and sum(r["total"] for r in totals) == 1500 * 101
+    assert all(r["total"] < 1500 * 49 for r in totals if r["gram"] is None)
+
+
 def test_counts_include_overlaps(docs, spark, tmp_path):
     vocabulary = NgramVocabulary.fit(docs, k=12)
     vocabulary.save(spark, str(tmp_path / "v"))
