@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from inkprint.functions import runs, text as tx
 from inkprint.functions.names import named
 from inkprint.functions.lexicons import FUNCTION_WORDS, STOP_WORDS
+from inkprint.operators.vectors import embed_documents, vector_columns
 
 # Helper columns the feature block leaves out of its result.
 HELPERS = ["sentences", "period_count", "double_quote_count", "single_quote_count"]
@@ -172,7 +173,17 @@ def style_features(
     stop_words: Sequence[str] = STOP_WORDS,
     function_words: Sequence[str] = FUNCTION_WORDS,
     lexicon: dict[str, str] | None = None,
+    encoder: Callable | None = None,
+    encoder_size: int = 0,
 ) -> DataFrame:
-    """The whole fixed feature block: ``keys`` plus the style columns, text and helpers left out."""
+    """The whole fixed feature block: ``keys`` plus the style columns, text and helpers left out.
+
+    With a text ``encoder`` (a ``predict_batch_udf`` factory) whose vectors have ``encoder_size`` entries, the block ends
+    with the columns ``sent_emb_0 .. sent_emb_<size-1>``, made in the same map stage.
+    """
     wide = with_style(df, style_columns(function_words), text, stop_words, function_words, lexicon)
-    return wide.select(*named(keys), *style_columns(function_words))
+    columns = [*named(keys), *style_columns(function_words)]
+    if encoder is None:
+        return wide.select(*columns)
+    embedded = embed_documents(wide, encoder, text, "_sentence_vector").select(*columns, "_sentence_vector")
+    return vector_columns(embedded, "_sentence_vector", "sent_emb_", encoder_size)

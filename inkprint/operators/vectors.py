@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import types as T
 from inkprint.functions.names import quoted
 from inkprint.functions.text import ratio
 from inkprint.operators.sampling import sample_n
+from inkprint.storage import scratch_path
 
 
 def hashed_trigram_encoder(dim: int = 64) -> Callable:
@@ -58,6 +62,110 @@ def embed_sample(
     return embed_documents(df.join(chosen, key, "left_semi"), make_predict, text)
 
 
+#: Tokens that an encoder sees of a text, those of begin and end included.
+TOKEN_LIMIT = 512
+POOLINGS = ("first", "last", "mean")
+_PRIME = 4294967291
+
+
+def hashed_word_tokens(dim: int = 16, limit: int | None = TOKEN_LIMIT) -> Callable:
+    """A stand-in token encoder that needs no weights: one vector per word from a hash of its characters, between a begin token
+    that depends on all words and an end token that depends on the last.
+
+    Returned in the form ``token_table`` wants: a function, called once per Python worker, that makes the encode function. That
+    one takes texts and gives (mask, vectors) for each. ``limit`` bounds the tokens, begin and end included; None takes all words.
+    """
+
+    def code(word: str) -> int:
+        out = 0
+        for c in word:
+            out = (out * 31 + ord(c)) % _PRIME
+        return out
+
+    def make_encode():
+        at = np.arange(dim, dtype=np.int64)
+
+        def encode(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+            out = []
+            for text in texts:
+                words = text.split()
+                words = words if limit is None else words[:max(0, limit - 2)]
+                codes = [code(w) for w in words]
+                codes = np.array([sum(codes) % _PRIME, *codes, ((codes[-1] if codes else 0) * 7 + 3) % _PRIME], np.int64)
+                vectors = (codes[:, None] * (at + 1) + at * at * 97) % 2039 / 1024 - 1
+                out.append((np.ones(len(codes), np.int32), vectors.astype(np.float32)))
+            return out
+
+        return encode
+
+    return make_encode
+
+
+def _encoded(make_encode: Callable, finish: Callable, batch_size: int) -> Callable:
+    """An Arrow function that encodes texts in batches of at most ``batch_size`` and hands keys and results to ``finish``."""
+
+    def run(batches):
+        encode = make_encode()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for start in range(0, len(texts), batch_size):
+                yield finish(batch.column(0).slice(start, batch_size), encode(texts[start:start + batch_size]))
+
+    return run
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+
+
+def token_table(df: DataFrame, make_encode: Callable, key: str = "doc_id", text: str = "text", batch_size: int = 16) -> DataFrame:
+    """(key, pos, mask, vec): one row per token of every text, as its encoder gives them; null texts count as empty.
+
+    A map over Arrow batches: the rows of a text stay in the task that encoded it, and few texts are in memory at a time. Feeds
+    ``pool_first``, ``pool_last`` and ``pool_mean``, each of which reduces a text inside its task before anything is shuffled.
+    """
+
+    def finish(keys: pa.Array, found: list) -> pa.RecordBatch:
+        counts = [len(mask) for mask, _ in found]
+        vectors = [v for _, v in found]
+        columns = [
+            keys.take(pa.array(np.repeat(np.arange(len(found)), counts))),
+            pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts])),
+            pa.array(np.concatenate([mask for mask, _ in found]).astype(np.int32)), _lists(np.concatenate(vectors).astype(np.float32)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "pos", "mask", "vec"])
+
+    schema = T.StructType([
+        df.schema[key], T.StructField("pos", T.IntegerType()), T.StructField("mask", T.IntegerType()),
+        T.StructField("vec", T.ArrayType(T.FloatType())),
+    ])
+    return df.select(quoted(key), quoted(text)).mapInArrow(_encoded(make_encode, finish, batch_size), schema)
+
+
+def embed_pooled(
+    df: DataFrame, make_encode: Callable, poolings: Sequence[str] = POOLINGS, key: str = "doc_id", text: str = "text",
+    batch_size: int = 16,
+) -> DataFrame:
+    """(key, one array<double> column per pooling): each text's token vectors are pooled in the task that encoded them.
+
+    The same numbers as ``token_table`` and the poolers give, without a row per token and without a shuffle.
+    """
+    pool = {
+        "first": lambda mask, v: v[0], "last": lambda mask, v: v[-1],
+        "mean": lambda mask, v: (v.astype(np.float64) * mask[:, None]).sum(0) / max(1, mask.sum()),
+    }
+    if unknown := set(poolings) - set(pool):
+        raise ValueError(f"unknown pooling: {sorted(unknown)}")
+
+    def finish(keys: pa.Array, found: list) -> pa.RecordBatch:
+        columns = [_lists(np.array([pool[p](mask, v) for mask, v in found], np.float64)) for p in poolings]
+        return pa.RecordBatch.from_arrays([keys, *columns], names=[key, *poolings])
+
+    schema = T.StructType([df.schema[key], *[T.StructField(p, T.ArrayType(T.DoubleType())) for p in poolings]])
+    return df.select(quoted(key), quoted(text)).mapInArrow(_encoded(make_encode, finish, batch_size), schema)
+
+
 def pool_first(tokens: DataFrame, doc: str = "doc", pos: str = "pos", vec: str = "vec") -> DataFrame:
     """The vector of the first token of each document."""
     return tokens.groupBy(doc).agg(F.min_by(vec, pos).alias(vec))
@@ -98,19 +206,53 @@ def vector_size(df: DataFrame, vec: str) -> int:
     return row["n"] if row else 0
 
 
+#: Buckets of a feature block; blocks of one number of buckets are joined where they lie.
+BLOCK_BUCKETS = 64
+
+
+def write_block(df: DataFrame, key: str = "doc_id", buckets: int = BLOCK_BUCKETS) -> DataFrame:
+    """``df`` written once as a table bucketed and sorted by ``key`` in the shared folder, and read from there.
+
+    Blocks with the same number of buckets join by key without an exchange or a sort, as often as they are used. The table is
+    external and has a generated name; ``drop_block`` forgets it.
+    """
+    spark = df.sparkSession
+    name = f"inkprint_block_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, quoted(key))
+    placed.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, "block")).saveAsTable(name)
+    return spark.table(name).alias(name)
+
+
+def drop_block(block: DataFrame) -> None:
+    """Forget the table of a ``write_block``; its files stay in the scratch folder."""
+    plan = block._jdf.queryExecution().analyzed().toString()
+    for name in set(re.findall(r"inkprint_block_[0-9a-f]{32}", plan)):
+        block.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def combine_features(
     blocks: Sequence[DataFrame], embeddings: dict[str, DataFrame] | None = None, key: str = "doc_id",
-    vec: str = "embedding",
+    vec: str = "embedding", how: str = "inner", fill: float = 0.0, sizes: dict[str, int] | None = None,
 ) -> DataFrame:
     """Feature blocks and named embedding tables side by side, matched by key.
 
-    An embedding table may cover a sample only; the result then has the documents present in every block.
+    An embedding table may cover a sample only. With ``how="inner"`` the result has the documents present in every block; with
+    ``how="left"`` it has those of the first block, and embedding columns of documents without one are ``fill``. ``sizes`` gives
+    vector lengths by name; without them one row of each table is read for it.
     """
-    parts = list(blocks)
+    if how not in ("inner", "left"):
+        raise ValueError("how is inner or left")
+    combined = blocks[0]
+    for part in blocks[1:]:
+        combined = combined.join(part, key, how)
     for name, table in (embeddings or {}).items():
         table = table.select(key, vec)
-        parts.append(vector_columns(table, vec, f"{name}_emb_", vector_size(table, vec)))
-    combined = parts[0]
-    for part in parts[1:]:
-        combined = combined.join(part, key)
+        size = (sizes or {}).get(name) or vector_size(table, vec)
+        wide = vector_columns(table, vec, f"{name}_emb_", size)
+        combined = combined.join(wide, key, how)
+        if how == "left":
+            added = set(wide.columns) - {key}
+            combined = combined.select(*[
+                F.coalesce(F.col(quoted(c)), F.lit(fill)).alias(c) if c in added else F.col(quoted(c)) for c in combined.columns
+            ])
     return combined

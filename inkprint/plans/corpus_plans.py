@@ -232,23 +232,46 @@ def features_with_labels(spark, sf_dir):
     )
 
 
-@query("combine_features", f"""WITH {q.style_cte()}, {_tfidf_ctes(ALL_DOCS, ALL_DOCS, 10)},
+def _combined_sql(join: str, embedding: str) -> str:
+    return f"""WITH {q.style_cte()}, {_tfidf_ctes(ALL_DOCS, ALL_DOCS, 10)},
 slots AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS slot FROM vocab),
 wide AS (SELECT d.doc_id, {', '.join(f"coalesce(max(CASE WHEN slot = {i} THEN tfidf END), 0.0::DOUBLE) AS tfidf_{i}" for i in range(10))}
   FROM documents d LEFT JOIN (SELECT doc_id, slot, tfidf FROM weights JOIN slots ON weights.term = slots.term) w ON w.doc_id = d.doc_id GROUP BY d.doc_id)
 SELECT style.doc_id, {', '.join(q.column(c) for c in q.ALL_STYLE)}, {', '.join(f'tfidf_{i}' for i in range(10))},
-  {', '.join(f'round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS base_emb_{i}' for i in range(64))}
-FROM style JOIN wide ON style.doc_id = wide.doc_id JOIN embeddings e ON e.vec_id = style.doc_id""")
-def combine_features(spark, sf_dir):
-    """Style columns, TF-IDF columns and a named embedding block side by side."""
+  {', '.join(f'round({embedding.format(i + 1)}, 6) AS base_emb_{i}' for i in range(64))}
+FROM style JOIN wide ON style.doc_id = wide.doc_id {join} ON e.vec_id = style.doc_id"""
+
+
+def _text_block(spark, sf_dir):
+    """Style and TF-IDF columns of the same rows: one scan and one projection."""
     from pyspark.ml.functions import vector_to_array
 
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = tfidf.TfidfModel.fit(docs, 10)
-    weights = model.transform(docs).select("doc_id", vector_to_array("tfidf").alias("w"))
-    block = vectors.vector_columns(weights, "w", "tfidf_", len(model.terms))
-    embeddings = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return rounded(vectors.combine_features([stylometry.style_features(docs), block], {"base": embeddings}))
+    weighted = model.transform(docs).withColumn("_weights", vector_to_array("tfidf"))
+    styled = stylometry.style_features(weighted, keys=["doc_id", "_weights"])
+    return vectors.vector_columns(styled, "_weights", "tfidf_", len(model.terms))
+
+
+def _embedding_block(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+
+
+@query("combine_features", _combined_sql("JOIN embeddings e", "CAST(embedding[{}] AS DOUBLE)"))
+def combine_features(spark, sf_dir):
+    """Style columns, TF-IDF columns and a named embedding block side by side."""
+    return rounded(vectors.combine_features([_text_block(spark, sf_dir)], {"base": _embedding_block(spark, sf_dir)}, sizes={"base": 64}))
+
+
+@query("combine_features_left", _combined_sql(
+    "LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 3 = 0) e", "coalesce(CAST(embedding[{}] AS DOUBLE), 0.0::DOUBLE)"))
+def combine_features_left(spark, sf_dir):
+    """Every document, with the embedding of those that a sample of the embeddings covers and zeros for the others.
+
+    Both blocks are written bucketed by document first, so the join itself moves nothing.
+    """
+    blocks = [vectors.write_block(df) for df in (_text_block(spark, sf_dir), _embedding_block(spark, sf_dir).filter("doc_id % 3 = 0"))]
+    return rounded(vectors.combine_features(blocks[:1], {"base": blocks[1]}, how="left", sizes={"base": 64}))
 
 
 # --- leak checks ----------------------------------------------------------------------------------

@@ -177,6 +177,29 @@ def stylometric_features(spark, sf_dir):
     return rounded(wide.select("doc_id", *stylometry.style_columns(), *slots))
 
 
+def _sentence_sql() -> str:
+    """Bucket counts of the trigram encoder, a column per bucket."""
+    code = "((c[i] * 2654435761 + c[i + 1] * 40503 + c[i + 2] * 97) % 4294967291) % 16"
+    return f"""codes AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c FROM documents),
+buckets AS (SELECT doc_id, list_transform(generate_series(1, len(c) - 2), lambda i: {code}) AS b FROM codes),
+sentence AS (SELECT doc_id, {', '.join(f'CAST(len(list_filter(b, lambda x: x = {i})) AS BIGINT) AS sent_emb_{i}' for i in range(16))} FROM buckets)"""
+
+
+@query("style_with_sentence_embedding", f"""WITH {q.style_cte()}, {_sentence_sql()}
+SELECT style.doc_id, {', '.join(q.column(c) for c in q.ALL_STYLE)}, {', '.join(f'sent_emb_{i}' for i in range(16))}
+FROM style JOIN sentence ON style.doc_id = sentence.doc_id""")
+def style_with_sentence_embedding(spark, sf_dir):
+    """The fixed block with sentence-embedding columns at its end, from one map stage. The entries of a vector are shown as
+    the counts they stand for: they are in proportion to counts that add up to the number of trigrams."""
+    from inkprint.operators.vectors import hashed_trigram_encoder
+
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("trigrams", F.length("text") - 2)
+    wide = stylometry.style_features(docs, keys=["doc_id", "trigrams"], encoder=hashed_trigram_encoder(16), encoder_size=16)
+    total = sum((F.col(f"sent_emb_{i}") for i in range(1, 16)), F.col("sent_emb_0"))
+    counts = [F.round(F.col(f"sent_emb_{i}") * F.col("trigrams") / total).cast("bigint").alias(f"sent_emb_{i}") for i in range(16)]
+    return rounded(wide.select("doc_id", *stylometry.style_columns(), *counts))
+
+
 @query(
     "stopword_lookup",
     f"""WITH w AS (SELECT doc_id, unnest({q.words_of('lower(text)')}) AS w FROM documents)

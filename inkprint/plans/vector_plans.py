@@ -56,6 +56,64 @@ def embed_sample(spark, sf_dir):
     return _trigram_counts(vectors.embed_sample(docs, vectors.hashed_trigram_encoder(DIM), 100))
 
 
+TOKEN_DIM = 16
+
+
+def _token_sql(source: str, limit: int) -> str:
+    """The hashed token encoder: a code per word, one before for all words and one behind from the last."""
+    code = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(w, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967291)"
+    vec = ", ".join(f"(code * {j + 1} + {j * j * 97}) % 2039 / CAST(1024 AS DOUBLE) - 1 AS e_{j}" for j in range(TOKEN_DIM))
+    return f"""tw AS (SELECT doc_id, list_transform(list_slice({q.words_of('text')}, 1, {limit - 2}), lambda w: {code}) AS c FROM {source}),
+tc AS (SELECT doc_id, list_concat(list_concat([CAST(coalesce(list_sum(c), 0) AS BIGINT) % 4294967291], c), [(coalesce(c[len(c)], 0) * 7 + 3) % 4294967291]) AS codes FROM tw),
+tokens AS (SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, 1 AS mask, {vec} FROM
+  (SELECT doc_id, unnest(codes) AS code, generate_subscripts(codes, 1) AS pos FROM tc))"""
+
+
+def _fixed(value: str) -> str:
+    """A vector entry in steps of 2**-20: whole numbers, which every engine prints alike."""
+    return f"CAST(floor({value} * 1048576) AS BIGINT)"
+
+
+def _in_steps(df, vec):
+    rest = [c for c in df.columns if c != vec]
+    return df.selectExpr(*rest, *[f"{_fixed(f'cast(get({vec}, {j}) as double)')} as e_{j}" for j in range(TOKEN_DIM)])
+
+
+@query("token_table", f"WITH {_token_sql('documents', 32)} SELECT doc_id, pos, mask, {', '.join(_fixed(f'e_{j}') + f' AS e_{j}' for j in range(TOKEN_DIM))} FROM tokens")
+def token_table(spark, sf_dir):
+    """Token vectors of every text, cut at 32 tokens, a row per token; entries in steps of 2**-20."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return _in_steps(vectors.token_table(docs, vectors.hashed_word_tokens(TOKEN_DIM, 32)), "vec")
+
+
+def _pooled_sql(how: str) -> str:
+    entry = {"first": "arg_min(e_{0}, pos)", "last": "arg_max(e_{0}, pos)", "mean": "avg(e_{0})"}[how]
+    return f"SELECT '{how}' AS pooling, doc_id, {', '.join(_fixed(entry.format(j)) + f' AS e_{j}' for j in range(TOKEN_DIM))} FROM tokens GROUP BY doc_id"
+
+
+_POOL_SQL = f"WITH {_token_sql('documents', 512)} " + " UNION ALL ".join(map(_pooled_sql, vectors.POOLINGS))
+
+
+@query("pool_tokens", _POOL_SQL)
+def pool_tokens(spark, sf_dir):
+    """Encoder output of at most 512 tokens a text, pooled three ways from the token table; entries in steps of 2**-20."""
+    tokens = vectors.token_table(documents(spark, sf_dir, "doc_id", "text"), vectors.hashed_word_tokens(TOKEN_DIM, 512))
+    pooled = {
+        "first": vectors.pool_first(tokens, doc="doc_id"), "last": vectors.pool_last(tokens, doc="doc_id"),
+        "mean": vectors.pool_mean(tokens, TOKEN_DIM, doc="doc_id"),
+    }
+    parts = [_in_steps(df, "vec").withColumn("pooling", F.lit(how)) for how, df in pooled.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("embed_pooled", _POOL_SQL)
+def embed_pooled(spark, sf_dir):
+    """The same vectors, pooled where they are encoded: a map without a shuffle."""
+    wide = vectors.embed_pooled(documents(spark, sf_dir, "doc_id", "text"), vectors.hashed_word_tokens(TOKEN_DIM, 512))
+    each = F.array(*[F.struct(F.lit(p).alias("pooling"), F.col(p).alias("vec")) for p in vectors.POOLINGS])
+    return _in_steps(wide.select("doc_id", F.inline(each)), "vec")
+
+
 @query("pool_first", f"WITH {TOKENS} SELECT doc, {_wide_sql('', 'v')} FROM (SELECT doc, arg_min(vec, pos) AS v FROM tok GROUP BY doc)")
 def pool_first(spark, sf_dir):
     return rounded(vectors.vector_columns(vectors.pool_first(_tokens(spark, sf_dir)), "vec", "e_", DIM))
