@@ -73,3 +73,24 @@ def match_rows(
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+
+
+#: A key held by more than one row in so many is heavy. There are fewer such keys than this, whatever the table's size.
+HEAVY_SHARE = 1000
+
+
+def match_skewed(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Equi-join on ``key`` where a few values of ``left[key]`` may hold most rows; ``right`` has one row per key, in any number.
+
+    Keys of ``left`` are counted first. The rows of heavy keys, of which there are fewer than HEAVY_SHARE by their very
+    definition, meet their row of ``right`` by broadcast and stay where they are; the others are joined by a shuffle in which no key is large.
+    ``how`` is inner, left, left_semi or left_anti. ``left`` is read twice, so give a written table.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    heavy = materialize(counts.where(F.col("_n") * HEAVY_SHARE > total).select(key), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(heavy), key, "left_anti").join(right, key, how)
+    met = left.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), key, "left_semi")), key, how)
+    return rest.unionByName(met)

@@ -5,8 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from inkprint import storage
 from inkprint.operators import leakage
-from inkprint.storage import match_rows
+from inkprint.storage import match_rows, match_skewed, materialize
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,40 @@ def test_salted_join_equals_plain_join(df, how):
     plain = sorted(r["doc_id"] for r in left.join(right, "hash", how).collect())
     salted = sorted(r["doc_id"] for r in match_rows(left, right, "hash", how, "doc_id", max_rows=0).collect())
     assert salted == plain
+
+
+@pytest.mark.parametrize("share", [2, 10, 1000, 10**9])
+@pytest.mark.parametrize("how", ["left_semi", "left_anti", "inner", "left"])
+def test_skewed_join_equals_plain_join(df, how, share, monkeypatch):
+    """At any limit: with no heavy key, with some, and with all of them."""
+    monkeypatch.setattr(storage, "HEAVY_SHARE", share)
+    rows = df.withColumn("hash", F.md5("text")).union(df.limit(2).withColumn("hash", F.lit(None).cast("string")))
+    left = materialize(rows)
+    right = left.filter("split = 'train'").groupBy("hash").agg(F.count("*").alias("copies"))
+    plain = sorted(map(str, left.join(right, "hash", how).collect()))
+    assert sorted(map(str, match_skewed(left, right, "hash", how).select(left.join(right, "hash", how).columns).collect())) == plain
+
+
+def test_bloom_filter_lets_all_through_that_it_has_seen(spark):
+    seen = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("h"))
+    bloom = leakage.BloomFilter.build(seen, "h")
+    assert bloom.may_hold(seen, "h").count() == 3000
+    others = spark.range(10**6, 10**6 + 4000).select(F.md5(F.col("id").cast("string")).alias("h"), F.lit(1).alias("my col"))
+    passed = bloom.may_hold(others, "h")
+    assert passed.columns == ["h", "my col"] and passed.count() < 200
+    assert leakage.BloomFilter.build(seen.where("false"), "h").may_hold(others, "h").count() == 0
+
+
+def test_a_full_filter_changes_nothing(df, monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_BITS", leakage.BITMAP_BITS)
+    monkeypatch.setattr(leakage, "BITS_PER_HASH", 0)
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 1)
+    test_leaked_and_clean_partition_the_test_rows(df)
+    test_summary_and_examples(df)
+
+
+def test_texts_are_read_once(df):
+    """What is decided on has no text, and carries only the wanted columns."""
+    leaked = leakage.leaked_rows(df, keep=[])
+    assert leaked.columns == ["hash", "doc_id", "split"] or set(leaked.columns) == {"hash", "doc_id", "split"}
+    assert "text" not in leaked._jdf.queryExecution().executedPlan().toString()

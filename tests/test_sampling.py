@@ -23,6 +23,19 @@ def df(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, label string").repartition(5)
 
 
+def largest_remainder(counts, total):
+    """``total`` dealt one by one: each time to the class that is furthest below its share, the first of equals."""
+    whole = [total * c // sum(counts) for c in counts]
+    behind = sorted(range(len(counts)), key=lambda i: (whole[i] * sum(counts) - total * counts[i], i))
+    return [w + (i in behind[:total - sum(whole)]) for i, w in enumerate(whole)]
+
+
+def fold_sizes(counts, k):
+    """Rows are dealt out to the folds in turn, class after class."""
+    dealt = [c for c, n in enumerate(counts) for _ in range(n)]
+    return [[sum(1 for at, c in enumerate(dealt) if c == mine and at % k == fold) for fold in range(k)] for mine in range(len(counts))]
+
+
 def order(i, seed=42):
     return hashlib.md5(f"{i}-{seed}".encode()).hexdigest()
 
@@ -40,7 +53,7 @@ def test_stratified_split(df, rows, fraction, direct_rows):
     got = {r["doc_id"]: r["split"] for r in sp.stratified_split(df, "label", fraction, direct_rows=direct_rows).collect()}
     classes = sorted(by_class(rows).items())
     n = len(rows)
-    quota = sp.largest_remainder([len(v) for _, v in classes], n - math.ceil(n * fraction))
+    quota = largest_remainder([len(v) for _, v in classes], n - math.ceil(n * fraction))
     want = {}
     for (_, ids), train in zip(classes, quota):
         ranked = sorted(ids, key=order)
@@ -56,7 +69,7 @@ def test_stratified_folds(df, rows, k, seed, direct_rows):
     got = {r["doc_id"]: r["fold"] for r in sp.stratified_folds(df, "label", k, seed=seed, direct_rows=direct_rows).collect()}
     classes = sorted(by_class(rows).items(), key=lambda c: min(c[1]))
     want = {}
-    for (_, ids), sizes in zip(classes, sp.fold_sizes([len(v) for _, v in classes], k)):
+    for (_, ids), sizes in zip(classes, fold_sizes([len(v) for _, v in classes], k)):
         ranked = sorted(ids, key=order if seed is not None else None)
         assert sum(sizes) == len(ids) and max(sizes) - min(sizes) <= 1
         start = 0
@@ -68,13 +81,6 @@ def test_stratified_folds(df, rows, k, seed, direct_rows):
     assert max(totals.values()) - min(totals.values()) <= 1
 
 
-def test_fold_sizes_deal_round_robin():
-    counts = [84, 89, 75]
-    labels = [c for c, n in enumerate(counts) for _ in range(n)]
-    want = [[sum(1 for p, l in enumerate(labels) if l == c and p % 3 == f) for f in range(3)] for c in range(3)]
-    assert sp.fold_sizes(counts, 3) == want
-
-
 def test_random_split(df, rows):
     for direct in (10**6, 0):
         got = {r["doc_id"] for r in sp.random_split(df, 0.2, direct_rows=direct).filter("split = 'test'").collect()}
@@ -101,3 +107,28 @@ def test_equal_keys_are_split_by_id(spark):
 def test_class_rank_is_a_group_limit(df):
     plan = sp.head_per_class(df, "label")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_more_labels_than_a_broadcast_takes(spark, monkeypatch):
+    """Thousands of labels, with limits so low that no table of labels may be broadcast; one label holds a third of the rows."""
+    monkeypatch.setattr(sp, "BROADCAST_ROWS", 50)
+    rows = [(i, "l%d" % (i % 3000)) for i in range(8000)] + [(10_000 + i, "hot") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, label string").repartition(5)
+    classes = sorted(by_class(rows).items())
+    quota = largest_remainder([len(v) for _, v in classes], 12_000 - 2400)
+    for direct_rows in (10**6, 100):
+        got = {r["doc_id"]: r["split"] for r in sp.stratified_split(df, "label", 0.2, direct_rows=direct_rows).collect()}
+        assert len(got) == 12_000 and Counter(got.values())["test"] == 2400
+        for (_, ids), train in zip(classes, quota):
+            assert {i for i in ids if got[i] == "test"} == set(sorted(ids, key=order)[:len(ids) - train])
+    folds = Counter((r["label"], r["fold"]) for r in sp.stratified_folds(df, "label", 3).collect())
+    assert {sum(n for (_, f), n in folds.items() if f == fold) for fold in range(3)} == {4000}
+    assert all(max(sizes) - min(sizes) <= 1 for sizes in ([folds[label, f] for f in range(3)] for label, _ in classes))
+
+
+def test_running_totals_over_ranges(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i % 5, i) for i in range(101)], "o bigint, v bigint, id bigint").repartition(7)
+    found = {r["o"]: r["total"] for r in sp.running_total(df, ["o"], "v", "total").collect()}
+    values = {i * 37 % 101: i % 5 for i in range(101)}
+    assert found == {o: sum(values[p] for p in range(o)) for o in range(101)}
+    assert sp.running_total(df.where("false"), ["o"], "v", "total").count() == 0
