@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.base import map_rows
+from inkprint.llm.token_counts import PATTERN, TokenCounter
+from inkprint.llm.token_counts import _SETTLED as UNSETTLED
 from inkprint.storage import materialize
 
 #: Entries of the broadcast table of frequent pairs.
@@ -39,7 +41,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteTokens:
-    """Side A: a byte-level tokenizer file of the ``tokenizers`` library, special strings taken as plain text."""
+    """Side A: a byte-level tokenizer file of the ``tokenizers`` library, special strings taken as plain text.
+
+    If the file's merges stand in order of its ids, ``tiktoken`` gives the same ids from its vocabulary as ranks, four times as
+    fast; it takes the texts of characters about which all Unicode tables agree, and the file's own library all others.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,15 +56,31 @@ class ByteTokens:
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        to_byte = byte_alphabet()
+            model = json.load(file)["model"]
+        to_byte, vocabulary = byte_alphabet(), model["vocab"]
         self.surfaces = [b""] * (max([*vocabulary.values(), self.tokenizer.get_vocab_size() - 1]) + 1)
         for token, i in vocabulary.items():
             if all(c in to_byte for c in token):
                 self.surfaces[i] = bytes(to_byte[c] for c in token)
+        self.ranked = self._ranked(model) if TokenCounter(path).by_parts else None
+
+    def _ranked(self, model: dict):
+        """The encoder by ranks, or None where ids do not tell the order of merges."""
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"].get("".join(m), -1) for m in merges]
+        if made != sorted(set(made)) or any(i <= 255 for i in made):
+            return None
+        import tiktoken
+
+        ranks = {self.surfaces[i]: i for i in model["vocab"].values() if self.surfaces[i] and i <= made[-1]}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        found = [None if self.ranked is None or UNSETTLED.search(t) else self.ranked.encode_ordinary(" " + t) for t in texts]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([" " + texts[i] for i in rest], add_special_tokens=False)):
+            found[i] = e.ids
+        return found
 
 
 class PieceTokens:

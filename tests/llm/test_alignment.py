@@ -97,3 +97,15 @@ def test_query_over_the_table(spark, sf_dir, documents):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert alignment.align_corpus(empty, tokenizer_path(BYTES), tokenizer_path(PIECES)).count() == 0
+
+
+def test_ids_by_ranks_are_the_library_s(odd_docs, documents):
+    tokens = alignment.ByteTokens(tokenizer_path(BYTES))
+    assert tokens.ranked is not None
+    texts = [r["text"] for r in odd_docs.collect() if r["text"]] + [r["text"] for r in documents.collect() if r["text"]]
+    texts += ["a ", "  a  b ", "a\n b\n", "\n", " ", "don't  won't I'LL", "tab\t two", "<|endoftext|> b", "\u00a0x \u00a0", "1 2  3½", "x" * 5000, "é" * 999]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("abcXYZ 's\n\t09.,!é\u00a0ßÿ") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    found = tokens.encode(texts)
+    tokens.ranked = None
+    assert found == tokens.encode(texts)
