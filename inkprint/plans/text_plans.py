@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from inkprint.functions.names import quoted
 from inkprint.functions import text as tx
 from inkprint.functions.lexicons import TECHNICAL_TERMS
-from inkprint.operators import frames, stylometry
+from inkprint.operators import frames, stylometry, tagging
 from inkprint.operators.ngrams import NgramVocabulary
 from inkprint.plans import sqltext as q
 from inkprint.plans.registry import QUERIES, ORACLES, documents, query, rounded
+from inkprint.storage import materialize
 
 # Query name -> the style columns it returns.
 COLUMN_QUERIES = {
@@ -59,6 +60,32 @@ def pos_tag_counts(spark, sf_dir):
     return stylometry.with_style(docs, stylometry.POS, lexicon=q.LEXICON).select("doc_id", *stylometry.POS)
 
 
+_LEXICON_SQL = """lexicon AS (SELECT w AS word, CASE length(w) % 4 WHEN 0 THEN 'NN' WHEN 1 THEN 'VBZ' WHEN 2 THEN 'JJ' ELSE 'RB' END AS tag
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents WHERE doc_id % 2 = 0) WHERE length(w) > 2
+  UNION ALL SELECT DISTINCT w, 'VB' FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents WHERE doc_id % 2 = 0) WHERE w LIKE 't%')"""
+
+
+def _lexicon(spark, sf_dir):
+    """A large (word, tag) table: a made-up tag for every longer word of half of the corpus, and a second one for those that begin with t."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = documents(spark, sf_dir, "doc_id", "text").filter("doc_id % 2 = 0").select(F.explode(tokens).alias("word")).distinct()
+    size = F.length("word") % 4
+    tag = F.when(size == 0, "NN").when(size == 1, "VBZ").when(size == 2, "JJ").otherwise("RB")
+    tagged = words.filter(F.length("word") > 2).withColumn("tag", tag)
+    return tagged.union(words.filter(F.col("word").startswith("t")).withColumn("tag", F.lit("VB")))
+
+
+@query("pos_tag_counts_from_table", f"""WITH {_LEXICON_SQL},
+classes AS (SELECT word, {', '.join(f"max(CASE WHEN tag LIKE '{tag}%' THEN 1 ELSE 0 END) AS {c}" for c, tag in tagging.TAG_CLASSES.items())} FROM lexicon GROUP BY word),
+tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents),
+sums AS (SELECT doc_id, {', '.join(f'sum({c}) AS {c}' for c in tagging.TAG_CLASSES)} FROM tokens JOIN classes ON tokens.word = classes.word GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in tagging.TAG_CLASSES)} FROM documents d LEFT JOIN sums s ON s.doc_id = d.doc_id""")
+def pos_tag_counts_from_table(spark, sf_dir):
+    """Tag counts from a lexicon that is a table written as parquet, with two tags for some words."""
+    lexicon = materialize(_lexicon(spark, sf_dir), "lexicon")
+    return tagging.tag_counts(documents(spark, sf_dir, "doc_id", "text"), lexicon)
+
+
 @query(
     "sentence_split",
     f"""WITH parts AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[.!?]{q.SPACE}+'),
