@@ -12,8 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -21,10 +23,8 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Normalizer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ from inkprint.operators.profile import summarize_folds
 from inkprint.operators.sampling import stratified_folds
 from inkprint.operators.scaling import reduction_stages
 from inkprint.sources.sinks import write_csv
-from inkprint.storage import materialize
+from inkprint.storage import materialize, scratch_path, set_checkpoints
 
 SCORES = "model string, fold bigint, score double"
 REPORT_COLUMNS = ("label", "precision", "recall", "f1", "support", "tp")
@@ -212,18 +212,30 @@ def fit(learner: Learner, train: DataFrame, n_classes: int | None = None, key: s
 
 
 def _fit_boosted(learner: Learner, train: DataFrame, stages: list, column: str, n_classes: int) -> Fitted:
+    """One binary model per class, fitted side by side. What the rounds build on is checkpointed on the way, so that neither plans
+    nor a lost executor's work grow with the number of rounds."""
     p = learner.params
+    spark = train.sparkSession
+    set_checkpoints(spark)
     prepared = Pipeline(stages=stages).fit(train)
-    ready = prepared.transform(train)
-    fitted, scores = list(prepared.stages), []
-    for c in range(n_classes):
+    ready = prepared.transform(train).select(column, "label")
+    if stages:
+        ready = materialize(ready, "boost")
+
+    def one(c: int):
         own = f"_is_{c}"
         gbt = GBTClassifier(
             featuresCol=column, labelCol=own, predictionCol=f"_pred_{c}", maxIter=p["rounds"],
-            maxDepth=p["max_depth"], seed=p["seed"],
+            maxDepth=p["max_depth"], seed=p["seed"], checkpointInterval=p.get("checkpoint", 10),
         )
         gbt.setRawPredictionCol(f"_raw_{c}").setProbabilityCol(f"_prob_{c}")
-        fitted.append(gbt.fit(ready.withColumn(own, (F.col("label") == c).cast("double"))))
+        return gbt.fit(ready.withColumn(own, (F.col("label") == c).cast("double")))
+
+    with ThreadPool(min(4, n_classes)) as pool:
+        models = pool.map(inheritable_thread_target(spark)(one), range(n_classes))
+    fitted, scores = list(prepared.stages), []
+    for c, model in enumerate(models):
+        fitted.append(model)
         fitted.append(VectorSlicer(inputCol=f"_prob_{c}", outputCol=f"_score_{c}", indices=[1]))
         scores.append(f"_score_{c}")
     fitted += [
@@ -246,13 +258,15 @@ def _fit_stacking(learner: Learner, train: DataFrame, n_classes: int, key: str)
     k = p["folds"]
     if "_stack_fold" not in train.columns:
         train = stratified_folds(train, "label", k, key, seed=None, output="_stack_fold")
+    names = [f"_m{i}_probability" for i in range(len(p["members"]))]
     unseen = None
     for fold in range(k):
         rest, held = train.filter(F.col("_stack_fold") != fold), train.filter(F.col("_stack_fold") == fold)
         scored = Fitted("voting", None, _side_by_side(p["members"], rest, n_classes, key), n_classes)._member_probabilities(held)
+        # Written fold by fold: what follows neither keeps nor repeats a fold's models.
+        scored = materialize(scored.select("label", *names), f"unseen-{fold}")
         unseen = scored if unseen is None else unseen.unionByName(scored)
-    names = [f"_m{i}_probability" for i in range(len(p["members"]))]
-    meta_rows = materialize(_meta_features(unseen.select("label", *names), len(names)).select("label", "_meta"), "stack")
+    meta_rows = materialize(_meta_features(unseen, len(names)).select("label", "_meta"), "stack")
     meta_params = {"max_iter": 1000, "c": 1.0, **p["meta"]}
     final = LogisticRegression(
         featuresCol="_meta", maxIter=meta_params["max_iter"], regParam=1.0 / (meta_params["c"] * max(1, meta_rows.count())),
@@ -333,43 +347,72 @@ DEEP_GRID = {
 }
 
 
+TRIED = "reduced string, hidden string, max_iter int, step double, fold int, score double"
+
+
+def prepared_fold(df: DataFrame, fold: str, i: int, reduce: tuple[str, int] | None) -> tuple[DataFrame, DataFrame, int]:
+    """Training and test rows of one fold as (label, x), and the width of x: scaler and reduction are fitted on the training
+    rows once, and the rows are written, for all candidates that are fitted on them."""
+    train, test = df.filter(F.col(fold) != i), df.filter(F.col(fold) == i)
+    stages, column, width = _prepared(Learner("search", "network", {}, reduce), train)
+    model = Pipeline(stages=stages).fit(train)
+    ready = [materialize(model.transform(d).select("label", F.col(column).alias("x")), "fold") for d in (train, test)]
+    return ready[0], ready[1], width
+
+
 def grid_search(
     df: DataFrame, grid: dict[str, list], k: int, fold: str = "fold", reduce: tuple[str, int] | None = None,
-    solver: str = "gd", parallelism: int = 4, seed: int = 42,
+    solver: str = "gd", parallelism: int = 4, seed: int = 42, results: str | None = None,
 ) -> DataFrame:
     """Every network of the grid on every fold: (hidden, max_iter, step, mean_accuracy), best first.
 
-    ``step`` only matters to the gradient-descent solver, which is therefore the default here.
+    ``step`` only matters to the gradient-descent solver, which is therefore the default here. Every fit leaves a row in the table
+    ``results`` (by default one in the scratch folder) as soon as it is done, and fits that have one are not repeated: a search that
+    lost its driver goes on where it was.
     """
-    base = Learner("search", "network", {}, reduce)
-    stages, column, width = _prepared(base, df)
+    spark = df.sparkSession
+    results = results or scratch_path(spark, "search")
+    tag = "none" if reduce is None else f"{reduce[0]}-{reduce[1]}"
     n_classes = class_count(df)
-    network = MultilayerPerceptronClassifier(featuresCol=column, solver=solver, seed=seed)
-    params = (
-        ParamGridBuilder()
-        .addGrid(network.layers, [[width, *h, n_classes] for h in grid["hidden"]])
-        .addGrid(network.maxIter, grid["max_iter"])
-        .addGrid(network.stepSize, grid["step"])
-        .build()
-    )
-    search = CrossValidator(
-        estimator=Pipeline(stages=[*stages, network]), estimatorParamMaps=params,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=k, foldCol="_fold",
-        parallelism=parallelism, collectSubModels=False,
-    )
-    fitted = search.fit(df.withColumn("_fold", F.col(fold).cast("int")))
-    rows = [
-        (list(c[network.layers][1:-1]), c[network.maxIter], float(c[network.stepSize]), float(m))
-        for c, m in zip(params, fitted.avgMetrics)
-    ]
-    table = df.sparkSession.createDataFrame(rows, "hidden array<int>, max_iter int, step double, mean_accuracy double")
+    candidates = [("-".join(map(str, h)), m, s) for h in grid["hidden"] for m in grid["max_iter"] for s in grid["step"]]
+    done = {(r["hidden"], r["max_iter"], r["step"], r["fold"]) for r in _tried(spark, results).filter(F.col("reduced") == tag).collect()}
+    writing = Lock()
+
+    def run(task: tuple[tuple[str, int, float], int]) -> None:
+        (hidden, max_iter, step), i = task
+        train, test, width = folds[i]
+        network = MultilayerPerceptronClassifier(
+            featuresCol="x", solver=solver, seed=seed, layers=[width, *map(int, hidden.split("-")), n_classes], maxIter=max_iter, stepSize=step,
+        )
+        accuracy = score(Fitted("pipeline", PipelineModel(stages=[network.fit(train)]), [], n_classes), test)
+        with writing:
+            spark.createDataFrame([(tag, hidden, max_iter, step, i, accuracy)], TRIED).coalesce(1).write.mode("append").parquet(results)
+
+    todo = [(c, i) for c in candidates for i in range(k) if (*c, i) not in done]
+    folds = {i: prepared_fold(df, fold, i, reduce) for i in sorted({i for _, i in todo})}
+    if todo:
+        with ThreadPool(min(parallelism, len(todo))) as pool:
+            pool.map(inheritable_thread_target(spark)(run), todo, chunksize=1)
+    wanted = spark.createDataFrame(candidates, "hidden string, max_iter int, step double")
+    found = _tried(spark, results).filter((F.col("reduced") == tag) & (F.col("fold") < k)).join(F.broadcast(wanted), ["hidden", "max_iter", "step"])
+    table = found.groupBy(F.split("hidden", "-").cast("array<int>").alias("hidden"), "max_iter", "step").agg(F.avg("score").alias("mean_accuracy"))
     return table.orderBy(F.desc("mean_accuracy"), "hidden", "max_iter", "step")
 
 
+def _tried(spark: SparkSession, results: str) -> DataFrame:
+    """The rows of fits that are done; none if there is no table yet."""
+    try:
+        return spark.read.schema(TRIED).parquet(results)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TRIED)
+
+
 def kbest_grid_search(
     df: DataFrame, grid: dict[str, list], k: int, k_list: Sequence[int] = (50, 100, 200), **options
 ) -> DataFrame:
-    """The grid behind a k-best selection, for each number of features; the selection is fitted per fold."""
+    """The grid behind a k-best selection, for each number of features; the selection is fitted once per fold and number."""
     out = None
     for n in k_list:
         rows = grid_search(df, grid, k, reduce=("selectkbest", n), **options).withColumn("k", F.lit(n))

@@ -28,8 +28,10 @@ K = 3
 _tables: dict[tuple, DataFrame] = {}
 
 LOGISTIC, FOREST, NETWORK = ml.logistic_regression(), ml.random_forest(), ml.neural_network()
-# A hundred rounds for each of four languages are thousands of small jobs; the rounds are cut here, and the README says so.
-BOOSTED = ml.boosted_trees(rounds=10)
+BOOSTED = ml.boosted_trees()
+# Stacking fits every member six times; a hundred rounds for each of four languages are thousands of small jobs each time, so its
+# boosted member has fewer, and the README says so with the time of one fit.
+SHORT_BOOSTED = ml.boosted_trees(rounds=10)
 
 # What the SQL can say of a fitted model: which rows it was held out on, that its answers are well formed, and that it is right
 # far more often than the largest class, which has about 62 % of the rows.
@@ -96,7 +98,7 @@ def _held_out(learner: ml.Learner):
 
 for _name, _learner in {
     "logistic_regression": LOGISTIC, "random_forest": FOREST, "neural_network": NETWORK, "boosted_trees": BOOSTED,
-    "stacking": ml.stacking([LOGISTIC, FOREST, NETWORK]), "voting": ml.voting([LOGISTIC, FOREST, NETWORK, BOOSTED]),
+    "stacking": ml.stacking([LOGISTIC, FOREST, NETWORK, SHORT_BOOSTED]), "voting": ml.voting([LOGISTIC, FOREST, NETWORK, BOOSTED]),
 }.items():
     query(_name, f"""WITH {q.split_cte(0.2)} SELECT doc_id, lang AS true_label, true AS known_label, true AS sums_to_one, true AS accurate
 FROM split WHERE split = 'test'""")(_held_out(_learner))
@@ -147,15 +149,18 @@ def train_model_zoo(spark, sf_dir):
     )
 
 
-# The whole grids are WIDE_GRID and DEEP_GRID; a query fits a corner of them, one fit of the largest network takes minutes here.
-GRID = {"hidden": [(128,), (64, 32)], "max_iter": [100], "step": [0.01]}
-_GRID_SQL = (("hidden", _quote(["128", "64-32"])), ("max_iter", ["100"]), ("step", ["0.01::DOUBLE"]))
+# The whole grids are WIDE_GRID and DEEP_GRID; a query fits a corner of them, and the README has the time of one fit.
+GRID = {"hidden": [(128,), (64, 32)], "max_iter": [500], "step": [0.01]}
+_GRID_SQL = (("hidden", _quote(["128", "64-32"])), ("max_iter", ["500"]), ("step", ["0.01::DOUBLE"]))
 
 
 def _grid_rows(found, *more):
+    """The rows of a search; it is accurate if its best network is."""
+    found = materialize(found, "search")
+    best = found.agg(F.max("mean_accuracy")).first()[0]
     return found.select(
         F.concat_ws("-", F.col("hidden").cast("array<string>")).alias("hidden"), "max_iter", "step", *more,
-        F.col("mean_accuracy").between(0.3, 1).alias("accurate"),
+        (F.col("mean_accuracy").between(0, 1) & F.lit(best >= FLOOR)).alias("accurate"),
     )
 
 
@@ -164,9 +169,9 @@ def grid_search(spark, sf_dir):
     return _grid_rows(ml.grid_search(model_table(spark, sf_dir), GRID, K))
 
 
-@query("kbest_grid_search", _values(("hidden", _quote(["128"])), *_GRID_SQL[1:], ("k", ["50", "100"])))
+@query("kbest_grid_search", _values(("hidden", _quote(["128"])), *_GRID_SQL[1:], ("k", ["50", "100", "200"])))
 def kbest_grid_search(spark, sf_dir):
-    return _grid_rows(ml.kbest_grid_search(model_table(spark, sf_dir), {**GRID, "hidden": [(128,)]}, K, k_list=(50, 100)), "k")
+    return _grid_rows(ml.kbest_grid_search(model_table(spark, sf_dir), {**GRID, "hidden": [(128,)]}, K), "k")
 
 
 @query("feature_set_ablation", _values(("model", _quote(["stylometric", "tfidf", "embedding_pca", "combined"])), ("folds", [str(K)])))

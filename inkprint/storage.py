@@ -48,6 +48,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def set_checkpoints(spark: SparkSession) -> None:
+    """Make sure that iterative fits can cut their lineage: the cluster's checkpoint folder, or one in the scratch folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{scratch_root(spark)}/checkpoints")
+
+
 BROADCAST_ROWS = 100_000
 
 

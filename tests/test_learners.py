@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -163,3 +163,37 @@ def test_author_files_to_saved_stacked_model_with_embeddings(spark, tmp_path):
     assert {r["doc_id"]: r["predicted_label"] for r in from_table} == {k: r["predicted_label"] for k, r in scored.items()}
     with pytest.raises(ValueError):
         loaded.score(docs)
+
+
+def test_a_search_goes_on_where_it_was(data, spark, tmp_path, monkeypatch):
+    """The first run has half of the grid and leaves one fold out; the second fits what is missing, the third nothing."""
+    fits = []
+    real = ml.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(ml.MultilayerPerceptronClassifier, "fit", lambda self, df: fits.append(self.getLayers()) or real(self, df))
+    grid = {"hidden": [(3,), (4, 2)], "max_iter": [5], "step": [0.1]}
+    path = str(tmp_path / "results")
+    ml.grid_search(data, {**grid, "hidden": [(3,)]}, 2, results=path)
+    assert len(fits) == 2
+    whole = ml.grid_search(data, grid, 3, results=path).collect()
+    assert len(fits) == 6 and sorted(map(tuple, {tuple(r["hidden"]) for r in whole})) == [(3,), (4, 2)]
+    assert ml.grid_search(data, grid, 3, results=path).collect() == whole and len(fits) == 6
+    selected = ml.grid_search(data, grid, 3, results=path, reduce=("selectkbest", 2))
+    assert selected.count() == 2 and len(fits) == 12 and fits[-1][0] == 2
+    fresh = ml.grid_search(data, grid, 3)
+    assert fresh.collect() == whole
+
+
+def test_scaling_and_selection_see_only_the_training_rows_of_a_fold(data):
+    train, test, width = ml.prepared_fold(data, "fold", 1, None)
+    assert train.count() == data.filter("fold != 1").count() and test.count() == data.filter("fold = 1").count()
+    x = vector_to_array("x")
+    means = train.select([F.avg(F.get(x, F.lit(i))).alias(f"m{i}") for i in range(width)]).first()
+    assert all(abs(m) < 1e-9 for m in means)
+    assert any(abs(m) > 1e-6 for m in test.select([F.avg(F.get(x, F.lit(i))).alias(f"m{i}") for i in range(width)]).first())
+
+
+def test_boosted_rounds_are_checkpointed(data, spark):
+    fitted = ml.fit(ml.boosted_trees(rounds=6, max_depth=2, checkpoint=2), data)
+    assert spark.sparkContext.getCheckpointDir() is not None
+    models = [m for m in fitted.pipeline.stages if hasattr(m, "trees")]
+    assert len(models) == ml.class_count(data) and all(len(m.trees) == 6 for m in models)
