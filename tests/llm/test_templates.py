@@ -94,3 +94,93 @@ def test_copies_of_an_article_are_no_template(spark):
         assert found[100 + i] == whole % texts[2]
     for i in range(300):
         assert found[200 + i] == texts[min(i, 11)]
+
+
+def test_words_in_names_do_not_drop_an_article():
+    body = "<p>The text of the page.</p>"
+    for page in (
+        f'<body class="home has-sidebar"><div>{body}</div></body>', f'<html class="js no-cookies"><body>{body}</body></html>',
+        f'<article class="post comments-open">{body}</article>', f'<div class="menu-history">{body}</div>',
+        f'<main class="page-with-sidebar">{body}</main>', f'<div class="widget"><main>{body}</main></div>', f'<p class="notice">{body[3:]}',
+    ):
+        assert templates.extract(page) == "The text of the page.", page
+    assert templates.extract('<h2 id="market-share">Shares</h2><p id="ad-hoc-networks">Nets</p>') == "Shares\nNets"
+    for name in ("comments", "site-footer", "cookie-notice", "adBanner", "left sidebar", "newsletter-box"):
+        assert templates.extract(f'<div>{body}</div><div class="{name}"><p>Away</p></div>') == "The text of the page.", name
+
+
+def test_a_teaser_article_is_not_the_text():
+    long = "<p>" + " ".join("w%d" % i for i in range(60)) + "</p>"
+    found = templates.extract(f"<body><div>{long}{long}</div><article class=teaser><p>Read this too</p></article></body>")
+    assert found.startswith("w0 w1") and found.count("w59") == 2
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for page in (
+        '<a b="' * 170_000, "<a '" * 250_000, "<a>" * 8000 + "</b>" * 8000 + "x" * 500_000, "<" * 1_000_000, "<a " * 330_000, "<!--" * 250_000,
+        "<title>" + "</title " * 120_000, "<a \">\" <a " * 80_000 + "'", "<p>" + "<div><b>" * 5000 + "<li>x" * 20_000, "<p><div>" + "<b>" * 8000 + "<li>" * 60_000,
+        "<script>" * 100_000, "<ul>" + "<li><ul>" * 4000 + "</ul>" * 30_000, "<a b='\"' " * 100_000 + ">", 'x <a b=">' * 100_000,
+    ):
+        started = time.process_time()
+        templates.extract(page)
+        assert time.process_time() - started < 4, page[:40]
+
+
+def test_scanner_ends_tags_as_before():
+    assert templates.extract("<p title='a>b\"'>one</p><p title=\"never closed>two</p><p>three 'quoted' \"text\"</p>") == "one\ntwo\nthree 'quoted' \"text\""
+    assert templates.extract("<p>a < b and c > d, <3 </p><!-- <p>no</p> --><p>e</p") == "a < b and c > d, <3\ne</p"
+    assert templates.extract("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e<dt>f</dl>") == "a\nb\nc\nd\ne\nf"
+
+
+def gathered_classes(pages):
+    """The classes from occurrence vectors that are gathered whole."""
+    vectors = {}
+    for i, page in enumerate(pages):
+        for token, n in templates.page_tokens(page)[0].items():
+            vectors.setdefault(token, [0] * len(pages))[i] = n
+    classes = {}
+    for token, vector in vectors.items():
+        if sum(n > 0 for n in vector) >= templates.SUPPORT * len(pages):
+            classes.setdefault(tuple(vector), set()).add(token)
+    return sorted(sorted(c) for c in classes.values() if len(c) >= templates.CLASS_TOKENS)
+
+
+def test_classes_equal_those_of_gathered_vectors(spark):
+    pages = host_pages(30, seed=5)[0]
+    pages = [p.replace("</body>", "<ul>" + "<li><i>n</i><b>m</b></li>" * (i % 4 + 1) + "</ul></body>") for i, p in enumerate(pages)]
+    frame = spark.createDataFrame([(i, "h", p) for i, p in enumerate(pages)], "page_id bigint, host string, html string").repartition(5)
+    row = templates.deduce_templates(frame).collect()[0]
+    assert sorted(sorted(c) for c in row["classes"]) == gathered_classes(pages)
+    assert 0 < row["once"] < len(row["classes"])
+
+
+def shop_pages(n, seed):
+    """Pages without article or main: a heading and text between a link list and short teasers, all of which vary."""
+    rng = random.Random(seed)
+
+    def words(k):
+        return " ".join("w%d" % rng.randrange(5000) for _ in range(k))
+
+    pages, texts = [], []
+    for i in range(n):
+        title, blocks = words(6), [words(rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+        links = "".join(f'<li><a href="/{i}">{words(3)}</a></li>' for _ in range(6))
+        teasers = "".join(f"<div><p>{words(4)}</p></div>" for _ in range(rng.randint(3, 6)))
+        pages.append(
+            f'<html><body><div class="top"><b>Shop</b><i>since 1900</i></div><div class="leftcol"><ul>{links}</ul></div><div class="text"><h1>{title}</h1>'
+            f'{"".join(f"<p>{b}</p>" for b in blocks)}</div><div class="rightcol">{teasers}</div><div class="end"><b>Bye</b><i>for now</i></div></body></html>'
+        )
+        texts.append("\n".join([title, *blocks]))
+    return pages, texts
+
+
+def test_the_article_s_slot_is_chosen_for_the_host(spark):
+    """Of 60 pages without an article element: with the host's template their own slot, without it the teasers and links as well."""
+    pages, texts = shop_pages(60, 7)
+    rows = [(i, "http://shop.example/%d" % i, p) for i, p in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    found = {r["page_id"]: r["text"] for r in templates.extract_pages(frame).collect()}
+    assert all(found[i] == text for i, text in enumerate(texts))
+    assert not any(templates.extract(p) == t for p, t in zip(pages, texts))
