@@ -6,7 +6,9 @@ end of a text, and classes of all other words by their last bytes; a word of a c
 smoothed count, so that the words known and unknown have a total of one.
 
 Everything the model knows of the corpus comes from all training rows: the counts of every word, and the weights, which
-each task trains on its own rows from a common start and which are then averaged. The start comes from a bounded sample.
+each task trains on its own rows from a common start and which are then averaged. The start is made the same way, in a few
+rounds over shares of the rows that are drawn by hash. Which rows a task has depends on how the table is split, so weights, and with them scores,
+differ slightly between tables that are split differently; the same files give the same scores.
 Scoring needs the normaliser of each context once per worker; batched matrix products give it.
 """
 
@@ -29,8 +31,8 @@ from inkprint.storage import materialize
 WORDS, CLASSES, WIDTH = 960, 63, 16
 #: Words whose counts are broadcast (some MB); the counts of the others are joined.
 LOOKED_UP = 262_144
-#: Texts, about, of the sample that the common start is trained on, and the characters taken from each.
-START_TEXTS, START_CHARS, START_ROUNDS = 2000, 2000, 4
+#: The common start is averaged so many times, each time over another share of all rows, one in so many.
+START_ROUNDS, START_SHARE = 3, 12
 #: Contexts trained on at a time, noise symbols drawn for them, step of the adaptive gradient.
 BATCH, NOISE, STEP = 4096, 48, 0.1
 #: Words held by a task before their counts are handed on; models merged at a time.
@@ -262,8 +264,20 @@ def fit_vocabulary(counts: DataFrame, texts: int, looked_up: int = LOOKED_UP) ->
 
 
 def fit_model(train: DataFrame, vocabulary: Vocabulary, shared, seed: int = 0) -> Model:
-    """Train on every row: each task from the common start over its rows, then the mean of the models by symbols seen."""
-    start = _common_start(train, vocabulary, seed)
+    """Train on every row: each task from the common start over its rows, then the mean of the models by symbols seen.
+
+    The start is the mean of such models over whole texts of START_ROUNDS shares of the rows, one after the other, so that all
+    tasks have a basis in common. What it learns from grows with the table.
+    """
+    model = Model.start(vocabulary.symbol_counts, seed)
+    share = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(START_SHARE))
+    for i in range(START_ROUNDS):
+        model = _averaged(train.where(share == i), model, vocabulary, shared, seed + i)
+    return _averaged(train, model, vocabulary, shared, seed)
+
+
+def _averaged(train: DataFrame, start: Model, vocabulary: Vocabulary, shared, seed: int) -> Model:
+    """The mean of the models that the tasks train from ``start`` on their rows, each once; ``start`` without rows."""
     packed, size = start.pack(), vocabulary.size
     noise = _noise(vocabulary)
 
@@ -283,7 +297,7 @@ def fit_model(train: DataFrame, vocabulary: Vocabulary, shared, seed: int = 0) -
     models = materialize(train.select("text").mapInArrow(run, "model binary, seen bigint"), "models")
     while (n := models.count()) > FAN_IN:
         models = materialize(models.repartition(-(-n // FAN_IN)).mapInArrow(_average, "model binary, seen bigint"), "models")
-    rows = [(r["model"], r["seen"]) for r in models.collect()]
+    rows = sorted((bytes(r["model"]), r["seen"]) for r in models.collect())
     return Model.unpack(_mean(rows), size) if rows else start
 
 
@@ -308,24 +322,6 @@ def _average(batches):
         yield _model_row(_mean(rows), sum(n for _, n in rows))
 
 
-def _common_start(train: DataFrame, vocabulary: Vocabulary, seed: int) -> Model:
-    """A model trained on about START_TEXTS rows, those whose hashes are smallest, so that all tasks share a basis."""
-    model = Model.start(vocabulary.symbol_counts, seed)
-    if not vocabulary.texts:
-        return model
-    last = int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, START_TEXTS / vocabulary.texts))
-    chosen = train.where(F.xxhash64(F.lit(seed), "doc_id", "text") <= F.lit(min(last, (1 << 63) - 1)))
-    sample = chosen.select("doc_id", F.substring("text", 1, START_CHARS).alias("text")).limit(2 * START_TEXTS).collect()
-    lookup, rng, noise = Lookup(vocabulary), np.random.default_rng(seed), _noise(vocabulary)
-    texts = [lookup.symbols(tokens_of((r["text"] or "").encode()))[1] for r in sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or ""))]
-    w1, w2, w = lookup.contexts(texts)
-    for _ in range(START_ROUNDS):
-        places = rng.permutation(len(w))
-        model.train(w1[places], w2[places], w[places], noise, rng)
-    model.squares = []
-    return model
-
-
 def _score_slice(batch: pa.RecordBatch, vocabulary: Vocabulary, model: Model) -> dict[str, list]:
     """Scores of whole texts as far as the lookup goes, and for the words beyond it their counts within each text."""
     lookup = vocabulary.lookup()
