@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkprint.llm import alignment, language, lm, mixing, pieces, quality, sharding, simhash, templates, token_counts, topk, toxicity, tries
 from inkprint.llm.base import table
+from inkprint.storage import materialize
 
 
 #: Where the public tokenizer files are; a path that every executor can read.
@@ -41,13 +42,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    rows = materialize(quality.ledger(table(spark, sf_dir, "documents")), "ledger")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.FULL).alias("kept"), "fail_bits",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of either policy costs, from the stored ledger; no text is read for it."""
+    rows = materialize(quality.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return quality.ablation(rows, quality.BASE).union(quality.ablation(rows, quality.FULL))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict_languages(docs, language.fit_language_model(docs))
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
+    "quality_ablation": quality_ablation,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
@@ -119,6 +127,19 @@ ledger AS (SELECT *, CAST({' + '.join(f"CASE WHEN {rule.fails} THEN {1 << rule.b
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   fail_bits = 0 AS kept, fail_bits FROM ledger"""
 
+
+
+def _ablation_sql(policy: quality.Policy) -> str:
+    chosen = [rule for rule in quality.RULES if policy.mask >> rule.bit & 1]
+    return " UNION ALL ".join(
+        f"""SELECT '{policy.version}' AS version, '{rule.name}' AS rule, count(*) FILTER (b & {1 << rule.bit} <> 0) AS failed,
+  count(*) FILTER (b = {1 << rule.bit}) AS failed_alone, count(*) FILTER (b = 0) AS kept, count(*) FILTER (b = 0 OR b = {1 << rule.bit}) AS kept_without
+FROM (SELECT fail_bits & {policy.mask} AS b FROM ledger)""" for rule in chosen
+    )
+
+
+_ABLATION_SQL = f"{_OP4_SQL[:_OP4_SQL.rindex('SELECT doc_id, n_words')]}{_ablation_sql(quality.BASE)} UNION ALL {_ablation_sql(quality.FULL)}"
+
 _OP10_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
@@ -147,4 +168,4 @@ sums AS (SELECT depth, path, sum(saved) AS saved, count(*) FILTER (n_children =
 SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
 FROM full_nodes f JOIN sums s ON f.depth = s.depth AND f.path = s.path"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _OP4_SQL, "op10_top_k": _OP10_SQL, "op13_prefix_trie": _OP13_SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": _OP4_SQL, "quality_ablation": _ABLATION_SQL, "op10_top_k": _OP10_SQL, "op13_prefix_trie": _OP13_SQL}

@@ -70,23 +70,34 @@ def tree_shard(key: Column, leaves: list[Leaf], seed: int = 0) -> Column:
     return _pick(key, regions, seed)
 
 
+#: Equal rows that are numbered by one task.
+PIECE = 100_000
+
+
 def number_rows(df: DataFrame, group: str, order: list[str], key: str, rows_per_task: int = 100_000) -> DataFrame:
-    """Add ``slot``: 0, 1, ... without gaps in each ``group``, in an order that depends on the rows alone.
+    """``df`` with ``slot``: 0, 1, ... without gaps in each ``group``, in an order that depends on the rows alone.
 
-    A group may hold any share of all rows, so it is cut into chunks by a hash of ``key``; chunks are numbered
-    on their own and start where the counts of the chunks before them end. The number of chunks follows the
-    number of rows. Rows that agree in ``order`` are interchangeable.
+    Rows that agree in every column are counted first, so any number of them is one row until the numbers are dealt out. A group may
+    hold any share of all rows, so it is cut into chunks by a hash of ``key`` and the columns ``order``, which tell different rows apart; chunks
+    are numbered on their own and start where the counts of the chunks before them end. The number of chunks follows the number
+    of rows.
     """
     chunks = max(1, -(-df.count() // rows_per_task) * 8)
-    rows = df.withColumn("_chunk", F.pmod(F.xxhash64(key, F.lit("chunk")), F.lit(chunks)).cast("int"))
-    counts = rows.groupBy(group, "_chunk").agg(F.count("*").alias("_n"))
+    columns = df.columns
+    rows = df.groupBy(*columns).agg(F.count("*").alias("_n"))
+    rows = materialize(rows.withColumn("_chunk", F.pmod(F.xxhash64(key, *order, F.lit("chunk")), F.lit(chunks)).cast("int")), "rows")
+    counts = rows.groupBy(group, "_chunk").agg(F.sum("_n").alias("_rows"))
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = counts.select(group, "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     starts = materialize(starts, "starts")
-    within = Window.partitionBy(group, "_chunk").orderBy(*order)
-    numbered = rows.withColumn("_row", F.row_number().over(within).cast("bigint") - 1)
-    joined = numbered.join(starts, [group, "_chunk"])
-    return joined.withColumn("slot", F.col("_row") + F.col("_start")).drop("_chunk", "_row", "_start")
+    within = Window.partitionBy(group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, [group, "_chunk"])
+    placed = placed.select(*columns, "_n", (F.col("_start") + F.col("_before")).alias("slot"))
+    single = placed.where("_n = 1").drop("_n")
+    pieces = placed.where("_n > 1").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("_n") - 1) - (F.col("_n") - 1) % PIECE, F.lit(PIECE).cast("bigint"))).alias("_from"))
+    last = F.least(F.col("_from") + PIECE, F.col("_n")) - 1
+    dealt = pieces.repartition("slot", "_from").withColumn("_at", F.explode(F.sequence("_from", last)))
+    return single.union(dealt.select(*columns, (F.col("slot") + F.col("_at")).alias("slot")))
 
 
 def shard_documents(

@@ -183,7 +183,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, slots: int = 32) ->
     longest = Window.partitionBy("dim").orderBy(F.desc("longest"), "block")
     head = buckets.select("dim", "block", "longest").withColumn("_n", F.row_number().over(longest)).where(f"_n <= {HEAD}")
     head = buckets.join(head.select("block"), "block", "left_semi")
-    nothing = F.udf(lambda ids: np.full(len(ids) // 8, -np.inf).tobytes(), "binary")
+    nothing = F.udf(lambda ids: np.full(len(ids) // 8, -np.inf).tobytes(), "binary", useArrow=True)
     first = _search(queries.withColumn("needs", nothing("query_ids")).join(head, "dim"), k)
     bound = _best(first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(f"n = {k}")
     bound = materialize(bound.select("query_id", "bound"), "bounds")
@@ -200,7 +200,7 @@ def _with_needs(queries: DataFrame, bound: DataFrame) -> DataFrame:
     """Query blocks with the score that each query needs, and the least vector length with which any can reach it."""
     schema = "dim int, query_block bigint, query_ids binary, queries binary, needs binary, least_length double"
     target = arrow_schema(queries.sparkSession, schema)
-    keys = F.udf(lambda ids: np.frombuffer(ids, np.int64).tolist(), "array<bigint>")
+    keys = F.udf(lambda ids: np.frombuffer(ids, np.int64).tolist(), "array<bigint>", useArrow=True)
     pairs = queries.select("query_block", F.explode(keys("query_ids")).alias("query_id")).join(bound, "query_id")
     bounds = pairs.groupBy("query_block").agg(F.collect_list(F.struct("query_id", "bound")).alias("bounds"))
 

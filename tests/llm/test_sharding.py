@@ -65,3 +65,22 @@ def test_chunks_do_not_change_the_slots_of_a_rerun(documents):
     one = {(r["g"], r["slot"]): r["doc_id"] for r in sharding.number_rows(rows, "g", ["doc_id"], "doc_id", rows_per_task=20).collect()}
     two = {(r["g"], r["slot"]): r["doc_id"] for r in sharding.number_rows(rows.repartition(7), "g", ["doc_id"], "doc_id", rows_per_task=20).collect()}
     assert one == two and len(one) == documents.count()
+
+
+def test_rows_of_one_id_lie_in_many_chunks(spark, monkeypatch):
+    """Most rows have no id, and half of those are equal in every column: slots are gapless, chunks even, reruns agree."""
+    monkeypatch.setattr(sharding, "PIECE", 300)
+    rows = [(None, "t%d" % i) for i in range(4000)] + [(None, "same")] * 4000 + [(7, "same")] * 2000 + [(i, "x") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = sharding.shard_documents(docs)
+    slots = {}
+    for r in found.collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(map(len, slots.values())) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = sharding.shard_documents(docs.repartition(3))
+    assert sorted(map(str, found.collect())) == sorted(map(str, again.collect()))
+    narrow = spark.range(40_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.col("id").alias("size"), F.lit(1).alias("shard"))
+    numbered = sharding.number_rows(narrow, "shard", ["doc_id", "size"], "doc_id", rows_per_task=1000)
+    assert sorted(r["slot"] for r in numbered.collect()) == list(range(40_000))
+    chunk = F.pmod(F.xxhash64("doc_id", "doc_id", "size", F.lit("chunk")), F.lit(320))
+    assert narrow.groupBy(chunk).count().count() == 320
