@@ -2,8 +2,10 @@
 
 The model predicts a symbol from the two before it: the context vectors go through one matrix each and are added up, and
 a symbol's score is the product of that prediction with its own vector, plus a bias. Symbols are the most frequent words, the
-end of a text, and classes of all other words by their last bytes; a word of a class shares its class's probability by its
-smoothed count, so that the words known and unknown have a total of one.
+end of a text, and classes of all other words by their last bytes. Inside its class a word has its smoothed count's share times a factor
+from a vector of its own, the same prediction decides which way; words that are too rare for a vector, and unknown ones, have the
+share alone. Both levels are normalised, so that the words known and unknown have a total of one. How many words have
+vectors follows the counts of the corpus, and the classes are as many as keep a class about as long as their list.
 
 Everything the model knows of the corpus comes from all training rows: the counts of every word, and the weights, which
 each task trains on its own rows from a common start and which are then averaged. The start is made the same way, in a few
@@ -14,6 +16,7 @@ Scoring needs the normaliser of each context once per worker; batched matrix pro
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 from inkprint.llm.base import map_rows, text_bytes
 from inkprint.storage import materialize
 
-#: Words that are symbols of their own, classes of the others, size of the vectors.
+#: Words that are symbols of their own, classes of the others (at least), size of the vectors.
 WORDS, CLASSES, WIDTH = 960, 63, 16
+#: Occurrences from which on a word of a class has a vector; noise words drawn for each word of a class.
+LEAST_COUNT, INNER_NOISE = 50, 4
 #: Words whose counts are broadcast (some MB); the counts of the others are joined.
 LOOKED_UP = 262_144
 #: The common start is averaged so many times, each time over another share of all rows, one in so many.
@@ -43,52 +48,59 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def class_of(word: bytes) -> int:
+def class_of(word: bytes, classes: int = CLASSES) -> int:
     """The class of a word that is no symbol of its own, by its last three bytes without punctuation."""
-    return zlib.crc32(word.strip(b".,;:!?\"'()")[-3:]) % CLASSES
+    return zlib.crc32(word.strip(b".,;:!?\"'()")[-3:]) % classes
 
 
 @dataclass
 class Model:
-    """Vectors and biases of symbols (words, end, classes, and a start that is context only), a matrix per context place."""
+    """Vectors and biases of symbols (words, end, classes, and a start that is context only), a matrix per context place, and
+    the vectors of words inside their classes."""
 
     vectors: np.ndarray
     bias: np.ndarray
     first: np.ndarray
     second: np.ndarray
+    inner: np.ndarray
     squares: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
-    def start(cls, counts: np.ndarray, seed: int = 0) -> Model:
+    def start(cls, counts: np.ndarray, inner: int, seed: int = 0) -> Model:
         """Small random vectors; biases are log shares of the counts, the last symbol is the start."""
         rng, size = np.random.default_rng(seed), len(counts)
         share = (counts[:-1] + 1) / (counts[:-1] + 1).sum()
         bias = np.append(np.log(share), -np.inf)
         eye = np.eye(WIDTH, dtype=np.float32)
-        return cls(rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32), bias.astype(np.float32), 0.5 * eye, eye.copy())
+        vectors = rng.normal(0, 0.1, (size, WIDTH)).astype(np.float32)
+        return cls(vectors, bias.astype(np.float32), 0.5 * eye, eye.copy(), np.zeros((inner, WIDTH), np.float32))
 
     @property
     def parts(self) -> list[np.ndarray]:
         return [self.vectors, self.bias, self.first, self.second]
 
     def pack(self) -> bytes:
-        return b"".join(p.astype(np.float32).tobytes() for p in self.parts)
+        return b"".join(p.astype(np.float32).tobytes() for p in [*self.parts, self.inner])
 
     @classmethod
     def unpack(cls, data: bytes, size: int) -> Model:
         flat = np.frombuffer(data, np.float32).copy()
-        ends = np.cumsum([size * WIDTH, size, WIDTH * WIDTH])
-        v, b, f, s = np.split(flat, ends)
-        return cls(v.reshape(size, WIDTH), b, f.reshape(WIDTH, WIDTH), s.reshape(WIDTH, WIDTH))
-
-    def train(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, noise: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass over contexts (w1, w2) and their symbols w. ``noise`` holds the shares the noise is drawn with.
-
-        Each batch is set against symbols drawn from the noise: the model learns to tell which came from the corpus.
+        ends = np.cumsum([size * WIDTH, size, WIDTH * WIDTH, WIDTH * WIDTH])
+        v, b, f, s, inner = np.split(flat, ends)
+        return cls(v.reshape(size, WIDTH), b, f.reshape(WIDTH, WIDTH), s.reshape(WIDTH, WIDTH), inner.reshape(-1, WIDTH))
+
+    def train(
+        self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, places: np.ndarray, lookup: Lookup, noise: np.ndarray, rng: np.random.Generator,
+    ) -> None:
+        """One pass over contexts (w1, w2), their symbols w and the places of their words. ``noise`` holds the shares the noise is
+        drawn with.
+
+        Each batch is set against symbols drawn from the noise: the model learns to tell which came from the corpus. Words of
+        classes are set against words drawn from the same class in the same way.
         """
         size = len(self.bias)
         if not self.squares:
-            self.squares = [np.full(p.shape, 1e-3, np.float32) for p in self.parts]
+            self.squares = [np.full(p.shape, 1e-3, np.float32) for p in self.parts] + [np.ones(self.inner.shape, np.float32)]
         cumulative, log_noise = np.cumsum(noise), np.log(np.append(noise, 1.0) * NOISE).astype(np.float32)
         for at in range(0, len(w), BATCH):
             a, b, target = w1[at:at + BATCH], w2[at:at + BATCH], w[at:at + BATCH]
@@ -97,6 +109,8 @@ class Model:
             guess = va @ self.first + vb @ self.second
             true = np.einsum("ij,ij->i", guess, vt) + self.bias[target] - log_noise[target]
             false = guess @ vd.T + (self.bias[drawn] - log_noise[drawn])
+            if len(self.inner):
+                self._train_inner(guess, target, places[at:at + BATCH], lookup, rng)
             up = _sigmoid(-true)
             down = -_sigmoid(false)
             by_guess = up[:, None] * vt + down @ vd
@@ -110,6 +124,48 @@ class Model:
                 square += step * step
                 part += np.float32(STEP) * step / np.sqrt(square)
 
+    def _train_inner(self, guess: np.ndarray, target: np.ndarray, places: np.ndarray, lookup: Lookup, rng: np.random.Generator) -> None:
+        """The classes' part of a batch: each word against INNER_NOISE words drawn from its class by smoothed counts."""
+        in_class = target > WORDS
+        g, classes, own = guess[in_class], target[in_class] - WORDS - 1, places[in_class] - WORDS
+        drawn = rng.random((len(g), INNER_NOISE)) * lookup.class_mass[classes][:, None]
+        inside = drawn < lookup.inner_mass[classes][:, None]
+        at = np.searchsorted(lookup.inner_steps, (lookup.inner_low[classes][:, None] + drawn)[inside], side="right")
+        has = (own >= 0) & (own < len(self.inner))
+        rows = np.concatenate([own[has], lookup.inner_order[np.minimum(at, len(lookup.inner_order) - 1)]])
+        toward = np.concatenate([g[has], g[np.nonzero(inside)[0]]])
+        real = np.arange(len(rows)) < has.sum()
+        push = real - _sigmoid(np.einsum("ij,ij->i", self.inner[rows], toward) - np.float32(np.log(INNER_NOISE)))
+        moved, back = np.unique(rows, return_inverse=True)
+        step = _scatter(back, push[:, None] * toward, len(moved)).astype(np.float32)
+        self.squares[-1][moved] += step * step
+        self.inner[moved] += np.float32(STEP) * step / np.sqrt(self.squares[-1][moved])
+
+    def inner_logs(self, w1: np.ndarray, w2: np.ndarray, classes: np.ndarray, places: np.ndarray, lookup: Lookup) -> np.ndarray:
+        """What a word's vector adds to the logarithm of its share of its class, for contexts and words of classes.
+
+        The class is normalised over all its words; those without a vector keep their share, so only the others are gone through,
+        class by class in matrix products.
+        """
+        out = np.zeros(len(classes), np.float64)
+        if not len(self.inner):
+            return out
+        guess = self.vectors[w1] @ self.first + self.vectors[w2] @ self.second
+        own = places - WORDS
+        has = (own >= 0) & (own < len(self.inner))
+        out[has] = np.einsum("ij,ij->i", guess[has], self.inner[own[has]])
+        order = np.argsort(classes, kind="stable")
+        edges = np.flatnonzero(np.diff(classes[order], prepend=-1))
+        for start, stop in zip(edges, [*edges[1:], len(order)]):
+            c = classes[order[start]]
+            members = lookup.inner_order[lookup.inner_first[c]:lookup.inner_first[c + 1]]
+            if len(members):
+                share = (lookup.inner_counts[members] / lookup.class_mass[c]).astype(np.float32)
+                for at in range(start, stop, BATCH):
+                    some = order[at:min(at + BATCH, stop)]
+                    out[some] -= np.log1p(np.expm1(guess[some] @ self.inner[members].T) @ share)
+        return out
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Scores of each symbol after each symbol in either context place."""
         return self.vectors @ self.first @ self.vectors.T, self.vectors @ self.second @ self.vectors.T
@@ -149,13 +205,22 @@ class Vocabulary:
     distinct: int
     key: str
 
+    @property
+    def classes(self) -> int:
+        return len(self.class_tokens)
+
+    @property
+    def inner(self) -> int:
+        """Words of classes that have vectors; they follow the words that are symbols."""
+        return int((self.counts[WORDS:] >= LEAST_COUNT).sum())
+
     @property
     def end(self) -> int:
         return WORDS
 
     @property
     def size(self) -> int:
-        return WORDS + 1 + CLASSES + 1
+        return WORDS + 1 + self.classes + 1
 
     @property
     def symbol_counts(self) -> np.ndarray:
@@ -176,19 +241,33 @@ class Lookup:
     def __init__(self, vocabulary: Vocabulary):
         words = vocabulary.joined.split()
         self.place = {w: i for i, w in enumerate(words)}
-        self.symbol = np.array([i if i < WORDS else WORDS + 1 + class_of(w) for i, w in enumerate(words)], np.int32)
+        self.classes = vocabulary.classes
+        self.symbol = np.array([i if i < WORDS else WORDS + 1 + class_of(w, self.classes) for i, w in enumerate(words)], np.int32)
+        self._inside(vocabulary)
         self.log_count = np.log10(vocabulary.counts + 1.0)
         self.end, self.begin = WORDS, vocabulary.size - 1
         self.normaliser = np.full((vocabulary.size, vocabulary.size), np.nan, np.float32)
         self.scores = None
 
+    def _inside(self, vocabulary: Vocabulary) -> None:
+        """The words with vectors inside classes, ordered by class, and their smoothed counts as steps to draw from."""
+        n = vocabulary.inner
+        of = self.symbol[WORDS:WORDS + n] - WORDS - 1
+        self.inner_counts = vocabulary.counts[WORDS:WORDS + n] + 1.0
+        self.inner_order = np.argsort(of, kind="stable")
+        self.inner_steps = np.cumsum(self.inner_counts[self.inner_order])
+        self.inner_first = np.searchsorted(of[self.inner_order], np.arange(self.classes + 1))
+        edges = np.concatenate([[0.0], self.inner_steps])[self.inner_first]
+        self.inner_low, self.inner_mass = edges[:-1], np.diff(edges)
+        self.class_mass = vocabulary.class_tokens + vocabulary.class_types + 1.0
+
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words in the lookup (-1 if not there), and their symbols."""
         get = self.place.get
         places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         symbols = self.symbol[places] if len(self.symbol) else np.zeros(len(words), np.int32)
         for i in np.flatnonzero(places < 0).tolist():
-            symbols[i] = WORDS + 1 + class_of(words[i])
+            symbols[i] = WORDS + 1 + class_of(words[i], self.classes)
         return places, symbols
 
     def contexts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,6 +278,12 @@ class Lookup:
         at = np.flatnonzero(inside)
         return padded[at - 2], padded[at - 1], padded[at]
 
+    @staticmethod
+    def targets(places: list[np.ndarray]) -> np.ndarray:
+        """The places of the words of texts, -1 for their ends, in the order of ``contexts``."""
+        end = np.array([-1])
+        return np.concatenate([p for text in places for p in (text, end)])
+
 
 _lookups: dict[str, Lookup] = {}
 
@@ -242,19 +327,20 @@ def fit_vocabulary(counts: DataFrame, texts: int, looked_up: int = LOOKED_UP) ->
     top = sorted(zip(frequent.column("n").to_pylist(), map(bytes, frequent.column("word").to_pylist())), key=lambda x: (-x[0], x[1]))
     words = [w for _, w in top]
     symbols = set(words[:WORDS])
+    classes = max(CLASSES, math.isqrt(sum(n >= LEAST_COUNT for n, _ in top[WORDS:])))
 
     def by_class(batches):
         for batch in batches:
-            tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+            tokens, types = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if word not in symbols:
-                    tokens[class_of(word)] += n
-                    types[class_of(word)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(tokens), pa.array(types)], names=["class", "tokens", "types"])
+                    tokens[class_of(word, classes)] += n
+                    types[class_of(word, classes)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(tokens), pa.array(types)], names=["class", "tokens", "types"])
 
     sums = counts.mapInArrow(by_class, "class int, tokens bigint, types bigint").groupBy("class").agg(
         F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
-    tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    tokens, types = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
     for row in sums.collect():
         tokens[row["class"]], types[row["class"]] = row["tokens"], row["types"]
     return Vocabulary(
@@ -269,7 +355,7 @@ def fit_model(train: DataFrame, vocabulary: Vocabulary, shared, seed: int = 0) -
     The start is the mean of such models over whole texts of START_ROUNDS shares of the rows, one after the other, so that all
     tasks have a basis in common. What it learns from grows with the table.
     """
-    model = Model.start(vocabulary.symbol_counts, seed)
+    model = Model.start(vocabulary.symbol_counts, vocabulary.inner, seed)
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(START_SHARE))
     for i in range(START_ROUNDS):
         model = _averaged(train.where(share == i), model, vocabulary, shared, seed + i)
@@ -286,10 +372,10 @@ def _averaged(train: DataFrame, start: Model, vocabulary: Vocabulary, shared, se
         rng = np.random.default_rng(seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                texts = [lookup.symbols(tokens_of(t))[1] for t in text_bytes(batch.slice(at, 256), "text")]
+                places, texts = zip(*[lookup.symbols(tokens_of(t)) for t in text_bytes(batch.slice(at, 256), "text")])
                 w1, w2, w = lookup.contexts(texts)
                 order = rng.permutation(len(w))
-                model.train(w1[order], w2[order], w[order], noise, rng)
+                model.train(w1[order], w2[order], w[order], lookup.targets(places)[order], lookup, noise, rng)
                 seen += len(w)
         if seen:
             yield _model_row(model.pack(), seen)
@@ -338,8 +424,9 @@ def _score_slice(batch: pa.RecordBatch, vocabulary: Vocabulary, model: Model) ->
     logs = (first[w1, w] + second[w2, w] + model.bias[w] - lookup.normaliser[w1, w2]).astype(np.float64) / np.log(10)
     # What a word of a class has of the class's probability: its smoothed count over those of the class and one unseen word.
     in_class = w > WORDS
-    room = np.log10(vocabulary.class_tokens + vocabulary.class_types + 1.0)
-    logs[in_class] -= room[w[in_class] - WORDS - 1]
+    classes = w[in_class] - WORDS - 1
+    places = lookup.targets([p for p, _ in found])[in_class] if found else np.zeros(0, np.int64)
+    logs[in_class] += model.inner_logs(w1[in_class], w2[in_class], classes, places, lookup) / np.log(10) - np.log10(lookup.class_mass[classes])
     stops = np.cumsum([len(x) + 1 for x in words])
     sums = np.add.reduceat(logs, np.r_[0, stops[:-1]]) if len(words) else logs
     base, known, rest = [], [], []

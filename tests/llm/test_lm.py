@@ -54,27 +54,68 @@ def test_empty_and_untrained(spark):
     check_base([(held, "some words")], row)
 
 
-def test_probabilities_of_all_words_add_up_to_one(spark, documents):
+@pytest.mark.parametrize("least", [3, 50])
+def test_probabilities_of_all_words_add_up_to_one(spark, documents, least, monkeypatch):
+    """Over both levels, with words that have vectors inside their classes and with none or few."""
+    monkeypatch.setattr(lm, "LEAST_COUNT", least)
+    monkeypatch.setattr(lm, "WORDS", 200)
     train = documents.where(~lm.held_out())
     counts = lm.word_counts(train)
     vocabulary = lm.fit_vocabulary(counts, train.count())
-    shared = spark.sparkContext.broadcast(vocabulary)
-    model = lm.fit_model(train, vocabulary, shared)
-    lookup, words = lm.Lookup(vocabulary), [bytes(r["word"]) for r in counts.collect()]
-    n = {bytes(r["word"]): r["n"] for r in counts.collect()}
-    symbols = np.append(lookup.symbols(words)[1], lookup.end)
+    assert least == 50 or vocabulary.inner > 500
+    rng = np.random.default_rng(1)
+    lookup = lm.Lookup(vocabulary)
+    model = lm.Model.start(vocabulary.symbol_counts, vocabulary.inner)
+    model.inner[:] = rng.normal(0, 1, model.inner.shape)
+    words, n = [bytes(r["word"]) for r in counts.collect()], {bytes(r["word"]): r["n"] for r in counts.collect()}
+    places, symbols = lookup.symbols(words)
     first, second = model.tables()
-    for a, b in ((lookup.begin, lookup.begin), (lookup.begin, 3), (5, 970), (0, 0)):
-        p = np.exp(first[a, symbols] + second[b, symbols] + model.bias[symbols] - model.log_normalisers(np.array([a]), np.array([b])))
-        total = float(p[-1])
-        for symbol, share, word in zip(symbols.tolist(), p.tolist(), words):
-            if symbol > lm.WORDS:
-                c = symbol - lm.WORDS - 1
-                share *= (n[word] + 1) / (vocabulary.class_tokens[c] + vocabulary.class_types[c] + 1)
-            total += share
-        missing = 0.0
-        for c in range(lm.CLASSES):
-            s = lm.WORDS + 1 + c
-            p_class = math.exp(first[a, s] + second[b, s] + model.bias[s] - model.log_normalisers(np.array([a]), np.array([b]))[0])
-            missing += p_class / (vocabulary.class_tokens[c] + vocabulary.class_types[c] + 1)
-        assert total + missing == pytest.approx(1, abs=1e-3)
+    for a, b in ((lookup.begin, lookup.begin), (lookup.begin, 3), (5, 210), (0, 0)):
+        pair = np.array([a]), np.array([b])
+        level = np.exp(first[a] + second[b] + model.bias - model.log_normalisers(*pair))
+        total = float(level[lookup.end])
+        in_class = symbols > lm.WORDS
+        total += float(level[symbols[~in_class]].sum())
+        classes = symbols[in_class] - lm.WORDS - 1
+        inner = model.inner_logs(np.repeat(pair[0], len(classes)), np.repeat(pair[1], len(classes)), classes, places[in_class], lookup)
+        share = (np.array([n[w] for w, i in zip(words, in_class) if i]) + 1) / lookup.class_mass[classes]
+        total += float((level[symbols[in_class]] * share * np.exp(inner)).sum())
+        # The word that no class has seen.
+        every = np.arange(vocabulary.classes)
+        unseen = model.inner_logs(np.repeat(pair[0], len(every)), np.repeat(pair[1], len(every)), every, np.full(len(every), -1), lookup)
+        total += float((level[lm.WORDS + 1 + every] / lookup.class_mass * np.exp(unseen)).sum())
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_words_with_vectors_follow_the_corpus(spark, documents):
+    sizes = []
+    for part in (documents.limit(40), documents):
+        counts = lm.word_counts(part)
+        vocabulary = lm.fit_vocabulary(counts, part.count())
+        sizes.append(vocabulary.inner)
+        assert vocabulary.inner == max(0, counts.where(f"n >= {lm.LEAST_COUNT}").count() - lm.WORDS)
+        assert vocabulary.classes == max(lm.CLASSES, math.isqrt(vocabulary.inner))
+    assert sizes[0] <= sizes[1]
+
+
+def test_inner_vectors_learn_which_word_of_a_class_follows(spark, monkeypatch):
+    """Two words of one class, as frequent as one another, each after its own word: only a vector can tell them apart."""
+    monkeypatch.setattr(lm, "WORDS", 2)
+    texts = ["left xing " * 20, "right ying " * 20] * 60
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(2)
+    vocabulary = lm.fit_vocabulary(lm.word_counts(docs), docs.count())
+    assert vocabulary.inner == 2 and lm.class_of(b"xing") == lm.class_of(b"ying")
+    lookup, rng = lm.Lookup(vocabulary), np.random.default_rng(0)
+    model = lm.Model.start(vocabulary.symbol_counts, vocabulary.inner)
+    found = [lookup.symbols(t.encode().split()) for t in texts]
+    w1, w2, w = lookup.contexts([s for _, s in found])
+    for _ in range(20):
+        model.train(w1, w2, w, lookup.targets([p for p, _ in found]), lookup, lm._noise(vocabulary), rng)
+    model = lm.Model.unpack(model.pack(), vocabulary.size)
+    places, symbols = lookup.symbols([b"left", b"right", b"xing", b"ying"])
+    after = {}
+    for context in (0, 1):
+        for word in (2, 3):
+            logs = model.inner_logs(symbols[[3 - context]], symbols[[context]], symbols[[word]] - lm.WORDS - 1, places[[word]], lookup)
+            after[context, word] = float(logs[0])
+    assert after[0, 2] > after[0, 3] + 0.5 and after[1, 3] > after[1, 2] + 0.5
