@@ -62,10 +62,15 @@ def word_count(text: Column) -> Column:
     return count_of(text, _WORD)
 
 
-def count_among(array: str, words) -> Column:
-    """How many entries of an array column are in a word list: a hash lookup per entry."""
+def among(array: str, words) -> Column:
+    """The entries of an array column that are in a word list: a hash lookup per entry."""
     listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
-    return F.expr(f"cast(size(filter(`{array}`, w -> w in ({listed}))) as bigint)")
+    return F.expr(f"filter(`{array}`, w -> w in ({listed}))" if listed else f"slice(`{array}`, 1, 0)")
+
+
+def count_among(array: str, words) -> Column:
+    """How many entries of an array column are in a word list."""
+    return F.size(among(array, words)).cast("bigint")
 
 
 def vocabulary_tokens(text: Column) -> Column:

@@ -118,7 +118,7 @@ def _expressions(stop_words: Sequence[str], function_words: Sequence[str]) -> di
         "yules_k": lambda: F.when(
             n_words > 0, F.lit(10000.0) * (squares - n_words).cast("double") / (n_words * n_words).cast("double")
         ).otherwise(F.lit(0.0)),
-        "stopword_ratio": lambda: tx.ratio(tx.count_among("_lwords", stop_words), n_words),
+        "stopword_ratio": lambda: tx.ratio(tx.count_among("_listed", stop_words), n_words),
         "flesch_reading_ease": lambda: F.when(
             n_words > 0,
             F.lit(206.835) - 1.015 * tx.ratio(n_words, n_sentences) - 84.6 * tx.ratio(F.col("_syllables"), n_words),
@@ -128,7 +128,7 @@ def _expressions(stop_words: Sequence[str], function_words: Sequence[str]) -> di
         "avg_syllables_per_word": lambda: tx.ratio(F.col("_syllables"), n_words),
     }
     for word in function_words:
-        out[f"fw_{word}"] = lambda word=word: (F.size("_lwords") - F.size(F.array_remove("_lwords", word))).cast("bigint")
+        out[f"fw_{word}"] = lambda word=word: (F.size("_listed") - F.size(F.array_remove("_listed", word))).cast("bigint")
     return out
 
 
@@ -158,6 +158,8 @@ def with_style(
     keep = named(df.columns)
     shared = runs.with_item_counts(_shared(df, text), "_lwords", "_w").withColumns(
         {
+            # The words of either list, few of all words, are picked out once.
+            "_listed": tx.among("_lwords", sorted({*stop_words, *function_words})),
             "_squares": runs.total_of_squares(F.col("_w_counts")),
             "_syllables": tx.syllable_count(F.col("_groups"), F.col("_n_words")),
         }
