@@ -189,8 +189,7 @@ def feature_set_ablation(spark, sf_dir):
         "embedding_pca": ("embedding", None, ("pca", 20)),
         "combined": ("features", None, ("pca", 40)),
     }
-    network = ml.neural_network(hidden=(16,), max_iter=100)
-    summary = summarize_folds(ml.ablation(network, model_table(spark, sf_dir), K, sets))
+    summary = summarize_folds(ml.ablation(NETWORK, model_table(spark, sf_dir), K, sets))
     return summary.select("model", F.size("fold_scores").alias("folds"), (F.col("mean_accuracy") >= FLOOR).alias("accurate"))
 
 
@@ -212,7 +211,7 @@ def _accurate(predictions) -> bool:
 @query("quick_baseline", f"WITH {RANDOM_TEST} SELECT doc_id, lang AS true_label, true AS known_label, true AS accurate FROM test")
 def quick_baseline(spark, sf_dir):
     """Ten trees, saved and scored on the held-out fifth."""
-    predictions = _train_and_predict(spark, sf_dir, ml.random_forest(trees=10, max_depth=10))
+    predictions = _train_and_predict(spark, sf_dir, ml.random_forest(trees=10))
     known = F.col("predicted_label").isin(*q.LANGS)
     return predictions.select("doc_id", "true_label", known.alias("known_label"), F.lit(_accurate(predictions)).alias("accurate"))
 
@@ -229,7 +228,7 @@ def scaled_baseline(spark, sf_dir):
 def attribution_pipeline(spark, sf_dir):
     """Style and n-gram columns with 20 principal components of an embedding, stacked, saved, loaded and scored."""
     embedding = Embedding(vectors.hashed_trigram_encoder(64), n=20)
-    learner = ml.stacking([LOGISTIC, ml.random_forest(trees=20, max_depth=10)], folds=3)
+    learner = ml.stacking([LOGISTIC, FOREST])
     predictions = _train_and_predict(spark, sf_dir, learner, embedding)
     known = F.col("predicted_label").isin(*q.LANGS)
     return predictions.select("doc_id", "true_label", known.alias("known_label"), F.lit(_accurate(predictions)).alias("accurate"))
