@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.base import map_rows
-from inkprint.llm.token_counts import PATTERN, TokenCounter
-from inkprint.llm.token_counts import _SETTLED as UNSETTLED
+from inkprint.llm.token_counts import PATTERN, UNSETTLED, TokenCounter
 from inkprint.storage import materialize
 
 #: Entries of the broadcast table of frequent pairs.

@@ -27,8 +27,8 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Units of up to so many characters are merged without a queue; the cost of a merge that no piece allows.
 SHORT, NEVER = 48, float("inf")
-#: Units that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Units that a worker remembers before it starts afresh, and the length beyond which it remembers none.
+REMEMBERED, LONGEST = 300_000, 128
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -87,7 +87,10 @@ class CharacterMap:
 
 
 class Recent(dict):
-    """A bounded cache of two generations: when the younger is full it becomes the older, whose entries return when used."""
+    """A bounded cache of two generations: when the younger is full it becomes the older, whose entries return when used.
+
+    Long keys, which hardly come again, are computed each time, so the bound on entries bounds the bytes.
+    """
 
     def __init__(self, compute, limit: int = REMEMBERED):
         super().__init__()
@@ -97,6 +100,8 @@ class Recent(dict):
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
+            if len(key) > LONGEST:
+                return value
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()

@@ -25,8 +25,9 @@ from inkprint.storage import materialize
 
 #: Fixed value: the public pattern by which byte-level tokenizers of this kind cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the broadcast table; entries of one task's summary; entries a worker's cache holds before it starts afresh.
-FREQUENT, SUMMARY, REMEMBERED = 32_768, 8_192, 400_000
+#: Entries of the broadcast table; entries of one task's summary; entries a worker's cache holds before it starts afresh, and the
+#: length of text beyond which it holds none.
+FREQUENT, SUMMARY, REMEMBERED, LONGEST = 32_768, 8_192, 400_000, 128
 #: Summaries that are merged together at a time.
 FAN_IN = 32
 #: White space of any kind. A single blank after anything else always begins a new pre-token.
@@ -34,8 +35,8 @@ _SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202
 _AFTER_SPACE = re.compile(f"[{_SPACE}] ")
 _CUT = re.compile(f"(?<![{_SPACE}]) ")
 _PRE_TOKEN = regex.compile(PATTERN)
-#: Texts of these characters are cut alike by every version of the Unicode tables.
-_SETTLED = re.compile(r"[^\t-\r\x20-\x7e\xa1-\u024f]")
+#: A character beyond those that are cut alike by every version of the Unicode tables.
+UNSETTLED = re.compile(r"[^\t-\r\x20-\x7e\xa1-\u024f]")
 
 
 def cut(text: str) -> list[str]:
@@ -44,7 +45,7 @@ def cut(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """A bounded cache: what is missing is computed and kept; when full, it starts afresh."""
+    """A bounded cache: what is missing is computed and kept, unless it is long; when full, it starts afresh."""
 
     def __init__(self, compute: Callable[[str], int], limit: int = REMEMBERED):
         super().__init__()
@@ -52,6 +53,8 @@ class Remembered(dict):
 
     def __missing__(self, key: str) -> int:
         value = self.compute(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.limit:
             self.clear()
         self[key] = value
@@ -91,7 +94,7 @@ class TokenCounter:
 
     def part_length(self, part: str) -> int:
         """Tokens of one part. Its pre-tokens are looked up in the broadcast table first, then in the worker's own cache."""
-        if _SETTLED.search(part) or any(s in part for s in self.specials):
+        if UNSETTLED.search(part) or any(s in part for s in self.specials):
             return self.encode_length(part)
         total = 0
         for token in _PRE_TOKEN.findall(part):

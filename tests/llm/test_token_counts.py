@@ -52,3 +52,11 @@ def test_rows_of_all_kinds(odd_docs, library, size):
 
 def test_summaries_find_the_frequent(odd_docs):
     assert token_counts.frequent_pre_tokens(odd_docs, size=1) == [" word"]
+
+
+def test_long_keys_are_not_remembered():
+    from inkprint.llm.pieces import LONGEST, Recent
+
+    for cache in (token_counts.Remembered(len, 3), Recent(len, 3)):
+        assert cache["x" * (LONGEST + 1)] == LONGEST + 1 and not cache
+        assert [cache["a" * n] for n in (1, 2, 1, 3, 4, 1)] == [1, 2, 1, 3, 4, 1] and len(cache) <= 3
