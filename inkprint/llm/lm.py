@@ -161,9 +161,10 @@ class Model:
             members = lookup.inner_order[lookup.inner_first[c]:lookup.inner_first[c + 1]]
             if len(members):
                 share = (lookup.inner_counts[members] / lookup.class_mass[c]).astype(np.float32)
+                others = 1 - share.sum(dtype=np.float64)
                 for at in range(start, stop, BATCH):
                     some = order[at:min(at + BATCH, stop)]
-                    out[some] -= np.log1p(np.expm1(guess[some] @ self.inner[members].T) @ share)
+                    out[some] -= np.log(others + np.exp(guess[some] @ self.inner[members].T) @ share)
         return out
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
@@ -355,10 +356,12 @@ def fit_model(train: DataFrame, vocabulary: Vocabulary, shared, seed: int = 0) -
     The start is the mean of such models over whole texts of START_ROUNDS shares of the rows, one after the other, so that all
     tasks have a basis in common. What it learns from grows with the table.
     """
-    model = Model.start(vocabulary.symbol_counts, vocabulary.inner, seed)
+    model = Model.start(vocabulary.symbol_counts, 0, seed)
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(START_SHARE))
     for i in range(START_ROUNDS):
         model = _averaged(train.where(share == i), model, vocabulary, shared, seed + i)
+    # Only the pass over all rows trains the vectors inside classes, so their size is written once a task.
+    model.inner = np.zeros((vocabulary.inner, WIDTH), np.float32)
     return _averaged(train, model, vocabulary, shared, seed)
 
 
@@ -381,10 +384,10 @@ def _averaged(train: DataFrame, start: Model, vocabulary: Vocabulary, shared, se
             yield _model_row(model.pack(), seen)
 
     models = materialize(train.select("text").mapInArrow(run, "model binary, seen bigint"), "models")
-    while (n := models.count()) > FAN_IN:
+    while (n := models.count()) > 1:
         models = materialize(models.repartition(-(-n // FAN_IN)).mapInArrow(_average, "model binary, seen bigint"), "models")
-    rows = sorted((bytes(r["model"]), r["seen"]) for r in models.collect())
-    return Model.unpack(_mean(rows), size) if rows else start
+    mean = models.first()
+    return Model.unpack(mean["model"], size) if mean else start
 
 
 def _noise(vocabulary: Vocabulary) -> np.ndarray:
@@ -396,16 +399,17 @@ def _model_row(model: bytes, seen: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bytes(model)], pa.binary()), pa.array([seen], pa.int64())], names=["model", "seen"])
 
 
-def _mean(rows: list[tuple[bytes, int]]) -> bytes:
-    total = sum(n for _, n in rows)
-    with np.errstate(invalid="ignore"):
-        return sum(np.frombuffer(m, np.float32) * np.float64(n / total) for m, n in rows).astype(np.float32).tobytes()
-
-
 def _average(batches):
-    rows = [(m, n) for b in batches for m, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    if rows:
-        yield _model_row(_mean(rows), sum(n for _, n in rows))
+    """The mean of a task's models by symbols seen, one model in memory besides the sum."""
+    total, sums = 0, None
+    with np.errstate(invalid="ignore"):
+        for batch in batches:
+            for model, n in zip(batch.column(0), batch.column(1).to_pylist()):
+                part = np.frombuffer(model.as_buffer(), np.float32) * np.float64(n)
+                sums = part if sums is None else np.add(sums, part, out=sums)
+                total += n
+        if total:
+            yield _model_row((sums / total).astype(np.float32).tobytes(), total)
 
 
 def _score_slice(batch: pa.RecordBatch, vocabulary: Vocabulary, model: Model) -> dict[str, list]:
