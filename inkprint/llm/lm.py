@@ -136,8 +136,10 @@ class Model:
         toward = np.concatenate([g[has], g[np.nonzero(inside)[0]]])
         real = np.arange(len(rows)) < has.sum()
         push = real - _sigmoid(np.einsum("ij,ij->i", self.inner[rows], toward) - np.float32(np.log(INNER_NOISE)))
-        moved, back = np.unique(rows, return_inverse=True)
-        step = _scatter(back, push[:, None] * toward, len(moved)).astype(np.float32)
+        order = np.argsort(rows, kind="stable")
+        edges = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        moved = rows[order[edges]]
+        step = np.add.reduceat((push.astype(np.float32)[:, None] * toward)[order], edges) if len(edges) else toward
         self.squares[-1][moved] += step * step
         self.inner[moved] += np.float32(STEP) * step / np.sqrt(self.squares[-1][moved])
 
@@ -236,12 +238,17 @@ class Vocabulary:
         return _lookups[self.key]
 
 
+class _Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Lookup:
     """The vocabulary as a worker uses it."""
 
     def __init__(self, vocabulary: Vocabulary):
         words = vocabulary.joined.split()
-        self.place = {w: i for i, w in enumerate(words)}
+        self.place = _Places(zip(words, range(len(words))))
         self.classes = vocabulary.classes
         self.symbol = np.array([i if i < WORDS else WORDS + 1 + class_of(w, self.classes) for i, w in enumerate(words)], np.int32)
         self._inside(vocabulary)
@@ -264,8 +271,7 @@ class Lookup:
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words in the lookup (-1 if not there), and their symbols."""
-        get = self.place.get
-        places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         symbols = self.symbol[places] if len(self.symbol) else np.zeros(len(words), np.int32)
         for i in np.flatnonzero(places < 0).tolist():
             symbols[i] = WORDS + 1 + class_of(words[i], self.classes)
