@@ -51,3 +51,46 @@ def test_whole_texts_are_learned(spark):
     docs = spark.createDataFrame([(i, header + "a " * 5 + r[1][len(header):], r[2]) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
     model = language.fit_language_model(docs)
     assert model.predict(b"der und die das")[0] == "de" and model.predict(b"les des une pas")[0] == "fr"
+
+
+def plain_prediction(model, text):
+    """Features and votes in plain Python loops."""
+    import math
+    import re
+    from collections import Counter
+
+    folded = "".join(chr(c | 32) if chr(c).isascii() and chr(c).isalpha() else chr(c) if c >= 128 else " " for c in text)
+    code = (" " + re.sub(" +", " ", folded) + " ").encode("latin-1")
+    counts = Counter()
+    for n in range(4):
+        for i in range(len(code) - n):
+            gram = code[i:i + n + 1]
+            if n or gram != b" ":
+                counts[(int.from_bytes(gram, "big") * 2654435761 + n * 40503) % 2**32 >> 32 - language.BITS] += 1
+    norm = math.sqrt(sum(counts.values()))
+    margins = [sum(w[i] * math.sqrt(n) / norm for i, n in counts.items()) + w[-1] for w in model.weights.astype(float)]
+
+    def vote(names, pairs, margins):
+        votes = {name: 0.0 for name in names}
+        for (a, b), m in zip(pairs, margins):
+            votes[a] += 1 / (1 + math.exp(-3 * m))
+            votes[b] += 1 - 1 / (1 + math.exp(-3 * m))
+        best = max(names, key=lambda n: votes[n])
+        return best, votes[best] / max(1, len(names) - 1) if len(names) > 1 else 1.0
+
+    n = len(model.family_pairs)
+    family, p = vote(sorted({language.family_of(v) for v in model.langs}), model.family_pairs, margins[:n])
+    own = [(pair, m) for pair, m in zip(model.pairs, margins[n:]) if language.family_of(pair[0]) == family]
+    best, q = vote([v for v in model.langs if language.family_of(v) == family], [x for x, _ in own], [m for _, m in own])
+    return best, p * q
+
+
+def test_votes_match_plain_loops(documents):
+    rows = [(r["text"].encode(), r["lang"]) for r in documents.limit(80).collect()]
+    more = [(t + b" gij ook niet", "nl") if lang == "de" else (t + b" perche non", "it") for t, lang in rows[:30]]
+    model = language.LanguageModel.fit([t for t, _ in rows + more], [lang for _, lang in rows + more])
+    assert len(model.pairs) >= 4
+    for text in [t for t, _ in rows[40:60]] + [b"a", b"The  End.", "été, ñandú!".encode(), b" x1y2 "]:
+        lang, score = model.predict(text)
+        want = plain_prediction(model, text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4

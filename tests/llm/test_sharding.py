@@ -84,3 +84,32 @@ def test_rows_of_one_id_lie_in_many_chunks(spark, monkeypatch):
     assert sorted(r["slot"] for r in numbered.collect()) == list(range(40_000))
     chunk = F.pmod(F.xxhash64("doc_id", "doc_id", "size", F.lit("chunk")), F.lit(320))
     assert narrow.groupBy(chunk).count().count() == 320
+
+
+def plain_shard(key, leaves, seed=0):
+    """The tree walked in plain Python: draws of -ln(u) / weight, u from the XXH64 of the key and the child's name."""
+    import math
+    import struct
+
+    import xxhash
+
+    def draw(name, weight):
+        start = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        bits = xxhash.xxh64_intdigest(f"{seed}/{name}".encode(), start) >> 11
+        return -math.log((bits + 0.5) / (1 << 53)) / weight
+
+    left = [leaf for leaf in leaves if leaf.weight > 0]
+    for part in (lambda x: x.region, lambda x: f"{x.region}/{x.rack}", lambda x: f"{x.region}/{x.rack}/{x.shard}"):
+        names = sorted({part(x) for x in left})
+        if len(names) > 1:
+            best = min(names, key=lambda n: (draw(n, sum(x.weight for x in left if part(x) == n)), n))
+            left = [x for x in left if part(x) == best]
+    return left[0].shard
+
+
+def test_shards_match_a_tree_walked_in_plain_python(spark):
+    weighted = [Leaf("a", "x", 0, 2.0), Leaf("a", "x", 1, 0.5), Leaf("a", "y", 2, 1.0), Leaf("b", "z", 3, 4.0), Leaf("b", "z", 4, 0.0), Leaf("c", "w", 5, 0.25)]
+    for leaves in (sharding.layout(24), sharding.layout(27), weighted):
+        keys = [None, 0, -1, 2**62, *range(1, 500, 7)]
+        rows = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", sharding.tree_shard(F.col("k"), leaves).alias("s"))
+        assert {r["k"]: r["s"] for r in rows.collect()} == {k: plain_shard(k, leaves) for k in keys}
