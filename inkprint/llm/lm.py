@@ -33,11 +33,11 @@ from inkprint.storage import materialize
 #: Words that are symbols of their own, classes of the others (at least), size of the vectors.
 WORDS, CLASSES, WIDTH = 960, 63, 16
 #: Occurrences from which on a word of a class has a vector; noise words drawn for each word of a class.
-LEAST_COUNT, INNER_NOISE = 50, 4
+LEAST_COUNT, INNER_NOISE = 1000, 4
 #: Words whose counts are broadcast (some MB); the counts of the others are joined.
 LOOKED_UP = 262_144
 #: The common start is averaged so many times, each time over another share of all rows, one in so many.
-START_ROUNDS, START_SHARE = 3, 12
+START_ROUNDS, START_SHARE = 3, 24
 #: Contexts trained on at a time, noise symbols drawn for them, step of the adaptive gradient.
 BATCH, NOISE, STEP = 4096, 48, 0.1
 #: Words held by a task before their counts are handed on; models merged at a time.
