@@ -77,9 +77,11 @@ def split_quotas(classes: DataFrame, n_train: int, total: int) -> DataFrame:
     ``n_train`` rows are shared over the classes in proportion to their sizes, exactly: what is left after
     rounding down goes to the largest remainders, equal ones in class order.
     """
+    # Decimals, because a product of two counts may not fit a bigint; div, because a rounded quotient may be one too large.
     product = F.col("n").cast("decimal(18,0)") * F.lit(n_train).cast("decimal(18,0)")
-    shared = classes.withColumn("_share", F.floor(product / F.lit(total).cast("decimal(18,0)")).cast("bigint")) if total else classes.withColumn("_share", F.lit(0))
-    left_over = product - F.col("_share").cast("decimal(18,0)") * F.lit(total).cast("decimal(18,0)")
+    whole = F.lit(max(total, 1)).cast("decimal(18,0)")
+    shared = classes.withColumn("_product", product).withColumn("_total", whole).withColumn("_share", F.expr("_product div _total"))
+    left_over = F.col("_product") - F.col("_share").cast("decimal(18,0)") * F.col("_total")
     shared = materialize(shared.withColumn("_behind", -left_over), "shares")
     missing = n_train - int(shared.agg(F.sum("_share")).first()[0] or 0)
     ranked = running_total(shared.withColumn("_one", F.lit(1)), ["_behind", "_g"], "_one", "_rank")

@@ -132,3 +132,13 @@ def test_running_totals_over_ranges(spark):
     values = {i * 37 % 101: i % 5 for i in range(101)}
     assert found == {o: sum(values[p] for p in range(o)) for o in range(101)}
     assert sp.running_total(df.where("false"), ["o"], "v", "total").count() == 0
+
+
+def test_quotas_are_exact_for_large_counts(spark):
+    """Remainders one below the total, where a rounded quotient would be one too large, and products beyond a bigint."""
+    for counts in ([20_000_001, 9_999_999, 1, 7, 30_000_000_000], [4_999_999_999, 5_000_000_001], [3, 3, 3], [10**12 + 1, 10**12 - 1, 2]):
+        total = sum(counts)
+        for n_train in (total - 1, total // 3, total - math.ceil(total * 0.2), 0):
+            classes = spark.createDataFrame([(f"c{i}", n) for i, n in enumerate(counts)], "_g string, n bigint")
+            found = {r["_g"]: r["n"] - r["ends"][0] for r in sp.split_quotas(classes, n_train, total).collect()}
+            assert [found[f"c{i}"] for i in range(len(counts))] == largest_remainder(counts, n_train)
