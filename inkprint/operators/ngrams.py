@@ -66,7 +66,7 @@ def _grouped_grams(df: DataFrame, groups: Sequence[tuple[str, int]], text: str)
 
 def _hints(df: DataFrame, groups: Sequence[tuple[str, int]], k: int, text: str, share: float) -> tuple[dict[int, list[str]], dict[int, int]]:
     """Candidates per group from a share of the texts, and how many buckets separate the k-th of them from the rest."""
-    counted = _grouped_grams(df.sample(share, 42), groups, text).groupBy("g", "gram").agg(F.count("*").alias("n"))
+    counted = materialize(_grouped_grams(df.sample(share, 42), groups, text).groupBy("g", "gram").agg(F.count("*").alias("n")), "hints")
     order = Window.partitionBy("g").orderBy(F.desc("n"), F.asc("gram"))
     whole = Window.partitionBy("g")
     ranked = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= HINTS * k)
