@@ -223,7 +223,12 @@ def style_with_sentence_embedding(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text").withColumn("trigrams", F.length("text") - 2)
     wide = stylometry.style_features(docs, keys=["doc_id", "trigrams"], encoder=hashed_trigram_encoder(16), encoder_size=16)
     total = sum((F.col(f"sent_emb_{i}") for i in range(1, 16)), F.col("sent_emb_0"))
-    counts = [F.round(F.col(f"sent_emb_{i}") * F.col("trigrams") / total).cast("bigint").alias(f"sent_emb_{i}") for i in range(16)]
+    # A text of fewer than three characters has no trigram: all its entries are 0, and so are its counts.
+    none = F.when(F.col("trigrams").isNotNull(), F.lit(0).cast("bigint"))
+    counts = [
+        F.when(total > 0, F.round(F.col(f"sent_emb_{i}") * F.col("trigrams") / total).cast("bigint")).otherwise(none).alias(f"sent_emb_{i}")
+        for i in range(16)
+    ]
     return rounded(wide.select("doc_id", *stylometry.style_columns(), *counts))
 
 

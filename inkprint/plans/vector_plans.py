@@ -37,7 +37,7 @@ SELECT doc_id, CAST(dim AS BIGINT) AS dim, count(*) AS n FROM buckets GROUP BY A
 def _trigram_counts(embedded):
     """Unit vectors back to bucket counts: entries are in proportion to counts, which add up to the number of trigrams."""
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
-    scale = (F.char_length("text") - 2) / total
+    scale = (F.char_length("text") - 2) / F.nullif(total, F.lit(0.0))
     entries = embedded.select("doc_id", scale.alias("s"), F.posexplode("embedding").alias("dim", "e")).filter("e > 0")
     return entries.select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("e") * F.col("s")).cast("bigint").alias("n"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkprint.operators import profile, stylometry, tagging, vectors
 from inkprint.operators.tfidf import TfidfModel
+from inkprint.plans import QUERIES
 from inkprint.storage import materialize
 
 TEXTS = ["The dog runs quickly", None, "", "dog dog DOG barks_1 und run", "no known words 1 2", "Run, dog! Run?", "The dog runs quickly"]
@@ -149,3 +150,12 @@ def test_sparse_rows_with_a_large_vocabulary(spark):
         want.update({(i, t): w / norm for t, w in raw.items()})
     found = {(r["doc_id"], r["term"]): r["tfidf"] for r in model.transform_long(df).collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_texts_without_a_trigram_have_no_counts(spark, tmp_path):
+    rows = [(1, ""), (2, "ab"), (3, None), (4, "abc")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["style_with_sentence_embedding"](spark, str(tmp_path)).collect()}
+    total = {k: [r[f"sent_emb_{i}"] for i in range(16)] for k, r in got.items()}
+    assert total[1] == total[2] == [0] * 16 and sum(total[4]) == 1 and total[3] == [None] * 16
+    assert [r["doc_id"] for r in QUERIES["embed_documents"](spark, str(tmp_path)).collect()] == [4]
