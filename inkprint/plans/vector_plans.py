@@ -99,7 +99,7 @@ def pool_tokens(spark, sf_dir):
     """Encoder output of at most 512 tokens a text, pooled three ways from the token table; entries in steps of 2**-20."""
     tokens = vectors.token_table(documents(spark, sf_dir, "doc_id", "text"), vectors.hashed_word_tokens(TOKEN_DIM, 512))
     pooled = {
-        "first": vectors.pool_first(tokens, doc="doc_id"), "last": vectors.pool_last(tokens, doc="doc_id"),
+        "first": vectors.pool_first(tokens, doc="doc_id", size=TOKEN_DIM), "last": vectors.pool_last(tokens, doc="doc_id", size=TOKEN_DIM),
         "mean": vectors.pool_mean(tokens, TOKEN_DIM, doc="doc_id"),
     }
     parts = [_in_steps(df, "vec").withColumn("pooling", F.lit(how)) for how, df in pooled.items()]
@@ -116,12 +116,12 @@ def embed_pooled(spark, sf_dir):
 
 @query("pool_first", f"WITH {TOKENS} SELECT doc, {_wide_sql('', 'v')} FROM (SELECT doc, arg_min(vec, pos) AS v FROM tok GROUP BY doc)")
 def pool_first(spark, sf_dir):
-    return rounded(vectors.vector_columns(vectors.pool_first(_tokens(spark, sf_dir)), "vec", "e_", DIM))
+    return rounded(vectors.vector_columns(vectors.pool_first(_tokens(spark, sf_dir), size=DIM), "vec", "e_", DIM))
 
 
 @query("pool_last", f"WITH {TOKENS} SELECT doc, {_wide_sql('', 'v')} FROM (SELECT doc, arg_max(vec, pos) AS v FROM tok GROUP BY doc)")
 def pool_last(spark, sf_dir):
-    return rounded(vectors.vector_columns(vectors.pool_last(_tokens(spark, sf_dir)), "vec", "e_", DIM))
+    return rounded(vectors.vector_columns(vectors.pool_last(_tokens(spark, sf_dir), size=DIM), "vec", "e_", DIM))
 
 
 @query("pool_mean", f"""WITH {TOKENS} SELECT doc, {', '.join(f'round(sum(mask * CAST(vec[{i + 1}] AS DOUBLE)) / sum(mask), 6) AS e_{i}' for i in range(DIM))}

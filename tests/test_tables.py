@@ -152,6 +152,17 @@ def test_sparse_rows_with_a_large_vocabulary(spark):
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_pools_of_known_size_hash_instead_of_sorting(spark):
+    rows = [(1, 2, [1.0, 2.0]), (1, 1, [3.0, 4.0]), (2, 5, None), (2, 6, [5.0, None]), (None, 0, [7.0, 8.0]), (3, None, [9.0, 9.0])]
+    tokens = spark.createDataFrame(rows, "doc bigint, pos int, vec array<float>")
+    for pool in (vectors.pool_first, vectors.pool_last):
+        known = pool(tokens, size=2)
+        assert "SortAggregate" not in plan(known) and "HashAggregate" in plan(known)
+        assert {r["doc"]: r["vec"] for r in known.collect()} == {r["doc"]: r["vec"] for r in pool(tokens).collect()}
+        with pytest.raises(Exception, match="does not have 3 entries"):
+            pool(tokens, size=3).collect()
+
+
 def test_texts_without_a_trigram_have_no_counts(spark, tmp_path):
     rows = [(1, ""), (2, "ab"), (3, None), (4, "abc")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
