@@ -197,3 +197,17 @@ def test_boosted_rounds_are_checkpointed(data, spark):
     assert spark.sparkContext.getCheckpointDir() is not None
     models = [m for m in fitted.pipeline.stages if hasattr(m, "trees")]
     assert len(models) == ml.class_count(data) and all(len(m.trees) == 6 for m in models)
+
+
+def test_forest_keeps_node_ids_and_grows_the_same_trees(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rng = np.random.default_rng(3)
+    rows = [(float(i % 3), Vectors.dense(rng.normal(i % 3, 2, size=6).tolist())) for i in range(600)]
+    table = spark.createDataFrame(rows, "label double, features vector").repartition(3).cache()
+    grown = ml.fit(ml.random_forest(trees=6, max_depth=9, checkpoint=2), table).pipeline.stages[-1]
+    plain = RandomForestClassifier(featuresCol="features", numTrees=6, maxDepth=9, seed=42).fit(table)
+    assert grown.getOrDefault("cacheNodeIds") and not plain.getOrDefault("cacheNodeIds")
+    assert spark.sparkContext.getCheckpointDir() is not None
+    body = [[t.toDebugString.split("\n")[1:] for t in m.trees] for m in (grown, plain)]
+    assert body[0] == body[1] and grown.totalNumNodes > 50
