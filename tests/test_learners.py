@@ -204,7 +204,7 @@ def test_forest_keeps_node_ids_and_grows_the_same_trees(spark):
 
     rng = np.random.default_rng(3)
     rows = [(float(i % 3), Vectors.dense(rng.normal(i % 3, 2, size=6).tolist())) for i in range(600)]
-    table = spark.createDataFrame(rows, "label double, features vector").repartition(3).cache()
+    table = spark.createDataFrame(rows, ["label", "features"]).repartition(3).cache()
     grown = ml.fit(ml.random_forest(trees=6, max_depth=9, checkpoint=2), table).pipeline.stages[-1]
     plain = RandomForestClassifier(featuresCol="features", numTrees=6, maxDepth=9, seed=42).fit(table)
     assert grown.getOrDefault("cacheNodeIds") and not plain.getOrDefault("cacheNodeIds")
