@@ -1,6 +1,7 @@
 """N-grams and TF-IDF against brute force."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -109,3 +110,18 @@ def test_tfidf(docs, spark, tmp_path):
         norm = math.sqrt(sum(v * v for v in raw.values()))
         want.update({(i, w): v / norm for w, v in raw.items()})
     assert weights == pytest.approx(want)
+
+
+def test_only_open_kinds_and_sizes_are_read_again(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcdef", [32, 16, 8, 4, 2, 1], k=6)) for _ in range(30)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    passes, plain = [], ngrams._grouped_grams
+    monkeypatch.setattr(ngrams, "_grouped_grams", lambda df, groups, text, only=None: passes.append(only) or plain(df, groups, text, only))
+    got = {(r["kind"], r["n"], r["rank"]): (r["gram"], r["total"]) for r in ngrams.top_ngrams(df, share=1.0).collect()}
+    assert passes[:2] == [None, None] and passes[2:] and 0 not in passes[2] and 3 in passes[2]
+    for kind, n in (("char", 2), ("char", 3), ("word", 2), ("word", 3)):
+        parts = [list(t.replace(" ", "")) if kind == "char" else t.split() for t in texts]
+        counts = Counter(("" if kind == "char" else " ").join(p[i:i + n]) for p in parts for i in range(len(p) - n + 1))
+        want = sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:5]
+        assert [got[kind, n, r + 1] for r in range(5)] == want
