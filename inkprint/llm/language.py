@@ -8,6 +8,7 @@ prediction is a map over all rows and reads whole texts.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from inkprint.llm.base import map_rows, text_bytes
+from inkprint.llm.base import BATCH_BYTES, map_rows, text_bytes
 from inkprint.storage import materialize
 
 #: Families of languages by ISO 639-1 code. A label that is not listed is a family of its own.
@@ -32,8 +33,8 @@ UNDETERMINED = "und"
 BITS = 14
 #: Different labelled texts per language that the machines are fitted on.
 SAMPLE_ROWS = 400
-#: Bytes of text whose n-grams are counted at a time.
-BLOCK = 1 << 20
+#: Bytes of text whose n-grams are counted at a time; labels whose counts a task holds.
+BLOCK, HELD_LANGS = 1 << 20, 256
 
 # Letters keep their lower-case byte, bytes of longer characters stay, everything else separates words.
 _FOLD = np.full(256, 32, np.uint32)
@@ -201,6 +202,59 @@ def fit_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 0)
     return LanguageModel.fit_features(x, [r["lang"] for r in found])
 
 
+def fit_language_counts(docs: DataFrame) -> LanguageModel:
+    """The same two levels from the n-grams of every whole text of ``docs`` that has text, label and letters, in one pass.
+
+    A machine's weights are the logarithms of the ratios of smoothed n-gram shares, scaled so that the margins of its two sides' mean
+    vectors are 1 and -1. Tasks add up whole counts, so the model does not depend on how the rows are split; one row per label
+    and n-gram hash comes to the driver.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    known.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "at", "n"])
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch, "text")):
+                counts = held.setdefault(lang, np.zeros(1 << BITS, np.int64))
+                data = np.frombuffer(text, np.uint8)
+                for start in range(0, len(data), BLOCK):
+                    counts += np.bincount(grams(data[start:start + BLOCK]), minlength=1 << BITS)
+                if len(held) > HELD_LANGS:
+                    yield from out()
+        yield from out()
+
+    found = known.mapInArrow(run, "lang string, at int, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    names = np.array(found.column("lang").to_pylist(), object)
+    at, n = (found.column(c).to_numpy() for c in ("at", "n"))
+    langs = sorted(set(names))
+    counts = {}
+    for name in langs:
+        counts[name] = np.zeros(1 << BITS)
+        counts[name][at[names == name]] = n[names == name]
+    families: dict[str, np.ndarray] = {}
+    for name in langs:
+        families[family_of(name)] = families.get(family_of(name), 0) + counts[name]
+    family_pairs = list(itertools.combinations(sorted(families), 2))
+    pairs = [p for p in itertools.combinations(langs, 2) if family_of(p[0]) == family_of(p[1])]
+    weights = [_ratio_machine(families[a], families[b]) for a, b in family_pairs] + [_ratio_machine(counts[a], counts[b]) for a, b in pairs]
+    return LanguageModel(langs, family_pairs, pairs, np.array(weights, np.float32).reshape(-1, (1 << BITS) + 1))
+
+
+def _ratio_machine(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    weight = np.log((first + 1) / (first.sum() + len(first))) - np.log((second + 1) / (second.sum() + len(second)))
+    high, low = (float(weight @ np.sqrt(c / c.sum())) for c in (first, second))
+    scale = 2 / (high - low) if high > low else 0.0
+    return np.append(weight * scale, -(high + low) / 2 * scale)
+
+
 def _cut(share: float) -> int:
     """The signed hash that so large a share of all hashes does not exceed."""
     return min(int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, share)), (1 << 63) - 1)

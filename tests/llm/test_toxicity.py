@@ -97,3 +97,39 @@ def test_query_over_the_table(spark):
     held = [r for r in found if r["held_out"]]
     clean, toxic = ([r["predicted"] for r in held if labels.get(r["doc_id"]) == label] for label in (0, 1))
     assert sum(clean) <= 0.01 * len(clean) and sum(toxic) >= 0.9 * len(toxic)
+
+
+def test_texts_of_any_length_are_learned(spark):
+    rows = [(i, "slurrow " * 9000 + "x%d" % i if i % 4 == 0 else "the house of river %d" % i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang").repartition(4)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int"))
+    assert model.predict(b"the slurrow of slurrow") > 0.5 > model.predict(b"the river of house")
+
+
+def test_every_shard_counts_and_no_split_of_the_table_does(spark, monkeypatch):
+    rows = corpus(900)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "START_TEXTS", 100)
+    monkeypatch.setattr(toxicity, "SHARD_TEXTS", 60)
+    monkeypatch.setattr(toxicity, "FAN_IN", 3)
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(docs.union(docs.where("doc_id % 3 = 0")).repartition(5), labels)
+    assert np.array_equal(model.net.rows, again.net.rows) and model.net.thresholds == again.net.thresholds
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    scores = model.predict_all([r[1].encode() for r in held])
+    assert sum((s >= 0.5) == r[3] for s, r in zip(scores, held)) >= 0.95 * len(held)
+    assert np.allclose(scores, [model.predict(r[1].encode()) for r in held], atol=1e-6)
+
+
+def test_a_word_picks_the_same_rows_wherever_it_stands(monkeypatch):
+    words = ["a", "Stem", "stemmed", "stems", "x" * 8, "x" * 9, "y" * 64, "y" * 65, "z" * 300, "\u6f22\u5b57"]
+    alone = {w: toxicity.text_rows(w.encode()).tolist() for w in words}
+    assert all(len(rows) == 1 and len(rows[0]) == toxicity.PICKS for rows in alone.values())
+    assert alone["Stem"][0][1] == alone["stemmed"][0][1] == alone["stems"][0][1] and alone["stemmed"][0][2] != alone["stems"][0][2]
+    assert len({rows[0][0] for rows in alone.values()}) == len(words)
+    text = "... ".join(random.Random(1).choices(words, k=300)) + "!"
+    for hashed in (toxicity.HASHED, 50):
+        monkeypatch.setattr(toxicity, "HASHED", hashed)
+        assert toxicity.text_rows(text.encode()).tolist() == [alone[w.rstrip("!")][0] for w in text.split("... ")]
+    assert toxicity.text_rows(None).shape == (0, toxicity.PICKS)
