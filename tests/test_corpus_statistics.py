@@ -125,3 +125,21 @@ def test_only_open_kinds_and_sizes_are_read_again(spark, monkeypatch):
         counts = Counter(("" if kind == "char" else " ").join(p[i:i + n]) for p in parts for i in range(len(p) - n + 1))
         want = sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:5]
         assert [got[kind, n, r + 1] for r in range(5)] == want
+
+
+def test_character_ngrams_are_counted_before_they_become_rows(spark, monkeypatch):
+    """Empty and short texts, no text, letters beyond 16 bits, several chunks, and a size that does not fit a number."""
+    texts = ["abab" * 500, "", "a", "ab", None, "Ä𝒳ß 𝒳ßẞ", "ca\nb", "𝒳", "\x00\x01\x00", "abc " * 300] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    groups = [("char", 1), ("char", 2), ("char", 3), ("char", 4)]
+    monkeypatch.setattr(ngrams, "CHUNK", 1500)
+    found = ngrams._grouped_grams(docs, groups, "text").collect()
+    got = Counter()
+    for r in found:
+        got[r["g"], r["gram"]] += r["n"]
+    want = Counter()
+    for t in texts:
+        s = (t or "").lower().replace(" ", "")
+        want.update((n - 1, s[i:i + n]) for n in (1, 2, 3, 4) for i in range(len(s) - n + 1))
+    assert got == want
+    assert sum(r["g"] < 3 for r in found) < sum(v for (g, _), v in want.items() if g < 3) / 20
