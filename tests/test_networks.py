@@ -74,3 +74,33 @@ def test_rows_without_a_label_do_not_count(spark):
     packed = nw.blocks(spark.createDataFrame(rows, ["label", "x"]), 2)
     first = np.array([0.0, 0.0, 1.0, 0.0])
     assert nw.accuracies(packed, [nw.Network(2, (1, 2), first, 1, 0.1), nw.Network(1, (1, 2), first, 1, 0.1)]) == [0.5, 0.0]
+
+
+@pytest.mark.parametrize("whole_bytes", [0, nw.WHOLE_BYTES])
+def test_networks_of_one_way_are_learned_once(spark, monkeypatch, whole_bytes):
+    """Three lengths of one network and one of another step, in rounds over all tasks and whole in a task: the weights of fits alone."""
+    df = _table(spark, 100, 4)
+    rng = np.random.default_rng(5)
+    start = rng.normal(size=4 * 3 + 3 + 3 * 3 + 3)
+
+    def networks():
+        return [nw.Network(0, (4, 3, 3), start, turns, step) for turns, step in ((7, 0.2), (2, 0.2), (0, 0.2), (4, 0.2), (4, 0.5))]
+
+    alone = networks()
+    for network in alone:
+        list(nw.descend(nw.blocks(df, 0, 3), [network]))
+    together, learned = networks(), []
+    real = nw._gradients
+    monkeypatch.setattr(nw, "_gradients", lambda rows, found: learned.append(len(found)) or real(rows, found))
+    monkeypatch.setattr(nw, "WHOLE_BYTES", whole_bytes)
+    assert list(nw.descend(nw.blocks(df, 0, 3).repartition(3), together)) == [[2], [1], [3, 4], [0]]
+    assert learned == ([] if whole_bytes else [2, 2, 2, 2, 1, 1, 1])
+    for a, b in zip(alone, together):
+        assert np.abs(a.weights - b.weights).max() < 1e-12
+    assert not np.allclose(together[0].weights, together[3].weights)
+
+
+def test_networks_of_one_way_stay_in_one_part(monkeypatch):
+    found = [nw.Network(at, (2, 2), np.zeros(6), turns, 0.1) for turns in (5, 9) for at in range(3)]
+    monkeypatch.setattr(ml, "SIDE_BY_SIDE", 12)
+    assert [sorted(part) for part in ml._parts(found)] == [[0, 1, 3, 4], [2, 5]]
