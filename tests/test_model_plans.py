@@ -7,7 +7,7 @@ from inkprint.operators import learners as ml
 from inkprint.plans import ORACLES, QUERIES, model_plans
 
 
-@pytest.mark.parametrize("name, grid, k_list", [("grid_search", ml.WIDE_GRID, ())])
+@pytest.mark.parametrize("name, grid, k_list", [("grid_search", ml.WIDE_GRID, ()), ("kbest_grid_search", ml.DEEP_GRID, (50, 100, 200))])
 def test_searches_fit_their_whole_grid(spark, monkeypatch, name, grid, k_list):
     """Every network of the grid, behind every number of features, in the query as in its SQL; nothing is fitted here."""
     asked = []
