@@ -1,3 +1,5 @@
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -211,3 +213,19 @@ def test_forest_keeps_node_ids_and_grows_the_same_trees(spark):
     assert spark.sparkContext.getCheckpointDir() is not None
     body = [[t.toDebugString.split("\n")[1:] for t in m.trees] for m in (grown, plain)]
     assert body[0] == body[1] and grown.totalNumNodes > 50
+
+
+def test_the_zoo_fits_side_by_side_and_keeps_its_order(data, monkeypatch):
+    """Two fits wait for each other, which they cannot one after the other; rows stay in the order of sets and learners."""
+    both = Barrier(2, timeout=60)
+
+    def fit(learner, *_):
+        both.wait()
+        raise ValueError(learner.name)
+
+    monkeypatch.setattr(ml, "fit", fit)
+    learners = [ml.Learner("One", "nothing"), ml.Learner("Two", "nothing")]
+    zoo = ml.train_model_zoo(learners, data, data, {"a": ("features", None), "b": ("features", ("pca", 2))}, parallelism=2).collect()
+    assert [(r["model"], r["feature_set"], r["status"]) for r in zoo] == [
+        (name, at, f"failed: ValueError: {name}") for at in "ab" for name in ("One", "Two")
+    ]
